@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, packing
+from . import byte_bpe, minhash, packing
 from .common import table
 
 
@@ -24,13 +24,17 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = vocabulary("byte_bpe_multi_50k.tiktoken")
-    return byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents"), name), name)
+    return byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), digest=True)
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_minhash": op8_minhash,
 }
 
 ORACLES: dict[str, str] = {}
