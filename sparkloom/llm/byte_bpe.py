@@ -25,13 +25,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoder, pre_tokens
+from .bpe import Encoder, encoder, pre_tokens
 from .common import blocks, column, text_bytes
 
-BLOCK = 12 << 20
+BLOCK = 6 << 20
 #: Characters of a chunk, and of the overlap with the next.
 CHUNK, OVERLAP = 32_768, 1_024
 ENCODED = "doc_id long, n_tokens long, ids binary, decoded binary"
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(bounds)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def _decoded(own: Encoder, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the ids, and the offsets of each text's bytes."""
+    data, bounds = text_bytes(own.token_bytes.take(pa.array(ids)))
+    return data, bounds[at]
+
+
+def _rows(key: pa.Array, own: Encoder, ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([key, pa.array(np.diff(at)), _packed(ids.astype("<u4"), at * 4), _packed(*_decoded(own, ids, at))], ["doc_id", "n_tokens", "ids", "decoded"])
+
+
+def _digest_rows(key: pa.Array, own: Encoder, ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    decimals, bounds = text_bytes(own.decimals.take(pa.array(ids)))
+    hashes = []
+    for data, ends, cut in ((decimals, bounds[at], 1), (*_decoded(own, ids, at), 0)):
+        view = memoryview(np.ascontiguousarray(data))
+        hashes.append(pa.array([hashlib.sha256(view[a : max(a, b - cut)]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.string()))
+    return pa.RecordBatch.from_arrays([key, pa.array(np.diff(at)), *hashes], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def sure_boundaries(chunk: bytes, last: bool) -> np.ndarray:
@@ -64,27 +88,19 @@ def stitch(chunks: list[bytes], bounds: list[np.ndarray], steps: list[int]) -> l
     return [*pieces, carry]
 
 
-def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", doc_id: str = "doc_id", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """One row per document: ``doc_id``, ``n_tokens``, ``ids`` (little-endian unsigned 32-bit) and the ``decoded`` bytes."""
+def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", doc_id: str = "doc_id", chunk: int = CHUNK, overlap: int = OVERLAP, digest: bool = False) -> DataFrame:
+    """One row per document: ``doc_id``, ``n_tokens``, ``ids`` (little-endian unsigned 32-bit) and the ``decoded`` bytes.
+
+    With ``digest``, SHA-256 of the comma-joined decimal ids and of the decoded
+    bytes stand in place of the two.
+    """
     if not 0 < overlap < chunk:
         raise ValueError("the overlap must be shorter than a chunk")
 
-    def coded(key: pa.Array, own, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-        ids, at = own.encode_texts(data, offsets)
-        token_bytes = own.token_bytes.take(pa.array(ids))
-        return pa.RecordBatch.from_arrays([key, pa.array(np.diff(at)), packed(ids.astype("<u4"), at * 4), packed_arrow(token_bytes, at)], ["doc_id", "n_tokens", "ids", "decoded"])
-
-    def packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-        return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(bounds)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
-
-    def packed_arrow(tokens: pa.Array, at: np.ndarray) -> pa.Array:
-        data, bounds = text_bytes(tokens)
-        return packed(data, bounds[at])
-
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
         for block in blocks(batches, "text", BLOCK):
-            yield coded(column(block, "doc_id"), own, *text_bytes(column(block, "text")))
+            yield (_digest_rows if digest else _rows)(column(block, "doc_id"), own, *own.encode_texts(*text_bytes(column(block, "text"))))
 
     def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -102,12 +118,12 @@ def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", doc_id: str
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
         for block in blocks(batches, "text", BLOCK):
-            out = coded(column(block, "doc_id"), own, *text_bytes(column(block, "text")))
+            out = _rows(column(block, "doc_id"), own, *own.encode_texts(*text_bytes(column(block, "text"))))
             yield pa.RecordBatch.from_arrays([column(block, "row"), column(block, "k"), *out.columns], ["row", "k", *out.schema.names])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     long = F.coalesce(F.length("text"), F.lit(0)) > chunk + overlap
-    short = rows.filter(~long).mapInArrow(whole, ENCODED)
+    short = rows.filter(~long).mapInArrow(whole, DIGESTS if digest else ENCODED)
     chunks = (
         rows.filter(long)
         .withColumn("row", F.monotonically_increasing_id())
@@ -122,7 +138,7 @@ def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", doc_id: str
         .agg(F.first("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("k", "ids", "decoded"))).alias("p"))
         .select("doc_id", "n_tokens", _glue("ids"), _glue("decoded"))
     )
-    return short.unionByName(glued)
+    return short.unionByName(digests(glued, vocabulary) if digest else glued)
 
 
 def _glue(name: str):
@@ -136,13 +152,6 @@ def digests(encoded: DataFrame, vocabulary: str) -> DataFrame:
         own = encoder(vocabulary)
         for block in blocks(batches, "ids", BLOCK):
             raw, at = text_bytes(column(block, "ids"))
-            decimals, bounds = text_bytes(own.decimals.take(pa.array(np.frombuffer(raw, "<u4").astype(np.int32))))
-            ends = bounds[at // 4]
-            joined = memoryview(np.ascontiguousarray(decimals))
-            yield pa.RecordBatch.from_arrays(
-                [column(block, "doc_id"), column(block, "n_tokens"), pa.array([hashlib.sha256(joined[a : max(a, b - 1)]).hexdigest() for a, b in zip(ends[:-1], ends[1:])], pa.string()), column(block, "decoded_sha256")],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    narrow = encoded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
-    return narrow.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            yield _digest_rows(column(block, "doc_id"), own, np.frombuffer(raw, "<u4").astype(np.int32), at // 4)
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, DIGESTS)
