@@ -39,11 +39,11 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return sums
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of the white-space separated words of texts laid end to end, where each starts, and each text's word offsets."""
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, breaks: np.ndarray = _BREAK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (by default white-space separated) of texts laid end to end, where each starts, and each text's word offsets."""
     if lower:
         data = _LOWER[data]
-    inside = ~_BREAK[data]
+    inside = ~breaks[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     start = inside & np.append(True, ~inside[:-1])[: len(data)]
