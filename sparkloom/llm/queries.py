@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, minhash, packing, spotsigs, suffix_dedup
+from . import byte_bpe, minhash, packing, quality, spotsigs, suffix_dedup
 from .common import table
 
 
@@ -23,6 +23,18 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Every fifth document by CRC is kept out of learning."""
+    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = quality.learn(docs, table(spark, sf_dir, "labels"), ~held_out())
+    scored = quality.scores(docs, field)
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), digest=True)
 
@@ -42,6 +54,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_quality": op3_quality,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_minhash": op8_minhash,
     "op9_spotsigs": op9_spotsigs,
