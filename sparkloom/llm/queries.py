@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, minhash, packing, quality, spotsigs, suffix_dedup
+from . import byte_bpe, minhash, packing, quality, sharding, spotsigs, suffix_dedup
 from .common import table
 
 
@@ -23,6 +23,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Every fifth document by CRC is kept out of learning."""
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
@@ -54,6 +59,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_sharding": op2_sharding,
     "op3_quality": op3_quality,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_minhash": op8_minhash,
