@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, minhash, packing, quality, sharding, spotsigs, suffix_dedup
+from . import byte_bpe, line_dedup, minhash, packing, quality, sharding, spotsigs, suffix_dedup, url_filter
 from .common import table
 
 
@@ -40,6 +40,16 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.drop_recurring(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.md5(F.encode("text", "utf-8")).alias("text_md5"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.evaluate(url_filter.captures_of(pages), url_filter.dated_list(pages)).drop("fetched").withColumn("listed_since", F.col("listed_since").cast("string"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), digest=True)
 
@@ -61,10 +71,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
     "op3_quality": op3_quality,
+    "op4_line_dedup": op4_line_dedup,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_url_filter": op7_url_filter,
     "op8_minhash": op8_minhash,
     "op9_spotsigs": op9_spotsigs,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": line_dedup.ORACLE,
+    "op7_url_filter": url_filter.ORACLE,
+}
