@@ -95,73 +95,76 @@ def _identified(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def _grams(rows: DataFrame, length: int, gram: int, places: bool) -> DataFrame:
-    """Chosen grams of each text, once for each text of a block: with their places, or with the earliest row and whether they come twice."""
+    """Chosen grams of each part, once for each key of a block: with their places, or with the part's order and whether they come twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
-            t1, o = np.asarray(column(block, "t1")), np.asarray(column(block, "o"))
-            order = np.lexsort((o, t1))
-            once = np.sort(order[np.append(True, t1[order][1:] != t1[order][:-1])]) if len(order) else order
+        for block in blocks(batches, "part"):
+            key, o = np.asarray(column(block, "key")), np.asarray(column(block, "o"))
+            order = np.lexsort((o, key))
+            once = np.sort(order[np.append(True, key[order][1:] != key[order][:-1])]) if len(order) else order
             block = block.take(pa.array(once))
-            t1, o = t1[once], o[once]
-            data, offsets = text_bytes(column(block, "text"))
+            key, o = key[once], o[once]
+            data, offsets = text_bytes(column(block, "part"))
             at, hashes = chosen_grams(data, offsets, length, gram)
-            doc = np.searchsorted(offsets, at, "right") - 1
+            owner = np.searchsorted(offsets, at, "right") - 1
             h = hashes.view(np.int64)
             if places:
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(t1[doc]), pa.array((at - offsets[doc]).astype(np.int32))], ["h", "t1", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(key[owner]), pa.array((at - offsets[owner]).astype(np.int32))], ["h", "key", "place"])
                 continue
-            order = np.lexsort((h, doc))
-            h, doc = h[order], doc[order]
-            new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])) if len(h) else np.zeros(0, bool)
-            heads = np.flatnonzero(new)
-            yield pa.RecordBatch.from_arrays([pa.array(h[heads]), pa.array(t1[doc[heads]]), pa.array(o[doc[heads]]), pa.array(np.diff(np.append(heads, len(h))) > 1)], ["h", "t1", "o", "twice"])
+            order = np.lexsort((h, owner))
+            h, owner = h[order], owner[order]
+            heads = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))[: len(h)])
+            yield pa.RecordBatch.from_arrays([pa.array(h[heads]), pa.array(key[owner[heads]]), pa.array(o[owner[heads]]), pa.array(np.diff(np.append(heads, len(h))) > 1)], ["h", "key", "o", "twice"])
 
-    return rows.select("o", "t1", "text").mapInArrow(run, "h long, t1 long, place int" if places else "h long, t1 long, o long, twice boolean")
+    return rows.select("o", "key", "part").mapInArrow(run, "h long, key long, place int" if places else "h long, key long, o long, twice boolean")
 
 
-def _parts(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """Cuts from each text the bytes around its shared grams, for each owner."""
+PART = "owner long, key long, o long, t1 long, t2 long, start long, part binary"
+
+
+def _parts(marked: DataFrame, length: int, gram: int) -> DataFrame:
+    """Cuts the bytes around its shared grams from each part, for each owner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("owner", "o", "t1", "t2", "start", "part")}
-            for o, t1, t2, text, owners, places in zip(*(batch.column(k).to_pylist() for k in ("o", "t1", "t2", "text", "owners", "places"))):
-                raw = text.encode()
+            out: dict[str, list] = {k: [] for k in ("owner", "key", "o", "t1", "t2", "start", "part")}
+            for key, o, t1, t2, base, raw, owners, places in zip(*(batch.column(k).to_pylist() for k in ("key", "o", "t1", "t2", "start", "part", "owners", "places"))):
                 owner, place = np.array(owners, np.int64), np.array(places, np.int64)
                 order = np.lexsort((place, owner))
                 owner, place = owner[order], place[order]
                 cuts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])).tolist()
                 for a, b in zip(cuts, [*cuts[1:], len(owner)]):
                     begin, end = merged(np.maximum(place[a:b] + gram - length, 0), np.minimum(place[a:b] + length, len(raw)))
-                    for s, e in zip(begin.tolist(), end.tolist()):
-                        for k, v in zip(out, (int(owner[a]), o, t1, t2, s, raw[s:e])):
+                    for x, y in zip(begin.tolist(), end.tolist()):
+                        for k, v in zip(out, (int(owner[a]), key, o, t1, t2, base + x, raw[x:y])):
                             out[k].append(v)
-            yield pa.RecordBatch.from_arrays([*(pa.array(out[k], pa.int64()) for k in ("owner", "o", "t1", "t2", "start")), pa.array(out["part"], pa.binary())], list(out))
+            yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in list(out.values())[:-1]), pa.array(out["part"], pa.binary())], list(out))
 
-    return texts.mapInArrow(run, "owner long, o long, t1 long, t2 long, start long, part binary")
+    return marked.mapInArrow(run, PART)
 
 
 def _shard(length: int):
-    """Repeats within a shard, and the sorted names of what it can't settle."""
+    """Repeats within a shard, and the stretches that it can't settle."""
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    def run(shard: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["o", "t1", "t2", "start"], kind="stable")
-        o, t1, t2, start = (group[k].to_numpy() for k in ("o", "t1", "t2", "start"))
+        o, key, t1, t2, start = (group[k].to_numpy() for k in ("o", "key", "t1", "t2", "start"))
         size = group.part.str.len().to_numpy()
         new = np.append(True, (o[1:] != o[:-1]) | (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1]))
         document = np.cumsum(new) - 1
-        pieces, at, doc_of = [], [], []
+        pieces, at, doc_of, own = [], [], [], []
         reach = -1
-        for k, (d, s, part) in enumerate(zip(document.tolist(), start.tolist(), group.part)):  # parts of one document may overlap
+        for k, (d, s, part, of_owner) in enumerate(zip(document.tolist(), start.tolist(), group.part, (key == shard[0]).tolist())):  # parts of one document may overlap
             if new[k]:
                 reach = -1
             if s + len(part) <= reach:
                 continue
             if s <= reach:
                 pieces[-1] += part[reach - s :]
+                own[-1] &= of_owner
             else:
                 pieces.append(bytes(part))
+                own.append(of_owner)
                 at.append(s)
                 doc_of.append(d)
             reach = s + len(part)
@@ -177,64 +180,91 @@ def _shard(length: int):
         where = at[piece] + place - (ends - sizes)[piece]
         head = np.flatnonzero(new)
 
-        def rows(mask: np.ndarray) -> pd.DataFrame:
+        def stretches(mask: np.ndarray, settled: bool) -> pd.DataFrame:
             p = np.flatnonzero(mask)
-            d = head[doc_of[piece[p]]]
-            return pd.DataFrame({"o": o[d], "t1": t1[d], "t2": t2[d], "begin": where[p], "place": p})
-
-        hit = rows(again)
-        place, begin = hit.place.to_numpy(), hit.begin.to_numpy()
-        heads = np.flatnonzero(np.append(True, (place[1:] != place[:-1] + 1) | (begin[1:] != begin[:-1] + 1))[: len(hit)])
-        found = hit.iloc[heads].assign(until=begin[np.append(heads[1:], len(hit)) - 1] + length if len(hit) else begin, w1=0, w2=0, settled=True)
-        if key[1]:  # one of several shards of a document
-            own = np.append(t1[head] == key[0], False)[doc_of[piece]]
-            mine = usable & ~again & ~own
-            rest = rows(mine)
-            for name, values in (("w1", _VALUE), ("w2", _SECOND)):
-                rest[name] = _run_hash(data, length, values).view(np.int64)[rest.place] if len(rest) else []
-            found = pd.concat([found, rest.sort_values(["w1", "w2"]).assign(until=rest.begin + length, settled=False)])
-        return found[["o", "t1", "t2", "begin", "until", "w1", "w2", "settled"]]
+            new_one = np.append(True, (p[1:] != p[:-1] + 1) | (piece[p[1:]] != piece[p[:-1]]))[: len(p)]
+            a, b = p[new_one], p[np.append(new_one[1:], True)[: len(p)]]
+            d = head[doc_of[piece[a]]]
+            text = [None if settled else data[x : y + length].tobytes() for x, y in zip(a, b)]
+            return pd.DataFrame({"o": o[d], "t1": t1[d], "t2": t2[d], "start": where[a], "until": where[b] + length, "part": text, "settled": settled})
+
+        found = stretches(again, True)
+        if shard[1]:  # one of several shards of an owner, whose own parts are in all of them
+            found = pd.concat([found, stretches(usable & ~again & ~np.array(own)[piece], False)])
+        return found
 
     return run
 
 
-def _settle(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-    """Strings that several shards could not settle: a place is a repeat unless binary search in the sorted names leads to itself."""
-    group = group.sort_values(["w1", "w2", "o", "t1", "begin"], kind="stable").reset_index(drop=True)
+STRETCH = "o long, t1 long, t2 long, start long, until long, part binary, settled boolean"
+
+
+def _judged(parts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
+    """Deals parts to shards and judges them there."""
+    size = F.octet_length("part")
+    total = parts.agg(F.sum(size)).first()[0] or 0
+    bins = 2 * max(1, -(-total // shard_bytes))
+    shards = parts.groupBy("owner").agg(F.ceil(F.sum(size) / shard_bytes).cast("int").alias("shards"))
+    several = F.col("shards") > 1
+    every: Column = F.sequence(F.lit(1), F.col("shards"))
+    one = F.array((1 + F.pmod(F.xxhash64("t1", "t2"), F.col("shards"))).cast("int"))
+    salt = F.when(~several, F.array(F.lit(0))).when(F.col("key") == F.col("owner"), every).otherwise(one)
+    place = F.when(several, F.col("owner")).otherwise(F.pmod(F.xxhash64("owner"), F.lit(bins)))
+    dealt = parts.join(shards, "owner").select(place.alias("g"), F.explode(salt).alias("salt"), "key", "o", "t1", "t2", "start", "part")
+    return stored(dealt.groupBy("g", "salt").applyInPandas(_shard(length), STRETCH), keep="judged")
+
+
+def _shared(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """``key, marks``: the shared grams of each key, with the owner they meet at (the key that has them first)."""
+    both = _grams(rows, length, gram, places=False).groupBy("h").agg(F.min_by("key", "o").alias("owner"), F.min("key").alias("a"), F.max("key").alias("b"), F.max("twice").alias("twice"))
+    shared = stored(both.filter("twice or a <> b").select("h", "owner"), keep="shared")
+    places = _grams(rows, length, gram, places=True)
+    return places.join(shared, "h").groupBy("key").agg(F.collect_set(F.struct("owner", "place")).alias("marks"))  # of one text
+
+
+def _named(stretches: DataFrame, length: int) -> DataFrame:
+    """Every string of the stretches by two hashes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                data = np.frombuffer(row.part, np.uint8)
+                one, two = (_run_hash(data, length, v).view(np.int64) for v in (_VALUE, _SECOND))
+                start = row.start + np.arange(len(one))
+                yield pd.DataFrame({"o": row.o, "t1": row.t1, "t2": row.t2, "start": start, "until": start + length, "w1": one, "w2": two})
+
+    return stretches.select("o", "t1", "t2", "start", "part").mapInPandas(run, "o long, t1 long, t2 long, start long, until long, w1 long, w2 long")
+
+
+def _settle(bucket: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    """A place is a repeat unless binary search for its string in the sorted names leads to itself."""
+    group = group.drop_duplicates(["t1", "t2", "start"]).sort_values(["w1", "w2", "o", "t1", "start"], kind="stable").reset_index(drop=True)
     _, one = np.unique(group.w1.to_numpy(), return_inverse=True)
     two_values, two = np.unique(group.w2.to_numpy(), return_inverse=True)
     name = one * len(two_values) + two  # in the order of (w1, w2)
     first = np.searchsorted(name, name, "left")
-    return group.loc[first != np.arange(len(group)), ["t1", "t2", "begin", "until"]]
+    return group.loc[first != np.arange(len(group)), ["t1", "t2", "start", "until"]]
 
 
 def _repeats(rows: DataFrame, length: int, gram: int, shard_bytes: int) -> DataFrame:
-    """``t1, t2, begin, until``: stretches of first copies that repeated strings cover (several may overlap)."""
+    """``t1, t2, start, until``: stretches of first copies that repeated strings cover (several may overlap)."""
     spark = rows.sparkSession
     firsts = rows.groupBy("t1", "t2").agg(F.min("o").alias("o"))
-    shared = (
-        _grams(rows, length, gram, places=False)
-        .groupBy("h")
-        .agg(F.min_by("t1", F.struct("o", "t1")).alias("owner"), F.min("t1").alias("a"), F.max("t1").alias("b"), F.max("twice").alias("twice"))
-        .filter("twice or a <> b")
-        .select("h", "owner")
-    )
-    marks = _grams(rows, length, gram, places=True).join(shared, "h").groupBy("t1").agg(F.collect_set(F.struct("owner", "place")).alias("marks"))  # of one text
-    wanted = firsts.join(marks, "t1").select(*(F.col(k).alias(f"x_{k}") for k in ("t1", "t2", "o")), "marks")
+    marks = _shared(rows.select("o", F.col("t1").alias("key"), F.col("text").cast("binary").alias("part")), length, gram)
+    wanted = firsts.join(marks, firsts.t1 == marks.key).select(*(F.col(k).alias(f"x_{k}") for k in ("t1", "t2", "o")), "key", "marks")
     texts = rows.join(wanted, (F.col("t1") == F.col("x_t1")) & (F.col("t2") == F.col("x_t2"))).filter("o = x_o")
-    parts = stored(_parts(texts.select("o", "t1", "t2", "text", F.col("marks.owner").alias("owners"), F.col("marks.place").alias("places")), length, gram), keep="parts")
-    size = F.octet_length("part")
-    total = parts.agg(F.sum(size)).first()[0] or 0
-    bins = max(1, -(-total // shard_bytes)) * 2
-    shards = parts.groupBy("owner").agg(F.ceil(F.sum(size) / shard_bytes).cast("int").alias("shards"))
-    large = parts.join(shards, "owner").withColumn("many", F.col("shards") > 1)
-    every: Column = F.sequence(F.lit(1), F.col("shards"))
-    salt = F.when(~F.col("many"), F.array(F.lit(0))).when(F.col("t1") == F.col("owner"), every).otherwise(F.array((1 + F.pmod(F.xxhash64("t1", "t2"), F.col("shards"))).cast("int")))
-    dealt = large.select(F.when(F.col("many"), F.col("owner")).otherwise(F.pmod(F.xxhash64("owner"), F.lit(bins))).alias("g"), F.explode(salt).alias("salt"), "o", "t1", "t2", "start", "part")
-    judged = stored(dealt.groupBy("g", "salt").applyInPandas(_shard(length), "o long, t1 long, t2 long, begin long, until long, w1 long, w2 long, settled boolean"), keep="judged")
-    open_rows = judged.filter("not settled").withColumn("bucket", F.pmod("w1", F.lit(16 * partitions(spark))))
-    late = open_rows.groupBy("bucket").applyInPandas(_settle, "t1 long, t2 long, begin long, until long")
-    return judged.filter("settled").select("t1", "t2", "begin", "until").union(late)
+    ready = texts.select("key", "o", "t1", "t2", F.lit(0).cast("long").alias("start"), F.col("text").cast("binary").alias("part"), F.col("marks.owner").alias("owners"), F.col("marks.place").alias("places"))
+    judged = _judged(stored(_parts(ready, length, gram), keep="parts"), length, shard_bytes)
+    found = judged.filter("settled")
+    rest = judged.filter("not settled").withColumn("key", F.xxhash64("t1", "t2", "start", "until"))
+    if not rest.isEmpty():
+        marks = _shared(rest, length, gram)
+        ready = rest.join(marks, "key").select("key", "o", "t1", "t2", "start", "part", F.col("marks.owner").alias("owners"), F.col("marks.place").alias("places"))
+        judged = _judged(stored(_parts(ready, length, gram), keep="parts"), length, shard_bytes)
+        names = _named(judged.filter("not settled"), length).withColumn("bucket", F.pmod("w1", F.lit(16 * partitions(spark))))
+        late = names.groupBy("bucket").applyInPandas(_settle, "t1 long, t2 long, start long, until long")
+        found = found.select("t1", "t2", "start", "until").union(judged.filter("settled").select("t1", "t2", "start", "until")).union(late)
+    return found.select("t1", "t2", "start", "until")
 
 
 def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -242,7 +272,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     if not 8 <= gram < length:
         raise ValueError("gram must be shorter than length")
     rows = _identified(docs, text, doc_id)
-    spans = _repeats(rows, length, gram, shard_bytes).groupBy("t1", "t2").agg(F.sort_array(F.collect_set(F.struct("begin", "until"))).alias("spans"))  # of one text
+    spans = _repeats(rows, length, gram, shard_bytes).groupBy("t1", "t2").agg(F.sort_array(F.collect_set(F.struct("start", "until"))).alias("spans"))  # of one text
     firsts = rows.groupBy("t1", "t2").agg(F.min("o").alias("first"))
     facts = firsts.join(spans, ["t1", "t2"], "left")
 
@@ -261,5 +291,5 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
             cols = list(zip(*out)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(),) * 4 + (pa.binary(),))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = rows.join(facts, ["t1", "t2"]).select("doc_id", "text", F.col("spans.begin").alias("begins"), F.col("spans.until").alias("untils"), (F.col("o") > F.col("first")).alias("copy"))
+    joined = rows.join(facts, ["t1", "t2"]).select("doc_id", "text", F.col("spans.start").alias("begins"), F.col("spans.until").alias("untils"), (F.col("o") > F.col("first")).alias("copy"))
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
