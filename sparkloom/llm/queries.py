@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, minhash, packing, quality, sharding, spotsigs, suffix_dedup, url_filter
+from . import byte_bpe, line_dedup, minhash, packing, quality, sharding, spotsigs, suffix_dedup, topk, url_filter
 from .common import table
 
 
@@ -45,6 +45,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", F.md5(F.encode("text", "utf-8")).alias("text_md5"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.evaluate(url_filter.captures_of(pages), url_filter.dated_list(pages)).drop("fetched").withColumn("listed_since", F.col("listed_since").cast("string"))
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_quality": op3_quality,
     "op4_line_dedup": op4_line_dedup,
+    "op5_topk": op5_topk,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_url_filter": op7_url_filter,
     "op8_minhash": op8_minhash,
@@ -81,5 +86,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE,
+    "op5_topk": topk.ORACLE,
     "op7_url_filter": url_filter.ORACLE,
 }
