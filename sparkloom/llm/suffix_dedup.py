@@ -88,9 +88,9 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[heads], np.maximum.reduceat(end, heads)
 
 
-def _identified(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+def _identified(docs: DataFrame, text: str, doc_id: str, carry: tuple[str, ...] = ()) -> DataFrame:
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("o"), F.col(doc_id).cast("long").alias("doc_id"), t.alias("text"))
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("o"), F.col(doc_id).cast("long").alias("doc_id"), t.alias("text"), *(F.col(c).alias(f"x_{c}") for c in carry))
     return rows.select("*", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2"))
 
 
@@ -267,11 +267,16 @@ def _repeats(rows: DataFrame, length: int, gram: int, shard_bytes: int) -> DataF
     return found.select("t1", "t2", "start", "until")
 
 
-def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (the remaining bytes) for every row."""
+def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (the remaining bytes), and the columns of ``carry``, for every row.
+
+    With ``as_text``, ``kept`` is a string: code points of which a byte was removed are gone.
+    """
     if not 8 <= gram < length:
         raise ValueError("gram must be shorter than length")
     rows = _identified(docs, text, doc_id)
+    if {*carry} & {"doc_id", "n_bytes", "n_removed", "n_spans", "kept"}:
+        raise ValueError("a carried column has the name of a result")
     spans = _repeats(rows, length, gram, shard_bytes).groupBy("t1", "t2").agg(F.sort_array(F.collect_set(F.struct("start", "until"))).alias("spans"))  # of one text
     firsts = rows.groupBy("t1", "t2").agg(F.min("o").alias("first"))
     facts = firsts.join(spans, ["t1", "t2"], "left")
@@ -289,7 +294,12 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
                 out.append((key, len(raw), len(raw) - len(kept), len(begin), kept))
             cols = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(),) * 4 + (pa.binary(),))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    joined = rows.join(facts, ["t1", "t2"]).select("doc_id", "text", F.col("spans.start").alias("begins"), F.col("spans.until").alias("untils"), (F.col("o") > F.col("first")).alias("copy"))
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+            if as_text:
+                cols[4] = [k.decode(errors="ignore") for k in cols[4]]
+            kinds = (pa.int64(),) * 4 + (pa.string() if as_text else pa.binary(),)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), *(batch.column(f"x_{c}") for c in carry)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *carry])
+
+    whole = _identified(docs, text, doc_id, carry)
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    joined = whole.join(facts, ["t1", "t2"]).select(*(f"x_{c}" for c in carry), "doc_id", "text", F.col("spans.start").alias("begins"), F.col("spans.until").alias("untils"), (F.col("o") > F.col("first")).alias("copy"))
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept " + ("string" if as_text else "binary") + kinds)
