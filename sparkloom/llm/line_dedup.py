@@ -64,7 +64,7 @@ def recurring(texts: DataFrame, *, leading: int, min_tokens: int, min_docs: int,
 def drop_recurring(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", leading: int = LEADING, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, common: float = COMMON, constant: float = CONSTANT) -> DataFrame:
     """``docs`` with ``text`` without its recurring lines, and ``n_lines``, ``n_dropped``."""
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    keyed = docs.select(F.struct(*names).alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("o"), F.col(text).cast("string").alias("text"))
+    keyed = docs.select(*(F.col(c).alias(f"x_{c}") for c in names if c != text), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("o"), F.col(text).cast("string").alias("text"))
     keyed = keyed.select("*", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2"))
     found = recurring(keyed.select("o", "t1", "t2", "text"), leading=leading, min_tokens=min_tokens, min_docs=min_docs, common=common, constant=constant)
     per_text = found.groupBy("t1", "t2").agg(F.collect_set(F.struct("i", "first_o", "first_i")).alias("found"))  # of one text
@@ -73,7 +73,7 @@ def drop_recurring(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     lines = F.split("text", "\n")
     left = F.filter(lines, lambda line, i: ~F.array_contains(gone, i))
     out = F.when(F.size(gone) > 0, F.array_join(left, "\n")).otherwise(F.col("text"))
-    fields = [out.alias(c) if c == text else F.col("row")[c].alias(c) for c in names]
+    fields = [out.alias(c) if c == text else F.col(f"x_{c}").alias(c) for c in names]
     return joined.select(*fields, F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.size(gone).alias("n_dropped"))
 
 
