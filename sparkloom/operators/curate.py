@@ -81,7 +81,8 @@ def violations(rows: DataFrame, rules: dict[str, Column], stops: tuple[str, ...]
         broken.append(F.when(now, F.lit(name)))
         if name in stops:
             halted = halted | F.coalesce(bad, F.lit(False))
-    return rows.withColumn("rule", F.explode(F.array_compact(F.array(*broken))))
+    judged = rows.withColumn("_broken", F.array_compact(F.array(*broken)))  # rules may hold window functions, generators may not
+    return judged.withColumn("rule", F.explode("_broken")).drop("_broken")
 
 
 def answer_rules(order: str = "ord") -> dict[str, Column]:

@@ -28,8 +28,9 @@ def sliding_windows(parts: DataFrame, size: float, step: float, duration: str =
 def local_interval(part: Column, duration: Column, start_part: Column, start: Column, stop_part: Column, stop: Column) -> tuple[Column, Column]:
     """The stretch of a cross-part interval in one part, clamped to it; null where it is not in the part or empty."""
     inside = (start_part <= part) & (part <= stop_part)
-    begin = F.least(F.greatest(F.when(part == start_part, start).otherwise(start * 0), start * 0), duration)
-    end = F.least(F.greatest(F.when(part == stop_part, stop).otherwise(duration), stop * 0), duration)
+    first, last = F.when(part == start_part, start).otherwise(duration * 0), F.when(part == stop_part, stop).otherwise(duration)
+    clamped = lambda x: F.when(x.isNotNull(), F.least(F.greatest(x, duration * 0), duration))
+    begin, end = clamped(first), clamped(last)
     ok = inside & (end > begin)
     return F.when(ok, begin), F.when(ok, end)
 

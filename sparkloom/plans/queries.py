@@ -182,13 +182,13 @@ def status_flag_join(spark, sf_dir):
     return C.visual_status(*audits(spark, sf_dir))
 
 
-@query("""SELECT o_orderkey, CASE WHEN c.c_custkey IS NOT NULL THEN 'customer' WHEN s.s_suppkey IS NOT NULL THEN 'supplier' END AS found_in, coalesce(c.c_nationkey, s.s_nationkey) AS nation
+@query("""SELECT o_orderkey, CASE WHEN c.c_custkey IS NOT NULL THEN 'customer' WHEN s.s_suppkey IS NOT NULL THEN 'supplier' END AS found_in, coalesce(c.c_nationkey, s.s_nationkey, -1) AS nation
 FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) c ON o_custkey = c_custkey LEFT JOIN supplier s ON o_custkey = s_suppkey""")
 def fallback_chain_join(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("k"))
     c = read(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("nation"))
     s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("nation"))
-    return M.first_hit(o, [("customer", c), ("supplier", s)], "k", "nation").select("o_orderkey", "found_in", "nation")
+    return M.first_hit(o, [("customer", c), ("supplier", s)], "k", "nation").select("o_orderkey", "found_in", F.coalesce("nation", F.lit(-1)).alias("nation"))
 
 
 PLAN = "SELECT doc_id, n, list_transform(range(8), lambda i: least(greatest(CAST(floor(CASE WHEN i = 7 THEN greatest(n - 1.0, 0.0) ELSE i * (greatest(n - 1.0, 0.0) / 7) END) AS BIGINT), 0), n - 1)) AS p FROM (SELECT doc_id, n_chars AS n FROM documents)"
@@ -324,9 +324,9 @@ def ordered_union(spark, sf_dir):
 # ------------------------------------------------------------------ text rules
 
 
-@query("SELECT conv_id, turn, CASE WHEN starts_with(t, 'yes') THEN TRUE WHEN starts_with(t, 'no') THEN FALSE END AS polarity FROM (SELECT *, lower(trim(text)) AS t FROM conversations)")
+@query("SELECT conv_id, turn, CASE WHEN starts_with(t, 'yes') THEN 'true' WHEN starts_with(t, 'no') THEN 'false' END AS polarity FROM (SELECT *, lower(trim(text)) AS t FROM conversations)")
 def polarity(spark, sf_dir):
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", X.polarity(F.col("text")).alias("polarity"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", X.polarity(F.col("text")).cast("string").alias("polarity"))
 
 
 @query(r"""SELECT page_id, TRY_CAST(nullif(regexp_extract('case_' || page_id || 'p', '(?i)case_?(\d+)', 1), '') AS INTEGER) AS case_no, coalesce(TRY_CAST(nullif(regexp_extract('v_part_00' || page_id || '.mp4', 'part_0*(\d{1,9})(?:\.mp4)?$', 1), '') AS INTEGER), 1) AS part, coalesce(nullif(regexp_extract(url, '(?i)[\\/](example[\\/].*)$', 1), ''), url) AS path FROM pages""")
