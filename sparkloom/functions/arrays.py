@@ -17,9 +17,17 @@ def index_plan(total: Column, n: int, start: Column | None = None, end: Column |
 
 def nearest_valid(values: Column, valid: Column) -> Column:
     """Each invalid place takes the value of the nearest valid one (ties: the earlier); without a valid one nothing changes."""
-    places = F.filter(F.sequence(F.lit(0), F.size(values) - 1), lambda j: F.get(valid, j))
-    near = F.transform(values, lambda v, i: F.when(F.get(valid, i), v).otherwise(F.get(values, F.array_min(F.transform(places, lambda j: F.struct(F.abs(j - i).alias("d"), j.alias("j")))).j)))
-    return F.when(F.size(places) > 0, near).otherwise(values)
+    at = F.transform(valid, lambda m, i: F.when(m, i))
+
+    def carried(places: Column) -> Column:
+        """The last place that is not null, at each place."""
+        start = F.struct(F.lit(None).cast("int").alias("last"), F.array().cast("array<int>").alias("out"))
+        step = lambda a, x: F.struct(F.coalesce(x, a.last).alias("last"), F.concat(a.out, F.array(F.coalesce(x, a.last))).alias("out"))
+        return F.aggregate(places, start, step, lambda a: a.out)
+
+    both = F.zip_with(carried(at), F.reverse(carried(F.reverse(at))), lambda b, a: F.struct(b.alias("b"), a.alias("a")))
+    near = F.transform(both, lambda p, i: F.when(p.a.isNull() | (i - p.b <= p.a - i), p.b).otherwise(p.a))
+    return F.when(F.exists(valid, lambda m: m), F.transform(near, lambda j: F.get(values, j))).otherwise(values)
 
 
 def roll(values: Column, by: int) -> Column:
