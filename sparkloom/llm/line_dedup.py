@@ -32,21 +32,21 @@ LAST = (1 << 63) - 1
 
 
 def _lines(texts: DataFrame, leading: int, min_tokens: int) -> DataFrame:
-    """``t1, t2, i, n, lead`` of the lines that may recur."""
-    lines = texts.select("t1", "t2", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    """``t1, i, leaf`` of the lines that may recur; the leaf by a hash, which may send more lines on but never fewer."""
+    lines = texts.select("t1", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     tokens = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     lead = F.regexp_replace(F.substring_index("line", " ", leading), "[^ ]*[0-9][^ ]*", VARIABLE)
-    return lines.select("t1", "t2", "i", tokens.alias("n"), lead.alias("lead")).filter(F.col("n") >= min_tokens)
+    return lines.withColumn("n", tokens).filter(F.col("n") >= min_tokens).select("t1", "i", F.xxhash64("n", lead).alias("leaf"))
 
 
 def recurring(texts: DataFrame, *, leading: int, min_tokens: int, min_docs: int, common: float, constant: float) -> DataFrame:
     """``t1, t2, i, first_o, first_i`` of every line whose template recurs, from ``texts(o, t1, t2, text)``."""
     lines = _lines(texts, leading, min_tokens)
     leaf = ["n", "lead"]
-    leaves = lines.groupBy(*leaf, "t1").agg(F.count("*").alias("m")).groupBy(*leaf).agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs).select(*leaf)
-    hot = lines.join(leaves, leaf).groupBy("t1", "t2").agg(F.collect_set("i").alias("hot"))  # of one text
+    leaves = lines.select("leaf", "t1").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs).select("leaf")
+    hot = lines.join(leaves, "leaf").groupBy("t1").agg(F.collect_set("i").alias("hot"))  # of one text
     once = texts.groupBy("t1", "t2").agg(F.min("o").alias("o"))
-    chosen = texts.join(hot.join(once, ["t1", "t2"]).select(F.col("t1").alias("a"), F.col("t2").alias("b"), F.col("o").alias("c"), "hot"), (F.col("t1") == F.col("a")) & (F.col("t2") == F.col("b"))).filter("o = c")
+    chosen = texts.join(hot.join(once, "t1").select(F.col("t1").alias("a"), F.col("t2").alias("b"), F.col("o").alias("c"), "hot"), (F.col("t1") == F.col("a")) & (F.col("t2") == F.col("b"))).filter("o = c")
     split = F.split("text", "\n")
     own = chosen.select("o", "t1", "t2", F.explode(F.transform("hot", lambda i: F.struct(i.alias("i"), F.split(F.get(split, i), " ").alias("tokens")))).alias("l")).select("o", "t1", "t2", "l.i", "l.tokens").dropDuplicates(["t1", "t2", "i"])
     own = own.withColumn("n", F.size("tokens")).withColumn("lead", F.array_join(F.transform(F.slice("tokens", 1, leading), lambda t: F.when(t.rlike("[0-9]"), VARIABLE).otherwise(t)), " "))
