@@ -3,7 +3,8 @@
 Every line is labelled good or bad. A line is described by counts over its bytes
 and words and by those of its two neighbours; transitions tie neighbouring
 labels. Forward-backward marginals of the label good, weighted by line length,
-give the document's score.
+give the document's quality, which a logistic curve fitted on the same sample
+turns into a probability, the score.
 
 The field is fitted by L-BFGS on the driver from a bounded sample of labelled
 documents (``sample`` documents of at most ``sample_lines`` lines, taken in the
@@ -116,6 +117,33 @@ class Field:
 
     weights: np.ndarray
     moves: np.ndarray
+    slope: float = 1.0
+    shift: float = 0.0
+
+    def quality(self, features: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Log odds of the documents' mean marginals, weighted by line length."""
+        good, _, _ = self.marginals(features, at)
+        weight = np.append(0, np.cumsum(size + 1.0))
+        total = np.append(0, np.cumsum(good * (size + 1.0)))
+        mean = np.clip((total[at[1:]] - total[at[:-1]]) / (weight[at[1:]] - weight[at[:-1]]), 1e-9, 1 - 1e-9)
+        return np.log(mean / (1 - mean))
+
+    def scores(self, features: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.quality(features, at, size) + self.shift, -700, 700)))
+
+    def calibrate(self, quality: np.ndarray, labels: np.ndarray, penalty: float = 1e-3, rounds: int = 50) -> None:
+        """Fit the curve's slope and shift by Newton's method with an L2 penalty on the slope."""
+        x = np.stack([quality, np.ones(len(quality))], 1)
+        p = np.array([1.0, 0.0])
+        ridge = np.array([penalty, penalty * 1e-2])
+        for _ in range(rounds):
+            q = 1 / (1 + np.exp(-np.clip(x @ p, -30, 30)))
+            slope = x.T @ (q - labels) / len(x) + ridge * p
+            bend = (x * (q * (1 - q))[:, None]).T @ x / len(x) + np.diag(ridge)
+            move = np.linalg.solve(bend, slope)
+            p = p - move * min(1.0, 2.0 / (np.abs(move).max() + 1e-12))
+        if p[0] > 0:  # else the sample says nothing on order
+            self.slope, self.shift = float(p[0]), float(p[1])
 
     def marginals(self, features: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """P(good) of every line, summed P(label, next label), and the summed log partition."""
@@ -219,16 +247,20 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, *, s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
-            features, at, _ = line_features(*text_bytes(column(block, "text")))
+            features, at, size = line_features(*text_bytes(column(block, "text")))
             rows = [features[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([column(block, "doc_id"), column(block, "quality"), pa.array(rows, pa.binary())], ["doc_id", "quality", "features"])
+            sizes = [size[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([column(block, "doc_id"), column(block, "quality"), pa.array(rows, pa.binary()), pa.array(sizes, pa.binary())], ["doc_id", "quality", "features", "sizes"])
 
-    got = texts.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, features binary").toPandas()  # at most sample * sample_lines lines
+    got = texts.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, features binary, sizes binary").toPandas()  # at most sample * sample_lines lines
     got = got.drop_duplicates("doc_id").sort_values("doc_id")
     if got.quality.nunique() < 1:
         return None
     parts = [np.frombuffer(f, np.float32).reshape(-1, 3 * N_OWN + 3) for f in got.features]
-    return fit(np.concatenate(parts).astype(np.float64), np.append(0, np.cumsum([len(p) for p in parts])), got.quality.to_numpy())
+    features, at, labels = np.concatenate(parts).astype(np.float64), np.append(0, np.cumsum([len(p) for p in parts])), got.quality.to_numpy()
+    field = fit(features, at, labels)
+    field.calibrate(field.quality(features, at, np.frombuffer(b"".join(got.sizes), np.int64)), labels)
+    return field
 
 
 def scores(docs: DataFrame, field: Field | None) -> DataFrame:
@@ -242,11 +274,7 @@ def scores(docs: DataFrame, field: Field | None) -> DataFrame:
             if field is None:
                 score = np.full(block.num_rows, 0.5)
             else:
-                features, at, size = line_features(*text_bytes(column(block, "text")))
-                good, _, _ = field.marginals(features, at)
-                weight = np.append(0, np.cumsum(size + 1.0))
-                total = np.append(0, np.cumsum(good * (size + 1.0)))
-                score = (total[at[1:]] - total[at[:-1]]) / (weight[at[1:]] - weight[at[:-1]])
+                score = field.scores(*line_features(*text_bytes(column(block, "text"))))
             yield pa.RecordBatch.from_arrays([*block.columns, pa.array(np.clip(score, 0, 1))], [*names, "score"])
 
     if "score" in names:
