@@ -1 +1 @@
-
+"""Relational operators of the curation side."""

@@ -1 +1 @@
-
+"""Jobs and registered queries."""

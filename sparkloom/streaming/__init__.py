@@ -1 +1 @@
-
+"""Streaming extension."""
