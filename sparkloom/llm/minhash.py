@@ -112,10 +112,12 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, width:
     keyed = stored(tables(classes, halves), keep="tables")
     sizes = classes.select("node", "n")
 
-    least = keyed.groupBy("key").agg(F.min("node").alias("u"), F.count("*").alias("members")).filter("members > 1").select("key", "u")
-    stars = keyed.join(least, "key").filter("u <> node").select("u", F.col("node").alias("v"))
+    least = keyed.groupBy("key").agg(F.min("node").alias("u"), F.count("*").alias("members")).filter("members > 1")
+    stars = keyed.join(least.select("key", "u"), "key").filter("u <> node").select("u", F.col("node").alias("v"))
     pairs = stored(_alike_in_size(stars.groupBy("u", "v").agg(F.count("*").alias("tables")), sizes, percent), keep="pairs")
-    active = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
+    # later rounds pair classes of buckets of three or more, whatever the first star's sizes were
+    more = keyed.join(least.filter("members > 2").select("key"), "key", "left_semi").select("node")
+    active = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).union(more).distinct()
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # the active documents have no size bound, so neither plan nor growth may hang on a broadcast of them
     sets = stored(shingle_sets(source.join(active.hint("merge"), "doc_id", "left_semi"), size).dropDuplicates(["doc_id"]), keep="sets")

@@ -213,6 +213,31 @@ def test_minhash(docs, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def one_bucket(seed, *parts):
+    """Texts of runs of (vocabulary, words), all in one bucket of a single table of two minhashes."""
+    import pyarrow as pa
+
+    seeds = np.random.default_rng(77).integers(0, 1 << 63, 2, dtype=np.uint64)
+    for t in range(seed, seed + 5000):
+        texts = [" ".join(f"{seed}{v}{t}w{i}" for v, a, b in runs for i in range(a, b)) for runs in parts]
+        values, at = minhash.sets_of(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]), 5)
+        if (np.diff(minhash.minima(values, at, seeds).astype(np.int64), axis=0) == 0).all():
+            return texts
+    raise AssertionError("no such texts")
+
+
+def judged_as_brute_force(spark, docs):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(docs, EMPTY), width=1, halves=1).collect()}
+    assert got == brute_components(docs)
+    return {d: v[1] for d, v in got.items()}
+
+
+def test_minhash_smaller_document_of_other_size(spark):
+    shared = ("p", 0, 100)
+    texts = one_bucket(1, (shared, ("e", 0, 60)), (shared, ("c", 0, 8)), (shared, ("d", 0, 8)))
+    assert judged_as_brute_force(spark, list(enumerate(texts, 1))) == {1: 1, 2: 2, 3: 2}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (95, 100)], "u long, v long")
     got = {r.node: r.root for r in components.components(links).collect()}
