@@ -12,8 +12,10 @@ class has are dropped before tables are formed, so only documents with something
 in common reach them. In a table's bucket each class is compared with the
 bucket's smallest class; a bucket whose classes then still fall into several
 components compares the others with the smallest class of another component.
-Every link is confirmed on the full sets. No bucket is expanded into all pairs
-and none is cut off.
+Classes of buckets that even then hold untested candidates are joined exactly:
+sets that alike share one of their rarest shingles, so all pairs of different
+components that share one, and that sizes and the places of the shared ones allow,
+are compared. Every link is confirmed on the full sets; no candidate is cut off.
 
 Defined results: a null or blank text has an empty set, ``n_shingles`` 0, and is
 linked with nothing. A null doc_id takes no part in links (it has no name to link
@@ -37,6 +39,8 @@ from .components import components
 from .words import distinct_each, minima, mix, shingles, words
 
 WIDTH, HALVES = 2, 10
+#: Star rounds over rare shingles before the open pairs are listed, and the part of a shingle's nodes that a row meets at once.
+STARS, PART = 2, 500
 SKETCH = "doc_id long, n_shingles long, set_high long, set_low long, halves array<int>"
 
 
@@ -104,6 +108,46 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "u").join(two, "v").filter(100 * both >= percent * (F.size("su") + F.size("sv") - both)).select("u", "v")
 
 
+def rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """``token``, ``node``, ``n``, ``place`` of the rarest shingles of each set.
+
+    Sets that alike have one of these in common, and the count and last place of
+    those bound what they can share in all. Shingles of one set only take places
+    but make no rows. The order of shingles is that of their number of sets.
+    """
+    own = sets.select(F.col("doc_id").alias("node"), F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    often = own.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    held = own.join(often, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))  # of one document
+    first = F.size("held") + 1 - F.ceil(F.col("n") * percent / 100).cast("int")
+    chosen = held.withColumn("first", first).filter("first > 0")
+    return chosen.select("node", "n", (F.col("n") - F.size("held")).alias("alone"), F.posexplode(F.slice("held", 1, F.col("first"))).alias("at", "h")).select("h.token", "node", "n", (F.col("alone") + F.col("at")).alias("place"))
+
+
+def _rooted(rare: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rare`` with the ``root`` of each node, without the shingles whose nodes are all in one component."""
+    rows = rare.join(roots.withColumnRenamed("node", "m"), F.col("m") == F.col("node"), "left").select(*rare.columns, F.coalesce("root", "node").alias("root"))
+    groups = rows.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("members")).filter("a <> b").select("token", "members")
+    return stored(rows.join(groups, "token"))
+
+
+def _stars(rows: DataFrame, percent: int) -> DataFrame:
+    """The smallest node of each shingle with those outside its component."""
+    least = rows.groupBy("token").agg(F.min_by(F.struct(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru")), "node").alias("s")).select("token", "s.*")
+    pairs = rows.join(least, "token").filter((F.col("root") != F.col("ru")) & (100 * F.least("n", "nu") >= percent * F.greatest("n", "nu")))
+    return pairs.select("u", F.col("node").alias("v")).distinct()
+
+
+def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components that their rarest shingles allow to be alike, dealt by parts of large groups."""
+    parts = F.ceil(F.col("members") / PART).cast("int")
+    one = rows.select("token", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), F.col("node").alias("u"), F.col("n").alias("nu"), F.col("place").alias("pu"), F.col("root").alias("ru"))
+    two = rows.select("token", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("node").alias("v"), F.col("n").alias("nv"), F.col("place").alias("pv"), F.col("root").alias("rv"))
+    met = one.join(two, ["token", "part"]).filter((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")))
+    seen = met.groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("c"), F.max("pu").alias("pu"), F.max("pv").alias("pv"))
+    most = F.col("c") + F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv")) - 1
+    return seen.filter((100 + percent) * most >= percent * (F.col("nu") + F.col("nv"))).select("u", "v")
+
+
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, width: int = WIDTH, halves: int = HALVES) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` for every row of ``docs(doc_id, text)``."""
     rows = stored(sketches(docs, size, width, halves), keep="sketches")
@@ -136,6 +180,19 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, width:
     again = others.join(second, "key").filter("root <> root_u").select("u", F.col("node").alias("v"))
     again = _alike_in_size(again.distinct().join(pairs, ["u", "v"], "left_anti"), sizes, percent).select("u", "v")
     links = stored(links.union(confirmed(again, sets, percent)), keep="links")
+    roots = stored(components(links))
+    # a bucket's smallest class was compared with all of it; buckets whose others are still apart hold untested candidates
+    members = keyed.join(least.filter("members > 2").select("key", "u"), "key").filter("u <> node").join(roots.withColumnRenamed("node", "m"), F.col("m") == F.col("node"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    open_keys = members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
+    left = stored(members.join(open_keys, "key", "left_semi").select("node").distinct(), keep="left")
+    rare = stored(rarest(sets.join(left.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi"), percent), keep="rare")
+    for _ in range(STARS):  # these only save comparisons: what they link need not be paired below
+        fresh = stored(confirmed(_stars(_rooted(rare, roots), percent), sets, percent), keep="fresh")
+        if fresh.isEmpty():
+            break
+        links = stored(links.union(fresh), keep="links")
+        roots = stored(components(links))
+    links = stored(links.union(confirmed(stored(_open_pairs(_rooted(rare, roots), percent)), sets, percent)), keep="links")
     roots = components(links)
 
     top = classes.join(roots, "node", "left").select("set_high", "set_low", F.coalesce("root", "node").alias("root"))

@@ -238,6 +238,28 @@ def test_minhash_smaller_document_of_other_size(spark):
     assert judged_as_brute_force(spark, list(enumerate(texts, 1))) == {1: 1, 2: 2, 3: 2}
 
 
+def test_minhash_pair_behind_unlike_documents(spark):
+    shared = ("p", 0, 100)
+    texts = one_bucket(2, (shared, ("e", 0, 45)), (shared, ("f", 0, 45)), (shared, ("c", 0, 8)), (shared, ("d", 0, 8)))
+    assert judged_as_brute_force(spark, list(enumerate(texts, 1))) == {1: 1, 2: 2, 3: 3, 4: 3}
+
+
+def test_minhash_chain_in_one_bucket(spark):
+    shared = ("p", 0, 100)
+    texts = one_bucket(4, (("x", 0, 20), shared), (shared,), (shared, ("y", 0, 20)))
+    assert judged_as_brute_force(spark, list(enumerate(texts, 1))) == {1: 1, 2: 1, 3: 1}
+
+
+@pytest.mark.parametrize("stars", [0, 2])
+def test_minhash_family_behind_a_passage(spark, monkeypatch, stars):
+    monkeypatch.setattr(minhash, "STARS", stars)
+    monkeypatch.setattr(minhash, "PART", 3)
+    shared = ("p", 0, 100)
+    runs = [(shared, (f"e{i}", 0, 45)) for i in range(3)] + [(shared, (f"c{i}", 0, 8)) for i in range(6)] + [(shared, ("g", 0, 30), (f"g{i}", 0, 16)) for i in range(3)]
+    got = judged_as_brute_force(spark, list(enumerate(one_bucket(5, *runs), 1)))
+    assert all(got[d] == 4 for d in range(4, 10))
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (95, 100)], "u long, v long")
     got = {r.node: r.root for r in components.components(links).collect()}
