@@ -7,8 +7,8 @@ give the document's quality, which a logistic curve fitted on the same sample
 turns into a probability, the score.
 
 The field is fitted by L-BFGS on the driver from a bounded sample of labelled
-documents (``sample`` documents of at most ``sample_lines`` lines, taken in the
-order of a hash of the doc_id); each line takes its document's label. Scoring
+documents (``sample`` of those that have at most ``sample_lines`` lines, in the order
+of a hash of the doc_id; of its different texts the one of least hash); each line takes its document's label. Scoring
 reads every whole text and needs no shuffle.
 
 Defined results: a null or empty text is one empty line and gets the score of
@@ -242,8 +242,13 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, *, s
     if usable is not None:
         known = known.filter(usable)
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = _quality(docs).join(F.broadcast(chosen), "doc_id").filter(F.size(F.split(F.coalesce("text", F.lit("")), "\n")) <= sample_lines)
+    texts = _quality(docs).withColumn("t", F.coalesce("text", F.lit(""))).withColumn("by", F.struct(F.xxhash64("t").alias("a"), F.xxhash64(F.lit(7), "t").alias("b")))
+    fits = texts.filter(F.size(F.split("t", "\n")) <= sample_lines).join(known, "doc_id", "left_semi")
+    # names first: one text for each doc_id by hash, then the bounded choice, then only the texts chosen
+    named = fits.groupBy("doc_id").agg(F.min("by").alias("by")).join(known, "doc_id")
+    chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("own"), F.col("by").alias("first"), "quality")
+    found = texts.join(F.broadcast(chosen), (F.col("doc_id") == F.col("own")) & (F.col("by") == F.col("first")))
+    texts = found.groupBy("doc_id").agg(F.first("quality").alias("quality"), F.first("text").alias("text"))  # equal texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
@@ -253,7 +258,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, *, s
             yield pa.RecordBatch.from_arrays([column(block, "doc_id"), column(block, "quality"), pa.array(rows, pa.binary()), pa.array(sizes, pa.binary())], ["doc_id", "quality", "features", "sizes"])
 
     got = texts.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, features binary, sizes binary").toPandas()  # at most sample * sample_lines lines
-    got = got.drop_duplicates("doc_id").sort_values("doc_id")
+    got = got.sort_values("doc_id")
     if got.quality.nunique() < 1:
         return None
     parts = [np.frombuffer(f, np.float32).reshape(-1, 3 * N_OWN + 3) for f in got.features]

@@ -171,6 +171,17 @@ def test_quality(spark, none):
     assert quality.scores(none, field).count() == 0
 
 
+def test_quality_sample_has_one_row_a_document_and_skips_long_ones(spark, monkeypatch):
+    rows = [(i, "Short lines of prose.\nMore of them." if i % 2 else "!!! ### $$$\n@@@ %%%") for i in range(10)] + [(i, "\n" * 90) for i in range(100, 140)]
+    rows += [(1, f"Other text {i}.\nOf one document.") for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 2)) for i, _ in rows[:50]], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda f, at, y: seen.append((f.tolist(), at.tolist(), y.tolist())) or quality.Field(np.zeros(f.shape[1]), np.zeros((2, 2))))
+    for order in (rows, rows[::-1]):
+        quality.learn(spark.createDataFrame(order, EMPTY), labels, sample=10)
+    assert seen[0] == seen[1] and seen[0][1] == list(range(0, 21, 2)) and seen[0][2] == [0, 1] * 5
+
+
 def test_line_dedup(spark, docs, none):
     rows = [(i, f"User {i} logged in from host\n{prose(9)}\nplain line here {rng.choice(WORDS)}") for i in range(30)] + [(50, "User 77 logged in from host"), (50, "User 77 logged in from host"), (51, None), (52, ""), (None, "User 9 logged in from host\nkept"), (53, "a b")]
     d = spark.createDataFrame([(*r, "e", 5) for r in rows], "doc_id long, text string, n_lines string, m int")
