@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import line_dedup, minhash, packing, quality, suffix_dedup
@@ -10,20 +10,30 @@ from .common import table
 from .queries import held_out, vocabulary
 
 
+def _set_aside(docs: DataFrame) -> DataFrame:
+    """``docs`` with its extra columns under names that no operator adds."""
+    return docs.select(*(F.col(c) if c in ("doc_id", "text") else F.col(c).alias(f"own_{i}") for i, c in enumerate(docs.columns)))
+
+
+def _own(docs: DataFrame) -> dict[str, Column]:
+    """The columns of ``docs``, taken from what an operator made of ``_set_aside(docs)``."""
+    return {c: F.col(c if c in ("doc_id", "text") else f"own_{i}").alias(c) for i, c in enumerate(docs.columns)}
+
+
 def _with_text(docs: DataFrame, changed: DataFrame, text: str = "text") -> DataFrame:
     """The columns of documents from ``changed``, in which ``n_chars`` counts the text again."""
-    return changed.select(*(F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(text).alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    return changed.select(*(F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(text).alias("text") if c == "text" else own for c, own in _own(docs).items()))
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold."""
     field = quality.learn(docs, table(spark, sf_dir, "labels"), ~held_out())
-    return quality.scores(docs, field).filter(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    return quality.scores(_set_aside(docs), field).filter(F.col("score") >= quality.THRESHOLD).select(*_own(docs).values())
 
 
 def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines whose templates recur."""
-    return _with_text(docs, line_dedup.drop_recurring(docs))
+    return _with_text(docs, line_dedup.drop_recurring(_set_aside(docs)))
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +46,9 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes of strings that start earlier."""
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    return _with_text(docs, suffix_dedup.remove_repeats(docs, carry=carry, as_text=True), "kept")
+    aside = _set_aside(docs)
+    carry = tuple(c for c in aside.columns if c not in ("doc_id", "text"))
+    return _with_text(docs, suffix_dedup.remove_repeats(aside, carry=carry, as_text=True), "kept")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -390,3 +390,13 @@ def test_stages_keep_the_columns(spark, tmp_path):
     lines = stages.without_recurring_lines(spark, docs, "")
     assert lines.dtypes == docs.dtypes and lines.count() == len(DOCS)
     assert stages.packed(spark, docs.limit(0), "").count() == 0
+
+
+def test_stages_keep_columns_named_like_the_operators(spark, tmp_path):
+    names = ["score", "kept", "n_bytes", "n_removed", "n_spans", "n_lines", "n_dropped"]
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(i, f"text number {i}", *(f"{c}{i}" for c in names)) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    for stage in (stages.good_documents, stages.without_recurring_lines, stages.without_repeats):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and keyed(map(tuple, out.collect())) == keyed(rows)
