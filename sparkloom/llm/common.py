@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python task expands into arrays at once.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,14 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a session without one (tests) gets a local folder."""
+    """The folder all executors share.
+
+    Only a local session (tests) gets a folder of its own where none is set: on a
+    cluster each executor would write to its own disk.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+_PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def stored(df: DataFrame, *, keep: str = "t") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -36,7 +47,19 @@ def stored(df: DataFrame, *, keep: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkloom/{keep}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _PLACES[back] = path
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that ``stored`` has written, once all that reads them has been stored itself."""
+    for df in frames:
+        path = _PLACES.pop(df, None)
+        if path is not None:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def partitions(spark: SparkSession) -> int:

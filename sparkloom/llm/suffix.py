@@ -17,29 +17,34 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for k in range(8):
         key = (key << np.uint64(8)) | padded[k : n + k]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     # a zero byte and the end of the data look alike here; ends are told apart below, where a missing rank is the lowest
     rank = np.empty(n, np.int64)
     head = np.append(True, key[order[1:]] != key[order[:-1]]) if n else np.zeros(0, bool)
     rank[order] = np.flatnonzero(head)[np.cumsum(head) - 1] if n else 0
+    if n:
+        tied = np.flatnonzero(~(head & np.append(head[1:], True)))
+        order[tied] = np.sort(rank[order[tied]] * n + order[tied]) % n  # ties in order of place
     reached = 8
     while reached < depth and n:
-        last = np.append(head[1:], True)
-        tied = np.flatnonzero(~(head & last))
+        tied = np.flatnonzero(~(head & np.append(head[1:], True)))
         if not len(tied):
             break
         suffix = order[tied]
         after = np.full(len(suffix), 0, np.int64)
         inside = suffix + reached < n
         after[inside] = rank[suffix[inside] + reached] + 1
-        group = rank[suffix]
-        pair = group * (n + 1) + after
-        sort = np.argsort(pair, kind="stable")
-        order[tied] = suffix[sort]
-        pair = pair[sort]
+        pair = rank[suffix] * (n + 1) + after
+        if n < 1 << 20:  # pair and place fit one number
+            both = np.sort(pair * n + suffix)
+            pair, suffix = np.divmod(both, n)
+        else:
+            sort = np.argsort(pair, kind="stable")
+            pair, suffix = pair[sort], suffix[sort]
+        order[tied] = suffix
         new = np.append(True, pair[1:] != pair[:-1])
         head[tied] = new
-        rank[order[tied]] = tied[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        rank[suffix] = tied[np.flatnonzero(new)[np.cumsum(new) - 1]]
         reached *= 2
     return order
 

@@ -8,18 +8,21 @@ Which parts of which texts must meet is found first. Of every ``length`` bytes
 the ``gram`` bytes of smallest hash are chosen, so equal strings choose equal
 grams. A gram chosen in one place only rules out every string that chose it;
 the others keep, around each of their places, the bytes that strings choosing
-them can reach. All places of a gram go to the shard of the document that has it
-first, so neighbouring grams travel together and equal strings always meet.
+them can reach. All places of a gram go to the shard of the segment of text that
+has it first (its owner), so neighbouring grams travel together and equal strings
+always meet.
 
 In a shard, the parts are laid end to end in document order; a suffix array by
 Larsson-Sadakane refinement and Kasai's common prefixes give the classes of equal
-strings, and all but the first of each are repeats. A document whose shard would
-be too large has several; each holds the document's own parts, which settle
-nearly all strings. What a shard could not settle goes out as sorted string
-names, and binary search in the merged names finds the first place of each.
+strings, and all but the first of each are repeats. An owner whose shard would
+be too large has several; each holds the owner's own parts, which are short and
+settle nearly all strings, and a share of the others. Of what a shard could not
+settle, one place for each string and shard goes to a second round of the same
+kind; what is still open there goes out as sorted string names, and binary search
+in the merged names finds the first place of each.
 
 Defined results: a null text is the empty text (0 bytes, nothing removed). A null
-doc_id comes after all others; documents of one doc_id are ordered by a hash of
+doc_id counts as 2**63 - 1; documents of one doc_id are ordered by a hash of
 their text. Rows that repeat both doc_id and text are one document and all come
 back. Texts shorter than ``length`` keep all. Extra columns are ignored. An empty
 table gives no rows.
@@ -35,47 +38,60 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, column, partitions, stored, text_bytes
+from .common import blocks, column, discard, runs, stored, text_bytes
 from .suffix import common_prefixes, repeats, suffix_array
-from .words import _VALUE, mix, powers
+from .words import _VALUE, mix, run_hashes
 
 LENGTH, GRAM = 100, 32
-#: Bytes of parts that a shard should hold; a document that draws more gets several.
+#: Bytes of a text that are one owner of grams, and strings that start in a part.
+SEGMENT = CUT = 64 << 10
+#: Strings that choose their grams together.
+STEP = 1 << 17
+#: Bytes of parts that a shard should hold; an owner that draws more gets several.
 SHARD_BYTES = 512 << 10
+#: Names that are searched together at the end.
+NAMES = 100_000
 LAST = (1 << 63) - 1
 _SECOND = np.random.default_rng(99).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
-def _run_hash(data: np.ndarray, length: int, values: np.ndarray) -> np.ndarray:
-    """Hash of the ``length`` bytes from every place on (of the places that have so many)."""
-    n = len(data) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    up, down = powers(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * up[: len(data)], dtype=np.uint64, out=sums[1:])
-    return mix((sums[length:] - sums[:-length]) * down[:n])
+def chosen_grams(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the grams that strings of ``length`` bytes choose; strings within one text only.
 
-
-def chosen_grams(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the grams that strings of ``length`` bytes choose; strings within one text only."""
+    A choice depends on the string's own bytes alone, so ``step`` strings are
+    looked at together, however long the text is.
+    """
     span = length - gram + 1
-    hashes = _run_hash(data, gram, _VALUE)
-    if len(hashes) < span:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    key = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
-    reach = 1
-    while reach * 2 <= span:
-        key = np.minimum(key[:-reach], key[reach:])
-        reach *= 2
-    if span > reach:
-        key = np.minimum(key[: len(key) - (span - reach)], key[span - reach :])
-    best = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    starts = np.arange(len(best))
-    which = np.searchsorted(offsets, starts, "right") - 1
-    best = best[starts + length <= offsets[which + 1]]
-    places = best[np.append(True, best[1:] != best[:-1])] if len(best) else best  # the chosen place never goes back within a text
-    return places, hashes[places]
+    chosen: list[np.ndarray] = [np.zeros(0, np.int64)]
+    names: list[np.ndarray] = [np.zeros(0, np.uint64)]
+    for a in range(0, len(data) - length + 1, step):
+        hashes = run_hashes(data[a : a + step + length - 1], gram)
+        key = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
+        reach = 1
+        while reach * 2 <= span:
+            key = np.minimum(key[:-reach], key[reach:])
+            reach *= 2
+        if span > reach:
+            key = np.minimum(key[: len(key) - (span - reach)], key[span - reach :])
+        best = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        # strings that reach into the next text choose nothing
+        cut = offsets[(offsets > a) & (offsets < a + len(best) + length - 1)] - a
+        inside = np.ones(len(best) + length, bool)
+        for c in cut.tolist():
+            inside[max(c - length + 1, 0) : c] = False
+        best = best[inside[: len(best)]]
+        if len(best):
+            best = best[np.append(True, best[1:] != best[:-1])]  # the chosen place never goes back
+            chosen.append(best + a)
+            names.append(hashes[best])
+    places, hashes = np.concatenate(chosen), np.concatenate(names)
+    keep = np.append(True, places[1:] != places[:-1])[: len(places)]  # one place chosen on both sides of a step
+    return places[keep], hashes[keep]
+
+
+def _segment(key: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Name of the segment of a text in which a place lies."""
+    return mix(key.view(np.uint64) ^ mix((place // SEGMENT + 1).astype(np.uint64))).view(np.int64)
 
 
 def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,40 +123,46 @@ def _grams(rows: DataFrame, length: int, gram: int, places: bool) -> DataFrame:
             data, offsets = text_bytes(column(block, "part"))
             at, hashes = chosen_grams(data, offsets, length, gram)
             owner = np.searchsorted(offsets, at, "right") - 1
-            h = hashes.view(np.int64)
+            h, place = hashes.view(np.int64), at - offsets[owner]
+            segment = _segment(key[owner], place)
             if places:
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(key[owner]), pa.array((at - offsets[owner]).astype(np.int32))], ["h", "key", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(key[owner]), pa.array(place.astype(np.int32)), pa.array(segment)], ["h", "key", "place", "segment"])
                 continue
-            order = np.lexsort((h, owner))
-            h, owner = h[order], owner[order]
+            order = np.lexsort((h, owner))  # stable: the first place of each gram leads
+            h, owner, segment = h[order], owner[order], segment[order]
             heads = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))[: len(h)])
-            yield pa.RecordBatch.from_arrays([pa.array(h[heads]), pa.array(key[owner[heads]]), pa.array(o[owner[heads]]), pa.array(np.diff(np.append(heads, len(h))) > 1)], ["h", "key", "o", "twice"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[heads]), pa.array(key[owner[heads]]), pa.array(o[owner[heads]]), pa.array(segment[heads]), pa.array(np.diff(np.append(heads, len(h))) > 1)], ["h", "key", "o", "segment", "twice"])
 
-    return rows.select("o", "key", "part").mapInArrow(run, "h long, key long, place int" if places else "h long, key long, o long, twice boolean")
+    return rows.select("o", "key", "part").mapInArrow(run, "h long, key long, place int, segment long" if places else "h long, key long, o long, segment long, twice boolean")
 
 
-PART = "owner long, key long, o long, t1 long, t2 long, start long, part binary"
+PART = "owner long, own boolean, o long, t1 long, t2 long, start long, part binary"
 
 
 def _parts(marked: DataFrame, length: int, gram: int) -> DataFrame:
-    """Cuts the bytes around its shared grams from each part, for each owner."""
+    """Cuts the bytes around its shared grams from each part, for each owner, into at most ``CUT`` strings each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("owner", "key", "o", "t1", "t2", "start", "part")}
-            for key, o, t1, t2, base, raw, owners, places in zip(*(batch.column(k).to_pylist() for k in ("key", "o", "t1", "t2", "start", "part", "owners", "places"))):
-                owner, place = np.array(owners, np.int64), np.array(places, np.int64)
-                order = np.lexsort((place, owner))
-                owner, place = owner[order], place[order]
-                cuts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])).tolist()
-                for a, b in zip(cuts, [*cuts[1:], len(owner)]):
-                    begin, end = merged(np.maximum(place[a:b] + gram - length, 0), np.minimum(place[a:b] + length, len(raw)))
-                    for x, y in zip(begin.tolist(), end.tolist()):
-                        for k, v in zip(out, (int(owner[a]), key, o, t1, t2, base + x, raw[x:y])):
-                            out[k].append(v)
-            yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in list(out.values())[:-1]), pa.array(out["part"], pa.binary())], list(out))
-
-    return marked.mapInArrow(run, PART)
+        for block in blocks(batches, "part"):
+            marks, size = column(block, "marks"), np.diff(text_bytes(column(block, "part"))[1])
+            row = np.repeat(np.arange(block.num_rows), marks.value_lengths().to_numpy())
+            owner, place, own = (np.asarray(marks.flatten().field(k)) for k in ("owner", "place", "own"))
+            order = np.lexsort((place, own, owner, row))
+            row, owner, place, own = row[order], owner[order], place[order].astype(np.int64), own[order]
+            begin, end = np.maximum(place + gram - length, 0), np.minimum(place + length, size[row])
+            new = np.append(True, (row[1:] != row[:-1]) | (owner[1:] != owner[:-1]) | (own[1:] != own[:-1]) | (begin[1:] > end[:-1]))[: len(row)]
+            row, owner, own, begin = row[new], owner[new], own[new], begin[new]
+            end = end[np.append(new[1:], True)[: len(new)]]
+            cuts = np.maximum(-(-(end - begin - length + 1) // CUT), 1)
+            which, number = runs(cuts)
+            row, owner, own, begin, end = row[which], owner[which], own[which], begin[which] + number * CUT, end[which]
+            end = np.minimum(end, begin + CUT + length - 1)
+            raw = column(block, "part").to_pylist()
+            parts = [raw[r][x:y] for r, x, y in zip(row.tolist(), begin.tolist(), end.tolist())]
+            o, t1, t2, base = (np.asarray(column(block, k))[row] for k in ("o", "t1", "t2", "start"))
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(own), pa.array(o), pa.array(t1), pa.array(t2), pa.array(base + begin), pa.array(parts, pa.binary())], ["owner", "own", "o", "t1", "t2", "start", "part"])
+
+    return marked.select("o", "t1", "t2", "start", "part", "marks").mapInArrow(run, PART)
 
 
 def _shard(length: int):
@@ -148,19 +170,18 @@ def _shard(length: int):
 
     def run(shard: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["o", "t1", "t2", "start"], kind="stable")
-        o, key, t1, t2, start = (group[k].to_numpy() for k in ("o", "key", "t1", "t2", "start"))
-        size = group.part.str.len().to_numpy()
+        o, t1, t2, start = (group[k].to_numpy() for k in ("o", "t1", "t2", "start"))
         new = np.append(True, (o[1:] != o[:-1]) | (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1]))
         document = np.cumsum(new) - 1
         pieces, at, doc_of, own = [], [], [], []
         reach = -1
-        for k, (d, s, part, of_owner) in enumerate(zip(document.tolist(), start.tolist(), group.part, (key == shard[0]).tolist())):  # parts of one document may overlap
+        for k, (d, s, part, of_owner) in enumerate(zip(document.tolist(), start.tolist(), group.part, group.own.tolist())):  # parts of one document may overlap
             if new[k]:
                 reach = -1
             if s + len(part) <= reach:
                 continue
             if s <= reach:
-                pieces[-1] += part[reach - s :]
+                pieces[-1] += part[reach - s :]  # a part has a bounded length
                 own[-1] &= of_owner
             else:
                 pieces.append(bytes(part))
@@ -200,26 +221,32 @@ STRETCH = "o long, t1 long, t2 long, start long, until long, part binary, settle
 
 
 def _judged(parts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
-    """Deals parts to shards and judges them there."""
+    """Deals parts to shards and judges them there.
+
+    An owner is a segment of a text, so its own parts are small, and go to all of
+    its shards; the others are dealt among these one by one.
+    """
     size = F.octet_length("part")
     total = parts.agg(F.sum(size)).first()[0] or 0
     bins = 2 * max(1, -(-total // shard_bytes))
-    shards = parts.groupBy("owner").agg(F.ceil(F.sum(size) / shard_bytes).cast("int").alias("shards"))
-    several = F.col("shards") > 1
-    every: Column = F.sequence(F.lit(1), F.col("shards"))
-    one = F.array((1 + F.pmod(F.xxhash64("t1", "t2"), F.col("shards"))).cast("int"))
-    salt = F.when(~several, F.array(F.lit(0))).when(F.col("key") == F.col("owner"), every).otherwise(one)
-    place = F.when(several, F.col("owner")).otherwise(F.pmod(F.xxhash64("owner"), F.lit(bins)))
-    dealt = parts.join(shards, "owner").select(place.alias("g"), F.explode(salt).alias("salt"), "key", "o", "t1", "t2", "start", "part")
-    return stored(dealt.groupBy("g", "salt").applyInPandas(_shard(length), STRETCH), keep="judged")
-
-
-def _shared(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """``key, marks``: the shared grams of each key, with the owner they meet at (the key that has them first)."""
-    both = _grams(rows, length, gram, places=False).groupBy("h").agg(F.min_by("key", "o").alias("owner"), F.min("key").alias("a"), F.max("key").alias("b"), F.max("twice").alias("twice"))
+    # only owners of several shards are listed, and apart from the parts, so that the join can split a hot one
+    several = stored(parts.groupBy("owner").agg(F.ceil(F.sum(size) / shard_bytes).cast("int").alias("shards")).filter("shards > 1"), keep="several")
+    one = F.array((1 + F.pmod(F.xxhash64("t1", "t2", "start"), F.col("shards"))).cast("int"))
+    salt = F.when(F.col("shards").isNull(), F.array(F.lit(0))).when(F.col("own"), F.sequence(F.lit(1), F.col("shards"))).otherwise(one)
+    place = F.when(F.col("shards").isNull(), F.pmod(F.xxhash64("owner"), F.lit(bins))).otherwise(F.col("owner"))
+    dealt = parts.join(several, "owner", "left").select(place.alias("g"), F.explode(salt).alias("salt"), "own", "o", "t1", "t2", "start", "part")
+    judged = stored(dealt.groupBy("g", "salt").applyInPandas(_shard(length), STRETCH), keep="judged")
+    discard(parts, several)
+    return judged
+
+
+def _shared(rows: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """``key, marks``: the shared grams of each key, with the owner they meet at (the segment that has them first); and a table to discard later."""
+    both = _grams(rows, length, gram, places=False).groupBy("h").agg(F.min_by("segment", "o").alias("owner"), F.min("key").alias("a"), F.max("key").alias("b"), F.max("twice").alias("twice"))
     shared = stored(both.filter("twice or a <> b").select("h", "owner"), keep="shared")
-    places = _grams(rows, length, gram, places=True)
-    return places.join(shared, "h").groupBy("key").agg(F.collect_set(F.struct("owner", "place")).alias("marks"))  # of one text
+    places = _grams(rows, length, gram, places=True).join(shared, "h")
+    mark = F.struct("owner", "place", (F.col("segment") == F.col("owner")).alias("own"))
+    return places.groupBy("key").agg(F.collect_set(mark).alias("marks")), shared  # of one text
 
 
 def _named(stretches: DataFrame, length: int) -> DataFrame:
@@ -229,7 +256,7 @@ def _named(stretches: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 data = np.frombuffer(row.part, np.uint8)
-                one, two = (_run_hash(data, length, v).view(np.int64) for v in (_VALUE, _SECOND))
+                one, two = (run_hashes(data, length, v).view(np.int64) for v in (_VALUE, _SECOND))
                 start = row.start + np.arange(len(one))
                 yield pd.DataFrame({"o": row.o, "t1": row.t1, "t2": row.t2, "start": start, "until": start + length, "w1": one, "w2": two})
 
@@ -248,20 +275,25 @@ def _settle(bucket: tuple, group: pd.DataFrame) -> pd.DataFrame:
 
 def _repeats(rows: DataFrame, length: int, gram: int, shard_bytes: int) -> DataFrame:
     """``t1, t2, start, until``: stretches of first copies that repeated strings cover (several may overlap)."""
-    spark = rows.sparkSession
     firsts = rows.groupBy("t1", "t2").agg(F.min("o").alias("o"))
-    marks = _shared(rows.select("o", F.col("t1").alias("key"), F.col("text").cast("binary").alias("part")), length, gram)
-    wanted = firsts.join(marks, firsts.t1 == marks.key).select(*(F.col(k).alias(f"x_{k}") for k in ("t1", "t2", "o")), "key", "marks")
+    marks, shared = _shared(rows.select("o", F.col("t1").alias("key"), F.col("text").cast("binary").alias("part")), length, gram)
+    wanted = firsts.join(marks, firsts.t1 == marks.key).select(*(F.col(k).alias(f"x_{k}") for k in ("t1", "t2", "o")), "marks")
     texts = rows.join(wanted, (F.col("t1") == F.col("x_t1")) & (F.col("t2") == F.col("x_t2"))).filter("o = x_o")
-    ready = texts.select("key", "o", "t1", "t2", F.lit(0).cast("long").alias("start"), F.col("text").cast("binary").alias("part"), F.col("marks.owner").alias("owners"), F.col("marks.place").alias("places"))
-    judged = _judged(stored(_parts(ready, length, gram), keep="parts"), length, shard_bytes)
+    ready = texts.select("o", "t1", "t2", F.lit(0).cast("long").alias("start"), F.col("text").cast("binary").alias("part"), "marks")
+    parts = stored(_parts(ready, length, gram), keep="parts")
+    discard(shared)
+    judged = _judged(parts, length, shard_bytes)
     found = judged.filter("settled")
     rest = judged.filter("not settled").withColumn("key", F.xxhash64("t1", "t2", "start", "until"))
     if not rest.isEmpty():
-        marks = _shared(rest, length, gram)
-        ready = rest.join(marks, "key").select("key", "o", "t1", "t2", "start", "part", F.col("marks.owner").alias("owners"), F.col("marks.place").alias("places"))
-        judged = _judged(stored(_parts(ready, length, gram), keep="parts"), length, shard_bytes)
-        names = _named(judged.filter("not settled"), length).withColumn("bucket", F.pmod("w1", F.lit(16 * partitions(spark))))
+        marks, shared = _shared(rest, length, gram)
+        parts = stored(_parts(rest.join(marks, "key"), length, gram), keep="parts")
+        discard(shared)
+        judged = _judged(parts, length, shard_bytes)
+        late = judged.filter("not settled")
+        # at most one place of a string for each shard of the second round is left
+        strings = late.agg(F.sum(F.col("until") - F.col("start") - length + 1)).first()[0] or 0
+        names = _named(late, length).withColumn("bucket", F.pmod("w1", F.lit(max(1, strings // NAMES))))
         late = names.groupBy("bucket").applyInPandas(_settle, "t1 long, t2 long, start long, until long")
         found = found.select("t1", "t2", "start", "until").union(judged.filter("settled").select("t1", "t2", "start", "until")).union(late)
     return found.select("t1", "t2", "start", "until")

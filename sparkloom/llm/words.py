@@ -6,6 +6,9 @@ from functools import lru_cache
 
 import numpy as np
 
+#: Bytes that are hashed at once: the size of the two tables of powers, whatever the size of a text.
+WINDOW = 1 << 20
+
 U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -17,28 +20,64 @@ _VALUE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (public splitmix64 constants)."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+    x = x ^ (x >> U(30))
+    x *= U(0xBF58476D1CE4E5B9)
+    x ^= x >> U(27)
+    x *= U(0x94D049BB133111EB)
+    x ^= x >> U(31)
+    return x
 
 
-@lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(1)
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, for the places of a window."""
     inverse = pow(_BASE, -1, 1 << 64)
-    return tuple(np.cumprod(np.append(U(1), np.full(n - 1, U(b), np.uint64)), dtype=np.uint64) for b in (_BASE, inverse))
-
+    return tuple(np.cumprod(np.append(U(1), np.full(WINDOW - 1, U(b), np.uint64)), dtype=np.uint64) for b in (_BASE, inverse))
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(16, int(n).bit_length()))
 
-
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Sums whose differences, times an inverse power, are polynomial hashes of any run of bytes."""
+def _sums(data: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums over a window whose differences, times an inverse power, are polynomial hashes of any run of its bytes."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUE[data] * powers(len(data))[0][: len(data)], dtype=np.uint64, out=sums[1:])
+    np.multiply(values[data], powers()[0][: len(data)], out=sums[1:])
+    np.cumsum(sums, out=sums)
     return sums
 
 
+def run_hashes(data: np.ndarray, length: int, values: np.ndarray = _VALUE) -> np.ndarray:
+    """Hash of the ``length`` (less than a window) bytes from every place on, of the places that have so many."""
+    n = len(data) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.empty(n, np.uint64)
+    step = WINDOW - length + 1
+    for a in range(0, n, step):
+        sums = _sums(data[a : a + step + length - 1], values)
+        found = sums[length:] - sums[:-length]
+        found *= powers()[1][: len(found)]
+        out[a : a + len(found)] = mix(found)
+    return out
+
+
+def _word_hashes(data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hash of each word; windows end between words, and a word longer than one is hashed by its parts."""
+    out = np.empty(len(begin), np.uint64)
+    k = 0
+    while k < len(begin):
+        a = begin[k]
+        m = int(np.searchsorted(stop, a + WINDOW, "right"))
+        if m > k:
+            sums = _sums(data[a : stop[m - 1]], _VALUE)
+            out[k:m] = (sums[stop[k:m] - a] - sums[begin[k:m] - a]) * powers()[1][begin[k:m] - a]
+        else:
+            m, total, scale = k + 1, 0, 1
+            for x in range(int(a), int(stop[k]), WINDOW):
+                total += scale * int(_sums(data[x : min(x + WINDOW, stop[k])], _VALUE)[-1])
+                scale = scale * pow(_BASE, WINDOW, 1 << 64) % (1 << 64)
+            out[k] = total % (1 << 64)
+        k = m
+    return mix(out + (stop - begin).astype(np.uint64))
+
+
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, breaks: np.ndarray = _BREAK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of the words (by default white-space separated) of texts laid end to end, where each starts, and each text's word offsets."""
     if lower:
@@ -51,9 +90,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, breaks: np.
     end = inside & np.append(~inside[1:], True)[: len(data)]
     end |= inside & edge[1:]
     begin, stop = np.flatnonzero(start), np.flatnonzero(end) + 1
-    sums = prefix_hash(data)
-    hashes = mix((sums[stop] - sums[begin]) * powers(len(data))[1][begin] + (stop - begin).astype(np.uint64))
-    return hashes, begin, np.searchsorted(begin, offsets)
+    return _word_hashes(data, begin, stop), begin, np.searchsorted(begin, offsets)
 
 
 def shingles(hashes: np.ndarray, at: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
