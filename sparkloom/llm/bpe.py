@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from functools import lru_cache
 from itertools import chain
 
@@ -112,19 +113,36 @@ def ranks_of(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def added_of(path: str) -> dict[bytes, int]:
+    """Added tokens of a .json file: strings that are one id wherever a text holds them, found before it is pre-tokenised."""
+    if not path.endswith(".json"):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens", [])
+    if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that take or need what stands beside them are not supported")
+    return {t["content"].encode(): t["id"] for t in added}
+
+
 class Encoder:
-    """Encodes blocks of texts by the ranks in a vocabulary file, and decodes ids to bytes."""
+    """Encodes blocks of texts by the ranks in a vocabulary file, and decodes ids to bytes.
+
+    A .json file's added tokens are found in texts as the ``tokenizers`` library
+    finds them by default; a .tiktoken file has none.
+    """
 
     def __init__(self, path: str):
         import tiktoken
 
         self.ranks = ranks_of(path)
         core = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=self.ranks, special_tokens={})
-        self._encode = core._core_bpe.encode_single_piece
+        self._encode = core.encode_ordinary  # of a whole pre-token
+        self.added = added_of(path)
+        self._find = re.compile(b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self._cache: dict[bytes, list[int]] = {}
-        size = max(self.ranks.values()) + 1
+        size = max([*self.ranks.values(), *self.added.values()]) + 1
         table = [b""] * size
-        for token, i in self.ranks.items():
+        for token, i in [*self.ranks.items(), *self.added.items()]:
             table[i] = token
         self.token_bytes = pa.array(table, pa.large_binary())
         self.decimals = pa.array([f"{i}," for i in range(size)], pa.large_string())
@@ -142,7 +160,8 @@ class Encoder:
         cache, one = self._cache, self._encode
         own = list(map(cache.get, distinct))
         for k in [k for k, ids in enumerate(own) if ids is None]:
-            own[k] = cache[distinct[k]] = one(distinct[k])
+            word = distinct[k]
+            own[k] = cache[word] = [self.added[word]] if word in self.added else one(word.decode())
         if len(cache) > CACHE_WORDS:
             cache.clear()
         lengths = np.fromiter(map(len, own), np.int64, len(own))
@@ -156,12 +175,28 @@ class Encoder:
 
     def encode_texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts laid end to end, and the offsets of each text's ids."""
-        starts = pre_tokens(data, offsets)
+        begin, end = self._added_in(data, offsets)
+        starts = pre_tokens(data, np.union1d(offsets, np.concatenate([begin, end])) if len(begin) else offsets)
+        if len(begin):
+            around = np.searchsorted(begin, starts, "right") - 1
+            starts = starts[(around < 0) | (starts == begin[around]) | (starts >= end[around])]
         ids, counts = self.encode(data, starts)
         total = np.append(0, np.cumsum(counts))
         return ids, total[np.searchsorted(starts, offsets)]
 
 
+    def _added_in(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where added tokens begin and end in the texts."""
+        spans: list[tuple[int, int]] = []
+        if self._find is not None:
+            raw = data.tobytes()
+            near = {int(np.searchsorted(offsets, x, "right")) - 1 for m in self._find.finditer(raw) for x in (m.start(), m.end() - 1)}
+            for k in sorted(near):  # a find across two texts is none
+                spans += (m.span() for m in self._find.finditer(raw, int(offsets[k]), int(offsets[k + 1])))
+        begin, end = zip(*spans) if spans else ((), ())
+        return np.array(begin, np.int64), np.array(end, np.int64)
+
+
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
     """One encoder for each vocabulary and Python worker."""

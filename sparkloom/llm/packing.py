@@ -6,6 +6,9 @@ sequence is one piece, so no sequence crosses documents and none is padded:
 every length is a power of two. Pieces of one length belong to one bucket, from
 which batches of equal shape are drawn.
 
+Ids are those of the ``tokenizers`` library as it stands, so an added token of the
+vocabulary (``<|endoftext|>``) that a text holds is one id.
+
 Defined results: a null text packs as the empty text, which is its end token
 alone (one piece of length 1). Null or repeated doc_ids are packed row by row.
 An empty table gives no rows. Extra columns are ignored.
@@ -25,7 +28,7 @@ from .common import blocks, column, runs, text_bytes
 
 END_TOKEN = 1
 #: Bytes of text encoded together in a task.
-BLOCK = 12 << 20
+BLOCK = 6 << 20
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
