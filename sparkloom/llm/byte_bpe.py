@@ -30,7 +30,7 @@ from .common import blocks, column, text_bytes
 
 BLOCK = 6 << 20
 #: Characters of a chunk, and of the overlap with the next.
-CHUNK, OVERLAP = 32_768, 1_024
+CHUNK, OVERLAP = 16_384, 1_024
 ENCODED = "doc_id long, n_tokens long, ids binary, decoded binary"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -71,21 +71,27 @@ def sure_boundaries(chunk: bytes, last: bool) -> np.ndarray:
 def stitch(chunks: list[bytes], bounds: list[np.ndarray], steps: list[int]) -> list[bytes]:
     """Cut the text that overlapping chunks cover into pieces of whole pre-tokens.
 
-    ``steps[k]`` is the length in bytes of chunk k without its overlap.
+    ``steps[k]`` is the length in bytes of chunk k without its overlap. A pre-token
+    over many chunks is scanned again only when what is open has doubled, so the
+    work is in proportion to the text.
     """
     pieces: list[bytes] = []
-    carry, sure, base = chunks[0], np.asarray(bounds[0]), 0  # text from the last cut on, its boundaries, bytes of it before chunk k's start
+    carry, sure, base = bytearray(chunks[0]), np.asarray(bounds[0]), 0  # text from the last cut on, its boundaries, bytes of it before chunk k's start
+    scanned = len(carry)
     for k in range(1, len(chunks)):
         base += steps[k - 1]
-        common = np.intersect1d(sure[sure >= base] - base, bounds[k])
+        common = np.intersect1d(sure[np.searchsorted(sure, base) :] - base, bounds[k])
         if len(common):
             cut = base + int(common[0])
-            pieces.append(carry[:cut])
-            carry, sure, base = chunks[k][common[0] :], bounds[k][bounds[k] >= common[0]] - common[0], -int(common[0])
+            pieces.append(bytes(carry[:cut]))
+            carry, sure, base = bytearray(chunks[k][common[0] :]), bounds[k][bounds[k] >= common[0]] - common[0], -int(common[0])
+            scanned = len(carry)
         else:
-            carry = carry[:base] + chunks[k]
-            sure = sure_boundaries(carry, k == len(chunks) - 1)
-    return [*pieces, carry]
+            del carry[base:]
+            carry += chunks[k]
+            if len(carry) >= 2 * scanned:
+                sure, scanned = sure_boundaries(bytes(carry), k == len(chunks) - 1), len(carry)
+    return [*pieces, bytes(carry)]
 
 
 def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", doc_id: str = "doc_id", chunk: int = CHUNK, overlap: int = OVERLAP, digest: bool = False) -> DataFrame:
@@ -142,7 +148,8 @@ def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", doc_id: str
 
 
 def _glue(name: str):
-    return F.aggregate(F.col(f"p.{name}"), F.lit(b"").cast("binary"), lambda a, b: F.concat(a, b)).alias(name)
+    """The pieces' bytes, one after the other."""
+    return F.unhex(F.array_join(F.transform(F.col(f"p.{name}"), F.hex), "")).alias(name)
 
 
 def digests(encoded: DataFrame, vocabulary: str) -> DataFrame:
