@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,6 +92,11 @@ def standardized(values: Column, mean: float, std: float, scale: float = 255.0)
     return F.transform(values, lambda x: (x / scale - mean) / std)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def n_grams(tokens: Column, n: int) -> Column:
     count = F.size(tokens) - n + 1
     return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), "\u0001"))).otherwise(F.array().cast("array<string>"))
@@ -104,17 +111,20 @@ def bleu4(reference: Column, candidate: Column) -> Column:
     r, c = F.size(reference), F.size(candidate)
 
     def matches(n: int) -> Column:
-        own, other = n_grams(candidate, n), n_grams(reference, n)
-        clipped = F.transform(F.array_distinct(own), lambda g: F.least(F.size(F.filter(own, lambda x: x == g)), F.size(F.filter(other, lambda y: y == g))))
+        common = lambda own, other: F.transform(F.array_distinct(own), lambda g: F.least(F.size(F.filter(own, lambda x: x == g)), F.size(F.filter(other, lambda y: y == g))))
+        clipped = let(n_grams(candidate, n), lambda own: let(n_grams(reference, n), lambda other: common(own, other)))
         return F.aggregate(clipped, F.lit(0), lambda a, x: a + x)
 
-    logs = []
-    for n in range(1, 5):
-        hit, of = matches(n), F.greatest(c - n + 1, F.lit(1))
-        logs.append(F.log(F.when(hit > 0, hit.cast("double")).otherwise(F.lit(0.1)) / of))
-    mean = sum(logs[1:], logs[0]) / 4
-    brevity = F.when(c > r, F.lit(0.0)).otherwise(1 - r / c)
-    return F.when((c == 0) | (matches(1) == 0), F.lit(0.0)).otherwise(F.exp(brevity + mean))
+    def score(hits: Column) -> Column:
+        logs = []
+        for n in range(1, 5):
+            hit, of = F.get(hits, F.lit(n - 1)), F.greatest(c - n + 1, F.lit(1))
+            logs.append(F.log(F.when(hit > 0, hit.cast("double")).otherwise(F.lit(0.1)) / of))
+        mean = sum(logs[1:], logs[0]) / 4
+        brevity = F.when(c > r, F.lit(0.0)).otherwise(1 - r / c)
+        return F.when((c == 0) | (F.get(hits, F.lit(0)) == 0), F.lit(0.0)).otherwise(F.exp(brevity + mean))
+
+    return let(F.array(*(matches(n) for n in range(1, 5))), score)
 
 
 def chat_text(turns: Column, template: str = "<|{}|>\n") -> Column:

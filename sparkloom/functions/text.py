@@ -91,9 +91,28 @@ def stable_fraction(identifier: Column) -> Column:
     return F.conv(F.substring(F.sha2(identifier, 256), 1, 16), 16, 10).cast("decimal(20,0)").cast("double") / F.lit(2.0**64)
 
 
+def plain_number(number: Column) -> Column:
+    """Text of a double; whole numbers from ten millions on are written without an exponent."""
+    size = F.abs(number)
+    whole = (size >= 1e7) & (size < 1e16) & (number == F.floor(number))
+    return F.when(whole, F.concat(number.cast("decimal(17,0)").cast("string"), F.lit(".0"))).otherwise(number.cast("double").cast("string"))
+
+
 def segment_key(video: Column, start: Column, end: Column) -> Column:
     """MD5 of the video and the times in seconds, joined by vertical bars."""
-    return F.md5(F.concat_ws("|", video, start.cast("string"), end.cast("string")))
+    return F.md5(F.concat_ws("|", video, plain_number(start), plain_number(end)))
+
+
+def legacy_path(path: Column, root: str, legacy_root: str) -> Column:
+    """The path as an older layout wrote it: what stands from the folder ``root`` on, below ``legacy_root``, with back slashes; null if it is not below it."""
+    found = F.nullif(F.regexp_extract(path, rf"(?i)(?:^|[\\/])({root}(?:[\\/].*)?)$", 1), F.lit(""))
+    return F.concat(F.lit(legacy_root + "\\"), F.replace(found, F.lit("/"), F.lit("\\")))
+
+
+def cache_keys(video: Column, start: Column, end: Column, root: str, legacy_root: str) -> Column:
+    """Keys under which a segment's frames may lie: by its path, then by its older path."""
+    old = legacy_path(video, root, legacy_root)
+    return F.array_compact(F.array_distinct(F.array(segment_key(video, start, end), F.when(old.isNotNull(), segment_key(old, start, end)))))
 
 
 def relative_path(path: Column, root: str) -> Column:

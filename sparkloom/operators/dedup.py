@@ -29,50 +29,85 @@ def dedup_or_fail(rows: DataFrame, keys: list[Column | str], order: str, signatu
     return marked.filter(ok).drop("first_in_key", "conflict")
 
 
+def numbered(rows: DataFrame, order: str, name: str, cells: int = 64) -> DataFrame:
+    """Rows with a gapless number from 1 in the order of the numeric column ``order``, whose values should differ.
+
+    Rows are cut into ``cells`` ranges at quantiles and ranked within each; what
+    lies before a range is a sum over that many counts.
+    """
+    cuts = sorted(set(rows.approxQuantile(order, [k / cells for k in range(1, cells)], 0.25 / cells)))
+    cell = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    dealt = rows.withColumn("_c", cell)
+    counts = dealt.groupBy("_c").agg(F.count("*").alias("_m"))
+    before = counts.select("_c", (F.sum("_m").over(Window.orderBy("_c")) - F.col("_m")).alias("_before"))  # one row a cell
+    ranked = dealt.withColumn("_r", F.row_number().over(Window.partitionBy("_c").orderBy(order)))
+    return ranked.join(F.broadcast(before), "_c").withColumn(name, F.col("_before") + F.col("_r")).drop("_c", "_before", "_r")
+
+
 def unique_ids(rows: DataFrame, identifier: str, order: str, start: int = 1000) -> DataFrame:
     """Ids made unique: the second and later rows of an id get a running number, in order, from ``start``.
 
-    Only the repeated rows are numbered. Their ranks come from counts of ranges of
-    ``order``, so the numbering is not one task's work.
+    Only the repeated rows are numbered. Ids must not end in numbers from
+    ``start`` on themselves.
     """
     own = Window.partitionBy(identifier).orderBy(order)
     marked = rows.withColumn("_dup", F.row_number().over(own) > 1)
-    again = marked.filter("_dup").select(F.col(order).alias("_o"))
-    cell = F.floor(F.col("_o") / 65536)
-    counts = again.groupBy(cell.alias("_c")).agg(F.count("*").alias("_m"))
-    before = counts.withColumn("_before", F.sum("_m").over(Window.orderBy("_c")) - F.col("_m")).select("_c", "_before")
-    ranked = again.withColumn("_c", cell).withColumn("_r", F.row_number().over(Window.partitionBy("_c").orderBy("_o")))
-    numbers = ranked.join(before, "_c").select("_o", (F.lit(start - 1) + F.col("_before") + F.col("_r")).alias("_number"))
-    out = marked.join(numbers, (marked[order] == numbers["_o"]) & F.col("_dup"), "left")
+    again = numbered(marked.filter("_dup"), order, "_number")
     base = F.regexp_replace(F.col(identifier), r"_\d+$", "")
-    return out.withColumn(identifier, F.when(F.col("_dup"), F.concat(base, F.lit("_"), F.col("_number").cast("string"))).otherwise(F.col(identifier))).drop("_dup", "_o", "_number")
+    fresh = again.withColumn(identifier, F.concat(base, F.lit("_"), (F.col("_number") + (start - 1)).cast("string")))
+    return marked.filter("NOT _dup").select(*rows.columns).unionByName(fresh.select(*rows.columns))
 
 
 def answer_needs(rows: DataFrame, key: str, is_yes: Column, *, target: float = 0.5, tolerance: float = 0.1, cap: int = 600) -> DataFrame:
     """For each key: counts of yes and no, and how many rows of which answer would bring it to the target."""
     counts = rows.groupBy(key).agg(F.count_if(is_yes).alias("yes"), F.count_if(~is_yes).alias("no"))
     total, ratio = F.col("yes") + F.col("no"), F.col("yes") / (F.col("yes") + F.col("no"))
-    missing = lambda side: F.least(F.floor(F.col(side) / target) - total, F.lit(cap))
-    need = F.when(ratio > target + tolerance, missing("yes")).when(ratio < target - tolerance, missing("no")).otherwise(0)
+    missing = lambda side, share: F.least(F.floor(F.col(side) / share) - total, F.lit(cap))
+    need = F.when(ratio > target + tolerance, missing("yes", target)).when(ratio < target - tolerance, missing("no", 1 - target)).otherwise(0)
     return counts.withColumn("need", F.greatest(need, F.lit(0)).cast("long")).withColumn("wanted", F.when(ratio > target + tolerance, "no").when(ratio < target - tolerance, "yes"))
 
 
-def top_up(needs: DataFrame, pool: DataFrame, key: str, is_yes: str, identifier: str, seed: str) -> DataFrame:
-    """Rows of the pool, drawn for each key that needs rows of the other answer."""
+def top_up(needs: DataFrame, pool: DataFrame, key: str, is_yes: str, identifier: str, seed: str, cap: int = 600) -> DataFrame:
+    """Rows of the pool, drawn for each key that needs rows (at most ``cap``) of the other answer."""
     fit = pool.join(needs.filter("need > 0").select(key, "need", "wanted"), key).filter(F.when(F.col(is_yes), "yes").otherwise("no") == F.col("wanted"))
     w = Window.partitionBy(key).orderBy(draw(F.col(identifier), seed), identifier)
-    return fit.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= F.col("need")).drop("_r", "need", "wanted")
+    ranked = fit.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= cap)  # a literal bound limits each task's groups
+    return ranked.filter(F.col("_r") <= F.col("need")).drop("_r", "need", "wanted")
 
 
 def cap_dominant(rows: DataFrame, group: str, answer: str, order: str, identifier: str, most: float, seed: str) -> DataFrame:
-    """Drops rows of a group's most frequent answer (ties: the one seen first) so that its share is at most ``most``; without other answers all go."""
+    """Drops rows of a group's most frequent answer (ties: the one seen first) so that its share is at most ``most``; without other answers all go.
+
+    The rows kept are those of smallest draws. Counts by the first digits of the
+    draws tell in which stretch the last one lies; only that stretch is ranked.
+    """
     counts = rows.groupBy(group, answer).agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
     top = counts.groupBy(group).agg(F.max_by(answer, F.struct("_n", -F.col("_first"))).alias("_top"), F.max("_n").alias("_dom"), F.sum("_n").alias("_all"))
     keep = F.least(F.greatest(F.floor(F.lit(most) * (F.col("_all") - F.col("_dom")) / (1 - most)), F.lit(0)), F.col("_dom"))
-    plan = top.withColumn("_keep", F.when(F.col("_dom") > most * F.col("_all"), keep).otherwise(F.col("_dom"))).select(group, "_top", "_keep")
-    w = Window.partitionBy(group, answer).orderBy(draw(F.col(identifier), seed), identifier)
-    ranked = rows.withColumn("_r", F.row_number().over(w)).join(plan, group)
-    return ranked.filter((F.col(answer) != F.col("_top")) | (F.col("_r") <= F.col("_keep"))).drop("_r", "_top", "_keep")
+    plan = top.withColumn("_keep", F.when(F.col("_dom") > most * F.col("_all"), keep)).select(group, "_top", "_keep")  # null: within bounds
+    drawn = rows.withColumn("_d", draw(F.col(identifier), seed)).withColumn("_s", F.conv(F.substring("_d", 1, 4), 16, 10).cast("int"))
+    drawn = drawn.join(plan, group, "left").withColumn("_capped", F.col("_keep").isNotNull() & F.col(answer).eqNullSafe(F.col("_top")))
+    stretch = drawn.filter("_capped").groupBy(group, "_s", "_keep").agg(F.count("*").alias("_m"))
+    until = stretch.withColumn("_until", F.sum("_m").over(Window.partitionBy(group).orderBy("_s")))  # at most 65,536 a group
+    last = until.filter((F.col("_until") - F.col("_m") < F.col("_keep")) & (F.col("_keep") <= F.col("_until"))).select(group, F.col("_s").alias("_last"), (F.col("_keep") - F.col("_until") + F.col("_m")).alias("_left"))
+    dealt = drawn.join(last, group, "left")
+    sure = dealt.filter(~F.col("_capped") | (F.col("_s") < F.col("_last")))
+    edge = dealt.filter(F.col("_capped") & (F.col("_s") == F.col("_last")))
+    edge = edge.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy("_d", identifier))).filter(F.col("_r") <= F.col("_left"))
+    return sure.select(*rows.columns).unionByName(edge.select(*rows.columns))
+
+
+def presence_pool(segments: DataFrame, key: str, targets: dict[str, Column]) -> DataFrame:
+    """Every segment once for every key, with ``present``: the pool from which balances are topped up. The keys are a fixed vocabulary."""
+    each = [F.struct(F.lit(k).alias(key), F.coalesce(c, F.lit(False)).alias("present")) for k, c in targets.items()]
+    return segments.withColumn("_k", F.explode(F.array(*each))).select(*segments.columns, "_k.*")
+
+
+def answer_stats(rows: DataFrame, key: str, is_yes: Column) -> DataFrame:
+    """For each key, most rows first: ``yes``, ``no``, ``total``, ``share`` of yes."""
+    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count_if(is_yes).alias("yes"), F.count_if(~is_yes).alias("no"))
+    total = F.col("yes") + F.col("no")
+    return counts.withColumn("total", total).withColumn("share", F.col("yes") / total).orderBy(F.desc("total"), key)
 
 
 def split_by_rank(rows: DataFrame, key: str, first: int) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions.arrays import bleu4
+from sparkloom.functions.arrays import bleu4, let
 from sparkloom.functions.text import forceps_named, normalize, polarity
 
 
@@ -48,9 +50,27 @@ def first_hit(rows: DataFrame, lookups: list[tuple[str, DataFrame]], key: str, v
 
 def best_reference(references: Column, prediction: Column) -> Column:
     """The best BLEU-4 over the references, on white-space tokens in lower case."""
-    tokens = F.split(normalize(prediction), " ")
-    scores = F.transform(references, lambda r: bleu4(F.split(normalize(r), " "), tokens))
-    return F.coalesce(F.array_max(scores), F.lit(0.0))
+    words = lambda text: F.split(normalize(text), " ")
+    return let(words(prediction), lambda said: best_of(references, lambda r: let(words(r), lambda own: bleu4(own, said))))
+
+
+def best_of(references: Column, score: Callable[[Column], Column]) -> Column:
+    """The best score over the references; 0 without any."""
+    return F.coalesce(F.array_max(F.transform(references, score)), F.lit(0.0))
+
+
+def aligned(items: DataFrame, predictions: DataFrame, place: str, values: list[str]) -> DataFrame:
+    """Items with the predictions' values at the same ``place`` (an ordinal); a place on one side only is an error."""
+    one = items.withColumn("_item", F.lit(True))
+    two = predictions.select(place, *values, F.lit(True).alias("_prediction"))
+    both = F.col("_item").isNotNull() & F.col("_prediction").isNotNull()
+    ok = F.when(both, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("items and predictions differ at place "), F.col(place).cast("string"))).cast("boolean"))
+    return one.join(two, place, "full").filter(ok).drop("_item", "_prediction")
+
+
+def binary_records(rows: DataFrame, kind: str, references: str, kinds: list[str]) -> DataFrame:
+    """Rows of the binary types whose first reference says yes or no, with ``truth``."""
+    return rows.filter(F.col(kind).isin(*kinds)).withColumn("truth", polarity(F.get(references, F.lit(0)))).filter("truth IS NOT NULL")
 
 
 def score_rollup(rows: DataFrame, kind: str, scores: list[str]) -> DataFrame:
@@ -108,4 +128,15 @@ def calibrated(records: DataFrame, kind: str, margin: str, truth: str, grid: lis
     return s.groupBy(kind).agg(F.max("n").alias("n"), F.max_by("threshold", F.struct("accuracy", -F.col("threshold"))).alias("best_threshold"), F.max("accuracy").alias("best_accuracy"), F.max(F.when(F.col("threshold") == 0, F.col("accuracy"))).alias("accuracy_at_0"))
 
 
+def calibration_report(records: DataFrame, kind: str, margin: str, truth: str, greedy: str, grid: list[float]) -> DataFrame:
+    """For each type: ``n``, ``yes_rate``, accuracy of the free answer (``greedy``) and of the margin at 0, the best threshold and its accuracy.
+
+    All but the threshold's columns count every record with a truth; a margin that
+    is missing or no number leaves only its record's answer.
+    """
+    known = records.filter(F.col(truth).isNotNull())
+    free = known.groupBy(kind).agg(F.count("*").alias("n"), F.avg(F.col(truth).cast("double")).alias("yes_rate"), F.avg(polarity(F.col(greedy)).eqNullSafe(F.col(truth)).cast("double")).alias("greedy_accuracy"))
+    return free.join(calibrated(records, kind, margin, truth, grid).drop("n"), kind, "left")
+
+
 GRID = [(i - 30) / 10 for i in range(61)]

@@ -20,12 +20,18 @@ def take_per_group(rows: DataFrame, group: list[str], key: str, n: int | Column,
     return rows.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
 
 
+def first_per_group(rows: DataFrame, group: list[str], order: str, n: int) -> DataFrame:
+    """At most the first ``n`` rows of each group by ``order``."""
+    w = Window.partitionBy(*group).orderBy(order)
+    return rows.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
+
+
 def stratified(rows: DataFrame, group: str, key: str, interesting: Column, most: int, share: float, seed: str) -> DataFrame:
     """Up to ``most`` rows of each group: interesting ones up to their share, others fill what these leave."""
     flagged = rows.withColumn("_i", interesting)
     quota = flagged.groupBy(group).agg(F.least(F.count_if("_i"), F.lit(int(most * share))).alias("_n"))
     w = Window.partitionBy(group, "_i").orderBy(draw(F.col(key), seed), key)
-    ranked = flagged.withColumn("_rank", F.row_number().over(w)).join(quota, group)
+    ranked = flagged.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= most).join(quota, group)  # a literal bound limits each task's groups
     return ranked.filter(F.col("_rank") <= F.when(F.col("_i"), F.col("_n")).otherwise(most - F.col("_n"))).drop("_i", "_n", "_rank")
 
 

@@ -122,7 +122,7 @@ def description(text: Column, key: Column, style: str = "short") -> Column:
     return F.when(d.isNotNull(), _row(_pick("description", key), _all(V.ANSWERS["description"], {"{D}": d, "{b}": lowered})))
 
 
-def for_type(kind: Column, *, tools: Column, commercial: Column, target: Column, task: Column, text: Column, key: Column) -> Column:
+def for_type(kind: Column, *, tools: Column, commercial: Column, target: Column, task: Column, text: Column, key: Column, style: str = "short") -> Column:
     """The row of a type for a segment."""
     return (
         F.when(kind == "tool_presence", tool_presence(tools, commercial, target, key))
@@ -133,5 +133,5 @@ def for_type(kind: Column, *, tools: Column, commercial: Column, target: Column,
         .when(kind == "procedure_type", procedure_type(key))
         .when(kind == "tool_purpose", tool_purpose(tools, key))
         .when(kind == "tissue_cutting", tissue_cutting(tools, task, key))
-        .when(kind == "description", description(text, key))
+        .when(kind == "description", description(text, key, style))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom import vocab as V
@@ -12,7 +12,9 @@ from sparkloom.functions import text as X
 from sparkloom.operators import curate as C
 from sparkloom.operators import dedup as D
 from sparkloom.operators import intervals as I
+from sparkloom.operators import measure as M
 from sparkloom.operators import sampling as S
+from sparkloom.operators import splits as P
 from sparkloom.operators import templates as T
 
 
@@ -21,7 +23,7 @@ class Windows:
     size: float = V.WINDOW_S
     step: float = V.STEP_S
     least: float = V.MIN_OVERLAP
-    bucket: float | None = None
+    bucket: float | None = 900.0
 
 
 @dataclass(frozen=True)
@@ -69,28 +71,117 @@ def segments(parts: DataFrame, tasks: DataFrame, tools: DataFrame, config: Windo
     return out.select("case", "video_path", "part", "t_start", "t_end", "task", "description", "tools", "commercial_tools")
 
 
+def presence_targets(tools: Column, commercial: Column) -> dict[str, Column]:
+    """Whether each tool, any forceps, or each commercial variant is present."""
+    own: dict[str, Column] = {t: F.arrays_overlap(tools, F.array(*map(F.lit, V.FORCEPS))) if t == "forceps" else F.array_contains(tools, t) for t in V.PRESENCE_TARGETS}
+    return own | {v: F.array_contains(commercial, v) for vs in V.VARIANTS.values() for v in vs}
+
+
+def balanced_presence(made: DataFrame, pool: DataFrame, config: Questions) -> DataFrame:
+    """Further presence questions, so that no key's share of yes is far from the target; segments come from the whole pool."""
+    asked = made.filter("tool IS NOT NULL").withColumn("_yes", F.get("answers", F.lit(0)) == "Yes")
+    needs = D.answer_needs(asked, "tool", F.col("_yes"), target=config.target, tolerance=config.tolerance, cap=config.cap)
+    fit = D.presence_pool(pool, "tool", presence_targets(F.col("tools"), F.col("commercial_tools")))
+    drawn = D.top_up(needs, fit, "tool", "present", "key", config.seed, config.cap)
+    each = F.concat_ws("|", F.lit("balance"), "key", "tool")
+    qa = T.tool_presence(F.col("tools"), F.col("commercial_tools"), F.col("tool"), each)
+    named = F.concat_ws("_", "key", F.lit("tp_bal"), (100 + F.pmod(F.xxhash64(each), F.lit(900))).cast("string"))
+    return drawn.withColumn("qa", qa).select(named.alias("id"), F.col("video_path").alias("video"), "t_start", "t_end", "qa.question", "qa.answers", "tool", F.lit("tool_presence").alias("question_type"), each.alias("ord"))
+
+
 def questions(rows: DataFrame, config: Questions = Questions()) -> DataFrame:
-    """Sampled segments with questions of drawn types, capped, without repeats, with unique ids."""
+    """Sampled segments with questions of drawn types: presence balanced, dominant answers capped, without repeats, with unique ids.
+
+    Where a list's order would decide (first of equal keys, ties of frequent
+    answers, running numbers), a hash of the row's key does, which holds for any
+    partitioning.
+    """
     keyed = rows.withColumn("key", F.concat(F.col("case"), F.lit("_p"), F.col("part").cast("string"), F.lit("_t"), F.col("t_start").cast("long").cast("string")))
     chosen = S.stratified(keyed, "case", "key", (F.size("tools") > 0) | (F.col("task") != V.OUTSIDE_TASK), config.most, config.share, config.seed)
     drawn = S.slots(chosen, "key", V.TYPE_SLOTS, config.types, config.seed)
     each = F.concat_ws("|", "key", "slot_type", F.col("slot").cast("string"))
     targets = [*V.PRESENCE_TARGETS, *(v for vs in V.VARIANTS.values() for v in vs)]
     target = S.choose(targets, F.concat(F.lit("target|"), each))
-    qa = T.for_type(F.col("slot_type"), tools=F.col("tools"), commercial=F.col("commercial_tools"), target=target, task=F.col("task"), text=F.col("description"), key=each)
+    qa = T.for_type(F.col("slot_type"), tools=F.col("tools"), commercial=F.col("commercial_tools"), target=target, task=F.col("task"), text=F.col("description"), key=each, style=config.style)
     number = (100 + F.pmod(F.xxhash64(each), F.lit(900))).cast("string")
     made = drawn.withColumn("qa", qa).filter("qa IS NOT NULL")
     made = made.select(F.concat_ws("_", "key", "slot_type", number).alias("id"), F.col("video_path").alias("video"), "t_start", "t_end", "qa.question", "qa.answers", F.when(F.col("slot_type") == "tool_presence", target).alias("tool"), F.col("slot_type").alias("question_type"), each.alias("ord"))
+    made = made.unionByName(balanced_presence(made, keyed, config))
     capped = made.filter(~F.col("question_type").isin("task_id", "description"))
     some = made.filter(F.col("question_type").isin("task_id", "description")).withColumn("first", F.get("answers", F.lit(0)))
-    numbered = some.withColumn("_o", F.xxhash64("ord"))
-    kept = D.cap_dominant(numbered, "question_type", "first", "_o", "ord", config.dominant, config.seed).drop("first", "_o")
+    kept = D.cap_dominant(some.withColumn("_o", F.xxhash64("ord")), "question_type", "first", "_o", "ord", config.dominant, config.seed).drop("first", "_o")
     both = capped.unionByName(kept)
     once = D.dedup_or_fail(both, ["video", "t_start", "t_end", X.normalize(F.col("question"))], "ord", F.to_json(F.array_sort(F.transform("answers", X.normalize))))
-    return once
+    return D.unique_ids(once.withColumn("_o", F.xxhash64("ord")), "id", "_o").drop("_o")
 
 
 def curated(qa: DataFrame, statuses: DataFrame, keep: float = 0.1) -> DataFrame:
     """Questions with status, weight and action; rows with ``drop_reason`` are those to leave out."""
     seen = qa.join(statuses, C.KEY, "left").withColumn("visual_status", F.coalesce("visual_status", F.lit("valid")))
     return C.curate(seen.withColumn("grounding_status", C.grounding_status(F.col("question_type"), F.get("answers", F.lit(0)))), keep)
+
+
+def diagnostic(rows: DataFrame, case: Column) -> DataFrame:
+    """Curated rows (dropped ones included) once for each diagnostic slice that they are in, with ``slice``.
+
+    The slices of black segments hold dropped rows too, on purpose.
+    """
+    (v0, v1), (t0, t1) = P.CASES["val"], P.CASES["test"]
+    val, test, kept = case.between(v0, v1), case.between(t0, t1), F.col("drop_reason").isNull()
+    seen, ground, kind = F.col("visual_status"), F.col("grounding_status"), F.col("question_type")
+    clean = kept & (seen == "valid") & (ground != "generic_fallback")
+    return C.slices(
+        rows,
+        {
+            "val_clean": val & clean,
+            "val_black": val & (seen == "fully_black"),
+            "val_partial_black": val & (seen == "partially_black"),
+            "val_simulated_organ": val & kept & (ground == "semantic_task_label"),
+            "val_forceps": val & kept & (kind == "forceps_type"),
+            "test_clean": test & clean,
+            "test_forceps": test & kept & (kind == "forceps_type"),
+        },
+    )
+
+
+def answered(items: DataFrame, outputs: DataFrame, thresholds: dict[str, float]) -> DataFrame:
+    """Items with the final ``prediction``: of a model's ``prediction`` and ``margin`` at the same ``place``, by the question's route; never blank."""
+    met = M.aligned(items, outputs, "place", ["prediction", "margin"])
+    done = X.threshold_answer(F.col("question"), F.col("margin"), F.col("prediction"), thresholds)
+    return met.withColumn("prediction", F.coalesce(F.when(F.trim(done) != "", done), X.fallback_answer(F.col("question"))))
+
+
+def evaluated(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of answered items: scores by type and over all, yes/no metrics, forceps metrics. Items without references are an error."""
+    known = rows.filter(F.when(F.size("answers") > 0, F.lit(True)).otherwise(F.raise_error(F.lit("reference answers are missing")).cast("boolean")))
+    scored = known.withColumn("bleu4", M.best_reference(F.col("answers"), F.col("prediction")))
+    kind = F.coalesce("question_type", F.lit("unknown"))
+    binary = known.filter(kind.isin("tool_presence")).withColumn("reference", F.get("answers", F.lit(0)))
+    return M.score_rollup(scored, "question_type", ["bleu4"]), M.presence_metrics(binary, "prediction", "reference"), M.forceps_metrics(known.filter(kind == "forceps_type"), "prediction", "answers")
+
+
+def validated(rows: DataFrame, whole: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The summary of each split, and one row for each broken rule (``rule``, ``detail``).
+
+    ``rows`` has the splits' rows with ``split`` and ``place`` (from 1 in each split),
+    ``whole`` the rows of all with ``place``, ``segments`` has ``row_no``.
+    """
+    case = X.case_number(F.col("id"), F.col("video"))
+    met = P.with_segment(rows, segments, ["tools", "commercial_tools"], "row_no")
+    rules = {"case_range": P.outside_cases(F.col("split"), case)} | C.answer_rules("place")
+    broken = C.violations(met, rules, C.STOPS).select("rule", F.concat_ws(" ", "split", "id").alias("detail"))
+    shared = P.shared_ids(rows, "split", "id").select(F.lit("shared_ids").alias("rule"), F.concat_ws(" ", "left", "right", F.col("ids").cast("string")).alias("detail"))
+    parts = [rows.filter(F.col("split") == s) for s in P.CASES]
+    moved = P.misplaced(P.concatenated(parts, "place"), whole, "place", "id").select(F.lit("not_concatenated").alias("rule"), F.concat_ws(" ", F.col("place").cast("string"), "expected", "found").alias("detail"))
+    repeated = P.id_counts(whole, "id").filter("NOT unique").select(F.lit("repeated_ids").alias("rule"), (F.col("rows") - F.col("ids")).cast("string").alias("detail"))
+    return P.summary(rows.withColumn("case", case), "split", "case", "question_type"), broken.unionByName(shared).unionByName(moved).unionByName(repeated)
+
+
+def one_response(question: DataFrame, output: DataFrame | None = None) -> DataFrame:
+    """The response to a case: the model's answer (``prediction``, one row) if there is one that is not blank, else the fallback; always one row."""
+    asked = question.agg(F.first("question", ignorenulls=True).alias("question"))
+    said = F.lit(None).cast("string") if output is None else F.col("said")
+    both = asked if output is None else asked.join(F.broadcast(output.agg(F.first("prediction", ignorenulls=True).alias("said"), F.lit(1).alias("_one"))), F.col("_one") == 1, "left").drop("_one")
+    finished = X.finish_answer(F.col("question"), said)
+    fallback = F.coalesce(X.fallback_answer(F.col("question")), F.lit("The surgical field is visible in this clip."))
+    return both.select("question", F.coalesce(F.when(F.trim(finished) != "", finished), F.when(F.trim(said) != "", said), fallback).alias("response"))

@@ -22,6 +22,7 @@ from sparkloom.operators import intervals as I
 from sparkloom.operators import measure as M
 from sparkloom.operators import sampling as S
 from sparkloom.operators import templates as T
+from sparkloom.plans import jobs as J
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -122,14 +123,14 @@ SELECT w.user_id, CAST(w.t_start AS BIGINT) AS t_start, CAST(w.t_end AS BIGINT)
 FROM w LEFT JOIN b ON b.user_id = w.user_id AND b.t_start = w.t_start AND b.r = 1""")
 def seg_majority_label(spark, sf_dir):
     w, i = windows(spark, sf_dir)
-    return I.majority_label(w, i, ["user_id"], "event_type", "ord").select("user_id", "t_start", "t_end", "event_type", "best_overlap")
+    return I.majority_label(w, i, ["user_id"], "event_type", "ord", bucket=24 * HOUR).select("user_id", "t_start", "t_end", "event_type", "best_overlap")
 
 
 @query(f"""WITH {TIMELINE}, {WINDOWS}, m AS ({OVERLAP}), s AS (SELECT user_id, t_start, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS active FROM m GROUP BY user_id, t_start)
 SELECT w.user_id, CAST(w.t_start AS BIGINT) AS t_start, coalesce(s.active, '') AS active FROM w LEFT JOIN s USING (user_id, t_start)""")
 def seg_active_set(spark, sf_dir):
     w, i = windows(spark, sf_dir)
-    return I.active_sets(w, i, ["user_id"], {"active": "event_type"}).select("user_id", "t_start", F.array_join("active", ",").alias("active"))
+    return I.active_sets(w, i, ["user_id"], {"active": "event_type"}, bucket=24 * HOUR).select("user_id", "t_start", F.array_join("active", ",").alias("active"))
 
 
 @query("""WITH r AS (SELECT event_id, event_id % 3600 AS a, CASE event_id % 5 WHEN 0 THEN 0 WHEN 1 THEN event_id % 3600 - 5 ELSE event_id % 3600 + 60 END AS b FROM events)
@@ -165,7 +166,7 @@ def referential_anti(spark, sf_dir):
 
 
 AUDIT = """a AS (SELECT source AS video, CAST(n_chars % 7 AS DOUBLE) AS t_start, CAST(n_chars % 7 + 30 AS DOUBLE) AS t_end, CASE WHEN doc_id % 3 = 0 THEN 'cache16' ELSE 'raw' END AS src, doc_id % 5 = 0 AS all_nb, doc_id % 4 = 0 AS any_nb FROM documents),
-c AS (SELECT DISTINCT source AS video, CAST(n_chars % 7 AS DOUBLE) AS t_start, CAST(n_chars % 7 + 30 AS DOUBLE) AS t_end FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 AND documents.doc_id % 9 = 0),
+c AS (SELECT DISTINCT source AS video, CAST(n_chars % 7 AS DOUBLE) AS t_start, CAST(n_chars % 7 + 30 AS DOUBLE) AS t_end FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 AND quality = 0),
 st AS (SELECT video, t_start, t_end, max(CASE WHEN (starts_with(src, 'cache') AND all_nb) OR c.video IS NOT NULL THEN 2 WHEN any_nb THEN 1 ELSE 0 END) AS r FROM a LEFT JOIN c USING (video, t_start, t_end) GROUP BY ALL)"""
 
 
@@ -173,7 +174,7 @@ def audits(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
     key = [F.col("source").alias("video"), (F.col("n_chars") % 7).cast("double").alias("t_start"), (F.col("n_chars") % 7 + 30).cast("double").alias("t_end")]
     audit = d.select(*key, F.when(F.col("doc_id") % 3 == 0, "cache16").otherwise("raw").alias("source"), (F.col("doc_id") % 5 == 0).alias("all_near_black"), (F.col("doc_id") % 4 == 0).alias("any_near_black"))
-    sure = d.join(read(spark, sf_dir, "labels"), "doc_id").filter("doc_id % 9 = 0").select(*key, (F.col("toxic") == 1).alias("all_three_near_black"))
+    sure = d.join(read(spark, sf_dir, "labels"), "doc_id").select(*key, ((F.col("toxic") == 1) & (F.col("quality") == 0)).alias("all_three_near_black"))
     return audit, sure
 
 
@@ -183,10 +184,10 @@ def status_flag_join(spark, sf_dir):
 
 
 @query("""SELECT o_orderkey, CASE WHEN c.c_custkey IS NOT NULL THEN 'customer' WHEN s.s_suppkey IS NOT NULL THEN 'supplier' END AS found_in, coalesce(c.c_nationkey, s.s_nationkey, -1) AS nation
-FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) c ON o_custkey = c_custkey LEFT JOIN supplier s ON o_custkey = s_suppkey""")
+FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal < 0) c ON o_custkey = c_custkey LEFT JOIN supplier s ON o_custkey = s_suppkey""")
 def fallback_chain_join(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("k"))
-    c = read(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("nation"))
+    c = read(spark, sf_dir, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("nation"))
     s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("nation"))
     return M.first_hit(o, [("customer", c), ("supplier", s)], "k", "nation").select("o_orderkey", "found_in", F.coalesce("nation", F.lit(-1)).alias("nation"))
 
@@ -197,8 +198,10 @@ PLAN = "SELECT doc_id, n, list_transform(range(8), lambda i: least(greatest(CAST
 @query(f"WITH p AS ({PLAN}), x AS (SELECT doc_id, unnest(p) AS idx FROM p), u AS (SELECT DISTINCT x.doc_id, idx, substr(text, CAST(idx + 1 AS INTEGER), 1) AS ch FROM x JOIN documents USING (doc_id)) SELECT x.doc_id, x.idx, CAST(count(*) AS BIGINT) AS uses, min(ch) AS ch FROM x JOIN u ON u.doc_id = x.doc_id AND u.idx = x.idx GROUP BY ALL")
 def fanout_join(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    plan = d.select("doc_id", F.posexplode(A.index_plan(F.col("n_chars"), 8)).alias("place", "idx"))
-    once = plan.select("doc_id", "idx").distinct().join(d.select("doc_id", "text"), "doc_id").select("doc_id", "idx", F.substring("text", F.col("idx").cast("int") + 1, F.lit(1)).alias("ch"))
+    indices = A.index_plan(F.col("n_chars"), 8)
+    plan = d.select("doc_id", F.posexplode(indices).alias("place", "idx"))
+    # each character is read once, where the text is; only it is shuffled
+    once = d.select("doc_id", F.explode(F.transform(F.array_distinct(indices), lambda i: F.struct(i.alias("idx"), F.substring("text", i.cast("int") + 1, F.lit(1)).alias("ch")))).alias("c")).select("doc_id", "c.*")
     return plan.join(once, ["doc_id", "idx"]).groupBy("doc_id", "idx").agg(F.count("*").alias("uses"), F.min("ch").alias("ch"))
 
 
@@ -213,9 +216,9 @@ def slot_cross_join(spark, sf_dir):
 MARGINS = "m AS (SELECT d.lang AS kind, CAST((d.n_chars % 61) - 30 AS DOUBLE) / 10 + CASE WHEN l.quality = 1 THEN 0.7 ELSE -0.4 END AS margin, l.quality = 1 AS truth FROM documents d JOIN labels l USING (doc_id))"
 
 
-def margins(spark, sf_dir):
+def margins(spark, sf_dir, *more):
     d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
-    return d.select(F.col("lang").alias("kind"), (((F.col("n_chars") % 61) - 30).cast("double") / 10 + F.when(F.col("quality") == 1, 0.7).otherwise(-0.4)).alias("margin"), (F.col("quality") == 1).alias("truth"))
+    return d.select(*more, F.col("lang").alias("kind"), (((F.col("n_chars") % 61) - 30).cast("double") / 10 + F.when(F.col("quality") == 1, 0.7).otherwise(-0.4)).alias("margin"), (F.col("quality") == 1).alias("truth"))
 
 
 @query(f"""WITH {MARGINS}, g AS (SELECT (i - 30) / 10.0::DOUBLE AS threshold FROM range(61) t(i)), s AS (SELECT kind, threshold, count(*) AS n, avg(CASE WHEN (margin >= threshold) = truth THEN 1.0::DOUBLE ELSE 0.0 END) AS acc FROM m, g GROUP BY ALL),
@@ -438,7 +441,7 @@ def qa_templates(spark, sf_dir):
 # ------------------------------------------------------------------ curation
 
 QA_KINDS = ["tool_presence", "organ", "task_id", "procedure_type", "description"]
-QA_SQL = f"""qa AS (SELECT doc_id, 'case_' || (doc_id % 155) || '_' || doc_id AS id, [{quoted(QA_KINDS)}][CAST(doc_id % 5 AS INTEGER) + 1] AS question_type, CASE WHEN doc_id % 15 = 1 THEN 'The tissue in the surgical field' WHEN doc_id % 5 = 1 THEN 'Colon.' ELSE lang END AS first_answer,
+QA_SQL = f"""qa AS (SELECT doc_id, 'case_' || (doc_id % 155) || '_' || doc_id AS id, CASE WHEN doc_id % 10 = 9 THEN 'forceps_type' ELSE [{quoted(QA_KINDS)}][CAST(doc_id % 5 AS INTEGER) + 1] END AS question_type, CASE WHEN doc_id % 15 = 1 THEN 'The tissue in the surgical field' WHEN doc_id % 5 = 1 THEN 'Colon.' ELSE lang END AS first_answer,
  CASE WHEN toxic = 1 THEN 'fully_black' WHEN quality = 0 THEN 'partially_black' ELSE 'valid' END AS visual_status FROM documents LEFT JOIN labels USING (doc_id)),
 g AS (SELECT *, CASE WHEN question_type = 'organ' AND lower(trim(first_answer)) = '{V.GENERIC_ORGAN}' THEN 'generic_fallback' WHEN question_type = 'organ' THEN 'semantic_task_label' WHEN question_type IN ({quoted(V.DROP_WHEN_BLACK)}) THEN 'visual_claim' ELSE 'metadata_or_language' END AS grounding_status, {FRACTION.format('id')} AS f FROM qa),
 cu AS (SELECT *, CASE WHEN visual_status = 'fully_black' AND question_type IN ({quoted(V.DROP_WHEN_BLACK)}) THEN 'drop_fully_black_visual_question' WHEN grounding_status = 'generic_fallback' AND f >= 0.1 THEN 'drop_generic_organ_fallback' END AS drop_reason,
@@ -449,7 +452,7 @@ cu AS (SELECT *, CASE WHEN visual_status = 'fully_black' AND question_type IN ({
 
 def qa_rows(spark, sf_dir):
     d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
-    kind = F.get(F.array(*map(F.lit, QA_KINDS)), (F.col("doc_id") % 5).cast("int"))
+    kind = F.when(F.col("doc_id") % 10 == 9, "forceps_type").otherwise(F.get(F.array(*map(F.lit, QA_KINDS)), (F.col("doc_id") % 5).cast("int")))
     first = F.when(F.col("doc_id") % 15 == 1, "The tissue in the surgical field").when(F.col("doc_id") % 5 == 1, "Colon.").otherwise(F.col("lang"))
     seen = F.when(F.col("toxic") == 1, "fully_black").when(F.col("quality") == 0, "partially_black").otherwise("valid")
     rows = d.select("doc_id", "source", F.concat(F.lit("case_"), (F.col("doc_id") % 155).cast("string"), F.lit("_"), F.col("doc_id").cast("string")).alias("id"), kind.alias("question_type"), F.lit("q").alias("question"), F.array(first, F.lit("b"), F.lit("c"), F.lit("d"), F.lit("e")).alias("answers"), seen.alias("visual_status"))
@@ -461,12 +464,15 @@ def curate_state_machine(spark, sf_dir):
     return C.curate(qa_rows(spark, sf_dir)).select("id", "question_type", "visual_status", "grounding_status", "drop_reason", "sample_weight", "curation_action", "question")
 
 
-@query(f"""WITH {QA_SQL}, k AS (SELECT *, CAST(regexp_extract(id, 'case_(\\d+)', 1) AS INTEGER) AS c FROM cu) SELECT slice, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(list_filter([CASE WHEN c BETWEEN 140 AND 146 AND drop_reason IS NULL AND visual_status = 'valid' THEN 'val_clean' END, CASE WHEN c BETWEEN 140 AND 146 AND visual_status = 'fully_black' THEN 'val_black' END, CASE WHEN c BETWEEN 140 AND 146 AND visual_status = 'partially_black' THEN 'val_partial_black' END, CASE WHEN c BETWEEN 140 AND 146 AND drop_reason IS NULL AND grounding_status = 'semantic_task_label' THEN 'val_simulated_organ' END, CASE WHEN c >= 147 AND drop_reason IS NULL AND visual_status = 'valid' THEN 'test_clean' END], lambda x: x IS NOT NULL)) AS slice FROM k) GROUP BY slice""")
+_CLEAN = "drop_reason IS NULL AND visual_status = 'valid' AND grounding_status <> 'generic_fallback'"
+
+
+@query(f"""WITH {QA_SQL}, k AS (SELECT *, CAST(regexp_extract(id, 'case_(\\d+)', 1) AS INTEGER) AS c FROM cu), v AS (SELECT * FROM k WHERE c BETWEEN 140 AND 146), t AS (SELECT * FROM k WHERE c BETWEEN 147 AND 154)
+SELECT slice, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'val_clean' AS slice FROM v WHERE {_CLEAN} UNION ALL SELECT 'val_black' FROM v WHERE visual_status = 'fully_black' UNION ALL SELECT 'val_partial_black' FROM v WHERE visual_status = 'partially_black'
+ UNION ALL SELECT 'val_simulated_organ' FROM v WHERE drop_reason IS NULL AND grounding_status = 'semantic_task_label' UNION ALL SELECT 'val_forceps' FROM v WHERE drop_reason IS NULL AND question_type = 'forceps_type' UNION ALL SELECT 'test_clean' FROM t WHERE {_CLEAN} UNION ALL SELECT 'test_forceps' FROM t WHERE drop_reason IS NULL AND question_type = 'forceps_type') GROUP BY slice""")
 def diagnostic_slices(spark, sf_dir):
-    rows = C.curate(qa_rows(spark, sf_dir)).withColumn("c", X.case_number(F.col("id")))
-    val, kept, seen = F.col("c").between(140, 146), F.col("drop_reason").isNull(), F.col("visual_status")
-    out = C.slices(rows, {"val_clean": val & kept & (seen == "valid"), "val_black": val & (seen == "fully_black"), "val_partial_black": val & (seen == "partially_black"), "val_simulated_organ": val & kept & (F.col("grounding_status") == "semantic_task_label"), "test_clean": (F.col("c") >= 147) & kept & (seen == "valid")})
-    return out.groupBy("slice").agg(F.count("*").alias("n"))
+    rows = C.curate(qa_rows(spark, sf_dir))
+    return J.diagnostic(rows, X.case_number(F.col("id"))).groupBy("slice").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(source) = 0 THEN 'source' END AS "column", coalesce(lang, source) AS value, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY GROUPING SETS ((lang), (source), ())""")
@@ -533,15 +539,6 @@ def set_metrics(spark, sf_dir):
     return M.forceps_metrics(p, "p", "e").withColumn("micro_f1", six(F.col("micro_f1")))
 
 
-@query()
-def bleu4(spark, sf_dir):
-    """Best BLEU-4 of every benchmark item against the references made of itself and of it without its last words."""
-    b = read(spark, sf_dir, "benchmark")
-    words = F.split("text", " ")
-    short = F.array_join(F.slice(words, F.lit(1), F.greatest(F.size(words) - 3, F.lit(1))), " ")
-    return b.select("item_id", six(M.best_reference(F.array(F.reverse("text"), short), F.col("text"))).alias("bleu"))
-
-
 @query("SELECT lang, round(sum(quality * n_chars) / greatest(sum(n_chars), 1e-6), 6) AS wmean FROM documents JOIN labels USING (doc_id) GROUP BY lang")
 def weighted_mean(spark, sf_dir):
     d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
@@ -556,15 +553,6 @@ def constraint_report(spark, sf_dir):
     return C.violations(d, {"no_label": F.col("found").isNull(), "duplicate": F.col("k") > 1, "short": F.length("n") < 300}, ("no_label",)).select("doc_id", "rule")
 
 
-@query()
-def qa_constraints(spark, sf_dir):
-    """The full catalogue of row rules over generated questions: only planted faults may break one."""
-    rows = segments(spark, sf_dir).withColumn("question_type", F.explode(F.array(*map(F.lit, V.TYPE_SLOTS))))
-    qa = T.for_type(F.col("question_type"), tools=F.col("tools"), commercial=F.col("commercial_tools"), target=F.lit("forceps"), task=F.col("task"), text=F.col("description"), key=F.col("p_partkey"))
-    made = rows.withColumn("qa", qa).filter("qa IS NOT NULL").select("p_partkey", F.concat_ws("_", F.col("p_partkey").cast("string"), "question_type").alias("id"), F.col("p_partkey").cast("string").alias("video"), F.lit(0.0).alias("t_start"), F.lit(30.0).alias("t_end"), "qa.question", F.when(F.col("p_partkey") % 100 == 7, F.slice("qa.answers", 1, 4)).otherwise(F.col("qa.answers")).alias("answers"), "question_type", F.lit("forceps").alias("tool"), "tools", "commercial_tools", F.lit(True).alias("found"), F.lit("x").alias("grounding_status"), F.col("p_partkey").alias("ord"))
-    return C.violations(made, C.answer_rules(), C.STOPS).groupBy("rule").agg(F.count("*").alias("n"))
-
-
 # ------------------------------------------------------------------ arrays, JSON, keys
 
 

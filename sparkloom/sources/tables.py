@@ -80,6 +80,18 @@ def paired_samples(spark: SparkSession, root: str) -> DataFrame:
     return asked.join(known, "case", "left")
 
 
+def json_scalar(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The JSON string of a file, one row; null if it is no string."""
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.from_json(F.concat(F.lit('{"v":'), "value", F.lit("}")), "v string").v.alias(name))
+
+
+def write_json_scalar(rows: DataFrame, name: str, path: str) -> None:
+    """One row's text as a JSON string."""
+    quoted = F.to_json(F.array(name))
+    rows.select(F.substring(quoted, F.lit(2), F.length(quoted) - 2).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_rows(rows: DataFrame, path: str, *, order: str | None = None, partition_by: tuple[str, ...] = ()) -> None:
     """Rows as Parquet, each file in order; with ``partition_by`` in folders that scans can skip."""
     out = rows.sortWithinPartitions(*partition_by, order) if order else rows
