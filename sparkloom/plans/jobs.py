@@ -71,6 +71,11 @@ def segments(parts: DataFrame, tasks: DataFrame, tools: DataFrame, config: Windo
     return out.select("case", "video_path", "part", "t_start", "t_end", "task", "description", "tools", "commercial_tools")
 
 
+def _cut(rows: DataFrame) -> DataFrame:
+    """Rows that several later steps read, written once to the checkpoint folder of the session if it has one."""
+    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows
+
+
 def presence_targets(tools: Column, commercial: Column) -> dict[str, Column]:
     """Whether each tool, any forceps, or each commercial variant is present."""
     own: dict[str, Column] = {t: F.arrays_overlap(tools, F.array(*map(F.lit, V.FORCEPS))) if t == "forceps" else F.array_contains(tools, t) for t in V.PRESENCE_TARGETS}
@@ -106,11 +111,12 @@ def questions(rows: DataFrame, config: Questions = Questions()) -> DataFrame:
     number = (100 + F.pmod(F.xxhash64(each), F.lit(900))).cast("string")
     made = drawn.withColumn("qa", qa).filter("qa IS NOT NULL")
     made = made.select(F.concat_ws("_", "key", "slot_type", number).alias("id"), F.col("video_path").alias("video"), "t_start", "t_end", "qa.question", "qa.answers", F.when(F.col("slot_type") == "tool_presence", target).alias("tool"), F.col("slot_type").alias("question_type"), each.alias("ord"))
-    made = made.unionByName(balanced_presence(made, keyed, config))
+    made = _cut(made)
+    made = _cut(made.unionByName(balanced_presence(made, keyed, config)))
     capped = made.filter(~F.col("question_type").isin("task_id", "description"))
     some = made.filter(F.col("question_type").isin("task_id", "description")).withColumn("first", F.get("answers", F.lit(0)))
     kept = D.cap_dominant(some.withColumn("_o", F.xxhash64("ord")), "question_type", "first", "_o", "ord", config.dominant, config.seed).drop("first", "_o")
-    both = capped.unionByName(kept)
+    both = _cut(capped.unionByName(kept))
     once = D.dedup_or_fail(both, ["video", "t_start", "t_end", X.normalize(F.col("question"))], "ord", F.to_json(F.array_sort(F.transform("answers", X.normalize))))
     return D.unique_ids(once.withColumn("_o", F.xxhash64("ord")), "id", "_o").drop("_o")
 
