@@ -14,13 +14,21 @@ bucket's smallest class; a bucket whose classes then still fall into several
 components compares the others with the smallest class of another component.
 Classes of buckets that even then hold untested candidates are joined exactly:
 sets that alike share one of their rarest shingles, so all pairs of different
-components that share one, and that sizes and the places of the shared ones allow,
-are compared. Every link is confirmed on the full sets; no candidate is cut off.
+components that share one, and that sizes, bitmaps and the places of the shared ones
+allow, are compared. Every link is confirmed on the full sets; no candidate is cut
+off.
+
+A set's bitmap has at each of ``BITS`` places whether an odd number of its shingles
+hash there. Two bitmaps differ in at most as many places as the sets differ in
+shingles, so pairs whose bitmaps differ too much are dropped in the join that
+finds them, before sets are moved: what a large group of texts around one passage
+emits is in proportion to the pairs that are nearly alike.
 
 Defined results: a null or blank text has an empty set, ``n_shingles`` 0, and is
 linked with nothing. A null doc_id takes no part in links (it has no name to link
-by) and comes back as its own kept row. Rows that repeat a doc_id are one
-document for linking if their texts agree; each row comes back. Extra columns are
+by) and comes back as its own kept row. Rows of one doc_id are one document, which
+is linked by each of its texts; each row comes back with its own ``n_shingles`` and
+the document's component, a row without words with its own doc_id. Extra columns are
 ignored. An empty table gives no rows.
 """
 
@@ -34,14 +42,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, column, stored, text_bytes
+from .common import blocks, column, discard, stored, text_bytes
 from .components import components
 from .words import distinct_each, minima, mix, shingles, words
 
 WIDTH, HALVES = 2, 10
 #: Star rounds over rare shingles before the open pairs are listed, and the part of a shingle's nodes that a row meets at once.
-STARS, PART = 2, 500
-SKETCH = "doc_id long, n_shingles long, set_high long, set_low long, halves array<int>"
+STARS, PART = 2, 2000
+BITS = 1024
+WORDS = range(BITS // 64)
+SKETCH = "doc_id long, n_shingles long, set_high long, set_low long, halves array<int>, bits array<long>"
 
 
 def sets_of(block: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,6 +69,23 @@ def set_digest(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out[0], out[1]
 
 
+def bitmaps(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Each set's bitmap as 64-bit words: sets x words."""
+    place = (mix(values ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(BITS)).astype(np.int64)
+    odd = np.bincount(np.repeat(np.arange(len(at) - 1), np.diff(at)) * BITS + place, minlength=(len(at) - 1) * BITS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, BITS), axis=1).view(np.int64)
+
+
+def _words(name: str) -> list[Column]:
+    return [F.get("bits", F.lit(i)).alias(f"{name}{i}") for i in WORDS]
+
+
+def _may_be_alike(percent: int) -> Column:
+    """Whether sizes ``nu``, ``nv`` and the words of two bitmaps allow the similarity."""
+    apart = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"u{i}").bitwiseXOR(F.col(f"v{i}"))) for i in WORDS))
+    return (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")) & ((100 + percent) * apart <= (100 - percent) * (F.col("nu") + F.col("nv")))
+
+
 def sketches(docs: DataFrame, size: int = 5, width: int = WIDTH, halves: int = HALVES) -> DataFrame:
     """Set size, set name and the 2 * halves half keys of every document (none for an empty set)."""
     seeds = np.random.default_rng(77).integers(0, 1 << 63, 2 * halves * width, dtype=np.uint64)
@@ -75,20 +102,22 @@ def sketches(docs: DataFrame, size: int = 5, width: int = WIDTH, halves: int = H
                 keys = reduce(lambda a, k: mix(a * np.uint64(0x9FB21C651E98DF25) + least[:, k::width]), range(width), np.zeros((len(full), 2 * halves), np.uint64))
                 for row, own in zip(full.tolist(), keys.astype(np.uint32).view(np.int32)):
                     lists[row] = own
-            yield pa.RecordBatch.from_arrays([column(block, "doc_id"), pa.array(number), pa.array(high), pa.array(low), pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "set_high", "set_low", "halves"])
+            bits = pa.FixedSizeListArray.from_arrays(pa.array(bitmaps(values, at).ravel()), len(WORDS)).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([column(block, "doc_id"), pa.array(number), pa.array(high), pa.array(low), pa.array(lists, pa.list_(pa.int32())), bits], ["doc_id", "n_shingles", "set_high", "set_low", "halves", "bits"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SKETCH)
 
 
 def shingle_sets(docs: DataFrame, size: int = 5) -> DataFrame:
-    """``doc_id`` and the full set of shingle hashes."""
+    """``doc_id``, the name of the set, and the full set of shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             values, at = sets_of(block, size)
-            yield pa.RecordBatch.from_arrays([column(block, "doc_id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))], ["doc_id", "shingles"])
+            high, low = set_digest(values, at)
+            yield pa.RecordBatch.from_arrays([column(block, "doc_id"), pa.array(high), pa.array(low), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))], ["doc_id", "set_high", "set_low", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, set_high long, set_low long, shingles array<long>")
 
 
 def tables(classes: DataFrame, halves: int) -> DataFrame:
@@ -103,9 +132,10 @@ def tables(classes: DataFrame, halves: int) -> DataFrame:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs ``u``, ``v`` whose full sets have that much in common."""
-    one, two = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "uv")
+    one, two = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "uv")
     both = F.size(F.array_intersect("su", "sv"))
-    return pairs.join(one, "u").join(two, "v").filter(100 * both >= percent * (F.size("su") + F.size("sv") - both)).select("u", "v")
+    # the set of v first: u is often one hub with many partners, whose set would be copied to each
+    return pairs.join(two, "v").join(one, "u").filter(100 * both >= percent * (F.size("su") + F.size("sv") - both)).select("u", "v")
 
 
 def rarest(sets: DataFrame, percent: int) -> DataFrame:
@@ -115,7 +145,7 @@ def rarest(sets: DataFrame, percent: int) -> DataFrame:
     those bound what they can share in all. Shingles of one set only take places
     but make no rows. The order of shingles is that of their number of sets.
     """
-    own = sets.select(F.col("doc_id").alias("node"), F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    own = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
     often = own.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     held = own.join(often, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))  # of one document
     first = F.size("held") + 1 - F.ceil(F.col("n") * percent / 100).cast("int")
@@ -123,26 +153,31 @@ def rarest(sets: DataFrame, percent: int) -> DataFrame:
     return chosen.select("node", "n", (F.col("n") - F.size("held")).alias("alone"), F.posexplode(F.slice("held", 1, F.col("first"))).alias("at", "h")).select("h.token", "node", "n", (F.col("alone") + F.col("at")).alias("place"))
 
 
-def _rooted(rare: DataFrame, roots: DataFrame) -> DataFrame:
-    """``rare`` with the ``root`` of each node, without the shingles whose nodes are all in one component."""
+def _rooted(rare: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``rare`` with the ``root`` and bitmap of each node, without the shingles whose nodes are all in one component."""
     rows = rare.join(roots.withColumnRenamed("node", "m"), F.col("m") == F.col("node"), "left").select(*rare.columns, F.coalesce("root", "node").alias("root"))
-    groups = rows.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("members")).filter("a <> b").select("token", "members")
-    return stored(rows.join(groups, "token"))
+    # stored apart from the rows, so that the join can split a common shingle
+    groups = stored(rows.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("members")).filter("a <> b").select("token", "members"))
+    kept = stored(rows.join(groups, "token").join(sizes.select("node", "bits"), "node"))
+    discard(groups)
+    return kept
 
 
 def _stars(rows: DataFrame, percent: int) -> DataFrame:
-    """The smallest node of each shingle with those outside its component."""
-    least = rows.groupBy("token").agg(F.min_by(F.struct(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru")), "node").alias("s")).select("token", "s.*")
-    pairs = rows.join(least, "token").filter((F.col("root") != F.col("ru")) & (100 * F.least("n", "nu") >= percent * F.greatest("n", "nu")))
-    return pairs.select("u", F.col("node").alias("v")).distinct()
+    """The smallest node of each shingle with those outside its component that may be alike."""
+    least = rows.groupBy("token").agg(F.min_by(F.struct(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"), *_words("u")), "node").alias("s"))
+    least = stored(least.select("token", "s.*"))
+    others = rows.select("token", F.col("node").alias("v"), F.col("n").alias("nv"), "root", *_words("v"))
+    pairs = others.join(least, "token").filter((F.col("root") != F.col("ru")) & _may_be_alike(percent))
+    return pairs.select("u", "v").distinct()
 
 
 def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components that their rarest shingles allow to be alike, dealt by parts of large groups."""
+    """All pairs of different components that their rarest shingles and bitmaps allow to be alike, dealt by parts of large groups."""
     parts = F.ceil(F.col("members") / PART).cast("int")
-    one = rows.select("token", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), F.col("node").alias("u"), F.col("n").alias("nu"), F.col("place").alias("pu"), F.col("root").alias("ru"))
-    two = rows.select("token", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("node").alias("v"), F.col("n").alias("nv"), F.col("place").alias("pv"), F.col("root").alias("rv"))
-    met = one.join(two, ["token", "part"]).filter((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")))
+    one = rows.select("token", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), F.col("node").alias("u"), F.col("n").alias("nu"), F.col("place").alias("pu"), F.col("root").alias("ru"), *_words("u"))
+    two = rows.select("token", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("node").alias("v"), F.col("n").alias("nv"), F.col("place").alias("pv"), F.col("root").alias("rv"), *_words("v"))
+    met = one.join(two, ["token", "part"]).filter((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & _may_be_alike(percent))
     seen = met.groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("c"), F.max("pu").alias("pu"), F.max("pv").alias("pv"))
     most = F.col("c") + F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv")) - 1
     return seen.filter((100 + percent) * most >= percent * (F.col("nu") + F.col("nv"))).select("u", "v")
@@ -152,19 +187,22 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, width:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` for every row of ``docs(doc_id, text)``."""
     rows = stored(sketches(docs, size, width, halves), keep="sketches")
     named = rows.filter("n_shingles > 0 and doc_id is not null")
-    classes = stored(named.groupBy("set_high", "set_low").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves")), keep="classes")
+    every = named.groupBy("set_high", "set_low").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves"), F.first("bits").alias("bits"))
+    classes = stored(every.withColumn("node", F.monotonically_increasing_id()), keep="classes")  # written once, so the numbers stay
     keyed = stored(tables(classes, halves), keep="tables")
-    sizes = classes.select("node", "n")
+    sizes = classes.select("node", "n", "bits")
 
     least = keyed.groupBy("key").agg(F.min("node").alias("u"), F.count("*").alias("members")).filter("members > 1")
     stars = keyed.join(least.select("key", "u"), "key").filter("u <> node").select("u", F.col("node").alias("v"))
     pairs = stored(_alike_in_size(stars.groupBy("u", "v").agg(F.count("*").alias("tables")), sizes, percent), keep="pairs")
     # later rounds pair classes of buckets of three or more, whatever the first star's sizes were
     more = keyed.join(least.filter("members > 2").select("key"), "key", "left_semi").select("node")
-    active = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).union(more).distinct()
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # the active documents have no size bound, so neither plan nor growth may hang on a broadcast of them
-    sets = stored(shingle_sets(source.join(active.hint("merge"), "doc_id", "left_semi"), size).dropDuplicates(["doc_id"]), keep="sets")
+    active = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(more).distinct()
+    # the active classes have no size bound, so neither plan nor growth may hang on a broadcast of them
+    active = classes.select("node", "doc", "set_high", "set_low").join(active.hint("merge"), "node", "left_semi")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(active.select(F.col("doc").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    found = shingle_sets(source, size).join(active.hint("merge"), ["set_high", "set_low"]).filter("doc_id = doc")
+    sets = stored(found.dropDuplicates(["set_high", "set_low"]).select("node", "shingles"), keep="sets")
 
     best = pairs.groupBy("v").agg(F.max_by("u", F.struct("tables", -F.col("u"))).alias("u"))
     links = stored(confirmed(best, sets, percent), keep="links")
@@ -185,27 +223,33 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, width:
     members = keyed.join(least.filter("members > 2").select("key", "u"), "key").filter("u <> node").join(roots.withColumnRenamed("node", "m"), F.col("m") == F.col("node"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     open_keys = members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
     left = stored(members.join(open_keys, "key", "left_semi").select("node").distinct(), keep="left")
-    rare = stored(rarest(sets.join(left.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi"), percent), keep="rare")
+    rare = stored(rarest(sets.join(left.hint("merge"), "node", "left_semi"), percent), keep="rare")
     for _ in range(STARS):  # these only save comparisons: what they link need not be paired below
-        fresh = stored(confirmed(_stars(_rooted(rare, roots), percent), sets, percent), keep="fresh")
+        fresh = stored(confirmed(_stars(_rooted(rare, roots, sizes), percent), sets, percent), keep="fresh")
         if fresh.isEmpty():
             break
         links = stored(links.union(fresh), keep="links")
         roots = stored(components(links))
-    links = stored(links.union(confirmed(stored(_open_pairs(_rooted(rare, roots), percent)), sets, percent)), keep="links")
-    roots = components(links)
-
-    top = classes.join(roots, "node", "left").select("set_high", "set_low", F.coalesce("root", "node").alias("root"))
+    links = stored(links.union(confirmed(stored(_open_pairs(_rooted(rare, roots, sizes), percent)), sets, percent)), keep="links")
+    # texts of one doc_id are one document
+    several = named.groupBy("doc_id").agg(F.min("set_high").alias("a"), F.max("set_high").alias("b")).filter("a <> b").select("doc_id")
+    twins = named.join(several, "doc_id", "left_semi").select("doc_id", "set_high", "set_low").distinct().join(classes.select("node", "set_high", "set_low"), ["set_high", "set_low"]).select("doc_id", "node")
+    head = twins.groupBy("doc_id").agg(F.min("node").alias("u"))
+    roots = stored(components(links.union(twins.join(head, "doc_id").filter("node <> u").select("u", F.col("node").alias("v")))))
+
+    rooted = classes.join(roots, "node", "left").select("doc", "set_high", "set_low", F.coalesce("root", "node").alias("root"))
+    names = stored(rooted.groupBy("root").agg(F.min("doc").alias("component")), keep="components")
+    top = rooted.join(names, "root").select("set_high", "set_low", "component")
     joined = rows.select("doc_id", "n_shingles", "set_high", "set_low").join(top, ["set_high", "set_low"], "left")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    out = joined.select("doc_id", "n_shingles", F.when(linked, F.col("root")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = joined.select("doc_id", "n_shingles", F.when(linked, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _alike_in_size(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Only pairs whose set sizes allow the similarity."""
-    one, two = (sizes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "uv")
-    return pairs.join(one, "u").join(two, "v").filter(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")).drop("nu", "nv")
+    """Only pairs whose set sizes and bitmaps allow the similarity."""
+    one, two = (sizes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), *_words(x)) for x in "uv")
+    return pairs.join(one, "u").join(two, "v").filter(_may_be_alike(percent)).select(*pairs.columns)
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
