@@ -11,7 +11,8 @@ Captures of one host and day agree, so they are counted as one before the join;
 a host that holds a third of all captures is a few rows. The intervals have no
 size bound and are not broadcast by the operator.
 
-Defined results: hosts are lower case, without user and port; a null url, or one
+Defined results: hosts are lower case, without user, port and final dots (an
+address in brackets keeps them); a null url, or one
 without a host, or a null fetch time is not blocked, with null columns. List rows
 with a null domain, day or action are ignored; repeated ones count once. An empty
 list blocks nothing; an empty table gives no rows. Extra columns come back,
@@ -24,16 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@]+)"
 
 
 def host_of(url: Column) -> Column:
-    return F.nullif(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(""))
+    return F.nullif(F.rtrim(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(".")), F.lit(""))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
     """``domain``, ``category``, ``since``, ``until`` (excluded; null: still open) from ``domain, category, action, day``."""
-    known = entries.filter("domain IS NOT NULL AND day IS NOT NULL AND action IN ('add', 'remove')").select(F.lower("domain").alias("domain"), F.coalesce("category", F.lit("")).alias("category"), "action", "day")
+    known = entries.filter("domain IS NOT NULL AND day IS NOT NULL AND action IN ('add', 'remove')").select(F.rtrim(F.lower("domain"), F.lit(".")).alias("domain"), F.coalesce("category", F.lit("")).alias("category"), "action", "day")
     last = known.groupBy("domain", "category", "day").agg(F.min("action").alias("action"))  # 'add' before 'remove'
     own = Window.partitionBy("domain", "category").orderBy("day")  # one row a day
     return last.withColumn("until", F.lead("day").over(own)).filter("action = 'add'").select("domain", "category", F.col("day").alias("since"), "until")
@@ -42,17 +43,18 @@ def intervals(entries: DataFrame) -> DataFrame:
 def evaluate(captures: DataFrame, entries: DataFrame, *, url: str = "url", fetched: str = "fetched") -> DataFrame:
     """``captures`` with ``host``, ``blocked``, ``blocked_by`` (the domain), ``category`` and ``listed_since``."""
     added = ("host", "blocked", "blocked_by", "category", "listed_since")
-    rows = captures.select(*(c for c in captures.columns if c not in added)).withColumn("host", host_of(F.col(url))).withColumn("_day", F.to_date(fetched))
-    asked = rows.filter("host IS NOT NULL AND _day IS NOT NULL").groupBy("host", "_day").agg(F.count("*").alias("n"))
+    names = [c for c in captures.columns if c not in added]
+    own = [F.col(c).alias(f"own_{i}") for i, c in enumerate(names)]
+    rows = captures.select(*own, host_of(F.col(url)).alias("host"), F.to_date(fetched).alias("day"))
+    asked = rows.filter("host IS NOT NULL AND day IS NOT NULL").select("host", "day").distinct()
     labels = F.split("host", r"\.")
     above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    domains = asked.select("host", "_day", F.explode(above).alias("domain"))
-    held = intervals(entries)
-    active = domains.join(held, "domain").filter("_day >= since AND (until IS NULL OR _day < until)")
-    decided = active.groupBy("host", "_day").agg(F.min(F.struct((-F.length("domain")).alias("shorter"), "category", "since", "domain")).alias("d"))
-    out = rows.join(decided, ["host", "_day"], "left")
-    kept = [c for c in captures.columns if c not in added]
-    return out.select(*kept, "host", F.col("d").isNotNull().alias("blocked"), F.col("d.domain").alias("blocked_by"), F.col("d.category").alias("category"), F.col("d.since").alias("listed_since"))
+    domains = asked.select("host", "day", F.explode(above).alias("domain"))
+    active = domains.join(intervals(entries), "domain").filter("day >= since AND (until IS NULL OR day < until)")
+    decided = active.groupBy("host", "day").agg(F.min(F.struct((-F.length("domain")).alias("shorter"), "category", "since", "domain")).alias("best"))
+    out = rows.join(decided, ["host", "day"], "left")
+    back = [F.col(f"own_{i}").alias(c) for i, c in enumerate(names)]
+    return out.select(*back, "host", F.col("best").isNotNull().alias("blocked"), F.col("best.domain").alias("blocked_by"), F.col("best.category").alias("category"), F.col("best.since").alias("listed_since"))
 
 
 def captures_of(pages: DataFrame) -> DataFrame:
@@ -81,7 +83,7 @@ def dated_list(pages: DataFrame) -> DataFrame:
 
 #: The result of ``op7`` in DuckDB's SQL.
 ORACLE = r"""
-WITH p AS (SELECT page_id, url, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') AS host,
+WITH p AS (SELECT page_id, url, nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@]+)', 1)), '.'), '') AS host,
   CAST(TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (page_id % (366 * 24)) AS DATE) AS day FROM pages),
 h AS (SELECT DISTINCT host AS domain, CAST('0x' || substr(md5(host), 1, 4) AS INTEGER) AS draw FROM p WHERE host IS NOT NULL),
 own AS (SELECT domain, CASE WHEN draw % 2 = 0 THEN 'spam' ELSE 'adult' END AS category, k, draw % 200 AS start, 1 + draw % 3 + (draw // 3) % 3 AS many FROM h, (VALUES (1), (2), (3)) AS v(k) WHERE draw % 3 = 0),
