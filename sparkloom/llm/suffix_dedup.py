@@ -252,15 +252,16 @@ def _shared(rows: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFra
 def _named(stretches: DataFrame, length: int) -> DataFrame:
     """Every string of the stretches by two hashes."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                data = np.frombuffer(row.part, np.uint8)
-                one, two = (run_hashes(data, length, v).view(np.int64) for v in (_VALUE, _SECOND))
-                start = row.start + np.arange(len(one))
-                yield pd.DataFrame({"o": row.o, "t1": row.t1, "t2": row.t2, "start": start, "until": start + length, "w1": one, "w2": two})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "part"):
+            data, offsets = text_bytes(column(block, "part"))
+            row, place = runs(np.diff(offsets) - length + 1)
+            at = offsets[row] + place
+            one, two = (run_hashes(data, length, v).view(np.int64)[at] for v in (_VALUE, _SECOND))
+            o, t1, t2, start = (np.asarray(column(block, k))[row] for k in ("o", "t1", "t2", "start"))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (o, t1, t2, start + place, start + place + length, one, two))], ["o", "t1", "t2", "start", "until", "w1", "w2"])
 
-    return stretches.select("o", "t1", "t2", "start", "part").mapInPandas(run, "o long, t1 long, t2 long, start long, until long, w1 long, w2 long")
+    return stretches.select("o", "t1", "t2", "start", "part").mapInArrow(run, "o long, t1 long, t2 long, start long, until long, w1 long, w2 long")
 
 
 def _settle(bucket: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -275,11 +276,10 @@ def _settle(bucket: tuple, group: pd.DataFrame) -> pd.DataFrame:
 
 def _repeats(rows: DataFrame, length: int, gram: int, shard_bytes: int) -> DataFrame:
     """``t1, t2, start, until``: stretches of first copies that repeated strings cover (several may overlap)."""
-    firsts = rows.groupBy("t1", "t2").agg(F.min("o").alias("o"))
     marks, shared = _shared(rows.select("o", F.col("t1").alias("key"), F.col("text").cast("binary").alias("part")), length, gram)
-    wanted = firsts.join(marks, firsts.t1 == marks.key).select(*(F.col(k).alias(f"x_{k}") for k in ("t1", "t2", "o")), "marks")
-    texts = rows.join(wanted, (F.col("t1") == F.col("x_t1")) & (F.col("t2") == F.col("x_t2"))).filter("o = x_o")
-    ready = texts.select("o", "t1", "t2", F.lit(0).cast("long").alias("start"), F.col("text").cast("binary").alias("part"), "marks")
+    # copies of a text become one before they are shuffled
+    firsts = rows.groupBy(F.col("t1").alias("key")).agg(F.min(F.struct("o", "t2", "text")).alias("first"))
+    ready = firsts.join(marks, "key").select("first.o", F.col("key").alias("t1"), "first.t2", F.lit(0).cast("long").alias("start"), F.col("first.text").cast("binary").alias("part"), "marks")
     parts = stored(_parts(ready, length, gram), keep="parts")
     discard(shared)
     judged = _judged(parts, length, shard_bytes)
@@ -311,7 +311,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
         raise ValueError("a carried column has the name of a result")
     spans = _repeats(rows, length, gram, shard_bytes).groupBy("t1", "t2").agg(F.sort_array(F.collect_set(F.struct("start", "until"))).alias("spans"))  # of one text
     firsts = rows.groupBy("t1", "t2").agg(F.min("o").alias("first"))
-    facts = firsts.join(spans, ["t1", "t2"], "left")
+    facts = stored(firsts.join(spans, ["t1", "t2"], "left"), keep="facts")  # apart from the rows, so that the join can split a text with many copies
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
