@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage
 before kept; ``run`` applies them to the table of documents. Its rows have no SQL
-form (a fitted classifier, a tokenizer), so tests hold the stages against
-brute-force versions.
+form (a fitted classifier, a tokenizer), so a test holds all of it against plain
+versions of its stages.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import stages
-from sparkloom.llm.common import stored, table
+from sparkloom.llm.common import discard, stored, table
 
 STAGES = [
     ("quality classifier", stages.good_documents),
@@ -27,5 +27,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; what one returns is written and read again as the next one's documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), keep=name.split()[0].lower())
+        before, docs = docs, stored(stage(spark, docs, sf_dir), keep=name.split()[0].lower())
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -237,6 +237,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, width:
     head = twins.groupBy("doc_id").agg(F.min("node").alias("u"))
     roots = stored(components(links.union(twins.join(head, "doc_id").filter("node <> u").select("u", F.col("node").alias("v")))))
 
+    discard(keyed, pairs, sets, others, left, rare)
+
     rooted = classes.join(roots, "node", "left").select("doc", "set_high", "set_low", F.coalesce("root", "node").alias("root"))
     names = stored(rooted.groupBy("root").agg(F.min("doc").alias("component")), keep="components")
     top = rooted.join(names, "root").select("set_high", "set_low", "component")
