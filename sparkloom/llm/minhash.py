@@ -172,7 +172,7 @@ def _stars(rows: DataFrame, percent: int) -> DataFrame:
     return pairs.select("u", "v").distinct()
 
 
-def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
+def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """All pairs of different components that their rarest shingles and bitmaps allow to be alike, dealt by parts of large groups."""
     parts = F.ceil(F.col("members") / PART).cast("int")
     one = rows.select("token", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), F.col("node").alias("u"), F.col("n").alias("nu"), F.col("place").alias("pu"), F.col("root").alias("ru"), *_words("u"))
@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, width:
             break
         links = stored(links.union(fresh), keep="links")
         roots = stored(components(links))
-    links = stored(links.union(confirmed(stored(_open_pairs(_rooted(rare, roots, sizes), percent)), sets, percent)), keep="links")
+    links = stored(links.union(confirmed(stored(open_pairs(_rooted(rare, roots, sizes), percent)), sets, percent)), keep="links")
     # texts of one doc_id are one document
     several = named.groupBy("doc_id").agg(F.min("set_high").alias("a"), F.max("set_high").alias("b")).filter("a <> b").select("doc_id")
     twins = named.join(several, "doc_id", "left_semi").select("doc_id", "set_high", "set_low").distinct().join(classes.select("node", "set_high", "set_low"), ["set_high", "set_low"]).select("doc_id", "node")

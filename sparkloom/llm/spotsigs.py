@@ -15,6 +15,7 @@ one are not (0.0).
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, column, partitions, text_bytes
+from .common import blocks, column, partitions, stored, text_bytes
+from .minhash import BITS, bitmaps, open_pairs, rarest
 from .words import U, distinct_each, mix, words
 
 #: Common words of English, German, French and Spanish (fixed values).
@@ -87,15 +89,16 @@ def _hex(values: np.ndarray) -> str:
 
 
 def fingerprints(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", chain: int = CHAIN) -> DataFrame:
-    """``doc_id``, ``signatures`` (sorted array) and ``fingerprint`` of every row."""
+    """``doc_id``, ``signatures`` (sorted array), their bitmap ``bits`` and ``fingerprint`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             values, at = signatures(*text_bytes(column(block, "text")), chain)
             prints = [_hex(values[a:b]) for a, b in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([column(block, "doc_id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.astype(np.int64))), pa.array(prints, pa.string())], ["doc_id", "signatures", "fingerprint"])
+            bits = pa.FixedSizeListArray.from_arrays(pa.array(bitmaps(values, at).ravel()), BITS // 64).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([column(block, "doc_id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.astype(np.int64))), bits, pa.array(prints, pa.string())], ["doc_id", "signatures", "bits", "fingerprint"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, signatures array<long>, fingerprint string")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, signatures array<long>, bits array<long>, fingerprint string")
 
 
 def near_pairs(prints: DataFrame, least: float) -> DataFrame:
@@ -104,19 +107,21 @@ def near_pairs(prints: DataFrame, least: float) -> DataFrame:
     Documents are partitioned by the length of their set so that alike ones are in
     the same or the next partition, and meet on a signature among the rarest
     ``n - ceil(least * n) + 1`` of each, without which they cannot be so alike.
-    Equal fingerprints are one class, named by its smallest doc_id.
+    Lengths, bitmaps and places of the shared signatures rule out most of the pairs
+    that meet; a common signature's documents are dealt to tasks in parts. Equal
+    fingerprints are one class, named by its smallest doc_id.
     """
-    classes = prints.filter(F.size("signatures") > 0).groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.first("signatures").alias("s")).select("id", "s", F.size("s").alias("n"))
-    terms = classes.select("id", "n", F.explode("s").alias("t"))
-    counts = terms.groupBy("t").agg(F.count("*").alias("df"))
-    ranked = terms.join(counts, "t").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))  # of one document
-    band = F.floor(F.log(F.col("n")) / F.log(F.lit(1 / least + 1e-9))) if least < 1 else F.col("n")
-    heads = ranked.select("id", "n", band.alias("band"), F.explode(F.slice(F.col("o.t"), 1, (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).cast("int"))).alias("t"))
-    right = heads.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.explode(F.array(F.col("band"), F.col("band") + 1, F.col("band") - 1)).alias("band"), "t")
-    met = heads.withColumnRenamed("id", "a").join(right, ["t", "band"]).filter((F.col("a") < F.col("b")) & (F.least("n", "nb") >= least * F.greatest("n", "nb"))).select("a", "b").distinct()
-    one, two = (classes.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+    percent = int(100 * least)
+    classes = stored(prints.filter((F.size("signatures") > 0) & F.col("doc_id").isNotNull()).groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.first("signatures").alias("shingles"), F.first("bits").alias("bits")).drop("fingerprint"), keep="classes")
+    rare = rarest(classes.select("node", "shingles"), percent)
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(1 / least + 1e-9)))
+    held = stored(rare.withColumn("token", F.explode(F.array(F.xxhash64("token", band), F.xxhash64("token", band + 1)))), keep="rare")
+    common = stored(held.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1"), keep="common")
+    rows = held.join(common, "token").join(classes.select("node", "bits"), "node").withColumn("root", F.col("node"))
+    met = open_pairs(rows, percent).select(F.col("u").alias("a"), F.col("v").alias("b"))
+    one, two = (classes.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
-    return met.join(one, "a").join(two, "b").select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("likeness")).filter(F.col("likeness") >= least)
+    return met.join(two, "b").join(one, "a").select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("likeness")).filter(F.col("likeness") >= least)
 
 
 def against_edited(docs: DataFrame, *, chain: int = CHAIN) -> DataFrame:
@@ -133,13 +138,18 @@ def against_edited(docs: DataFrame, *, chain: int = CHAIN) -> DataFrame:
     n = 4 * partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("*", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2"))
-    cuts = sorted(set(rows.select("doc_id").filter("doc_id is not null").approxQuantile("doc_id", [k / n for k in range(1, n)], 0.25 / n) or []))
-    low = F.array(*[F.lit(int(c)).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    above = F.size(F.filter(low, lambda c: c > F.col("doc_id")))
-    nulls = F.floor((F.col("t1") / F.lit(2.0**64) + 0.5) * n)
-    rows = rows.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(n) + nulls).otherwise(above).cast("int"))
+    found = rows.select("doc_id").filter("doc_id is not null").approxQuantile("doc_id", [k / n for k in range(1, n)], 0.25 / n) or []
+    many = Counter(int(c) for c in found)  # a doc_id that several quantiles fall on has as many ranges, by the texts' hashes
+    longs = lambda values: F.array(*(F.lit(v).cast("long") for v in values)).cast("array<long>")
+    above = F.size(F.filter(longs(sorted(many)), lambda c: c > F.col("doc_id")))
+    often = {c: m for c, m in many.items() if m > 1}
+    part = lambda m: F.floor((F.col("t1") / F.lit(2.0**64) + 0.5) * m)
+    held = F.map_from_arrays(longs(often), longs(often.values()))
+    own = F.coalesce(1 + part(F.try_element_at(held, F.col("doc_id"))), F.lit(0))  # such a doc_id is the last of its range
+    width = max(many.values(), default=1) + 2
+    rows = rows.withColumn("range", F.when(F.col("doc_id").isNull(), (len(many) + 1) * width + part(F.lit(n))).otherwise(above * width + own).cast("int"))
     key = F.struct((-F.col("doc_id")).alias("down"), "t1", "t2")
-    # one row for each range: at most 2 * n, however large the table
+    # one row for each range: at most 4 * n, however large the table
     heads = [tuple(r) for r in rows.groupBy("range").agg(F.min(key).alias("k")).orderBy("range").select("range", "k.t1", "k.t2").collect()]
     if not heads:
         return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -182,6 +182,7 @@ def signatures_of(text):
 def test_spotsigs_by_plain_loops(spark):
     texts = [f"the {prose(30)} of {prose(20)} and {prose(9)} to {prose(3)}" for _ in range(6)]
     rows = DOCS + [(100 + i, t) for i, t in enumerate(texts)] + [(200 + i, texts[0] + " in " + prose(k)) for i, k in enumerate((0, 2, 9))] + [(105, "the other text of one number"), (300, "word the " * 4000)]
+    rows += [(150, f"the text {prose(4)}") for _ in range(200)]  # a number that several ranges hold
     docs = spark.createDataFrame(rows, EMPTY).repartition(3)
     order = [(r.doc_id, r.text) for r in docs.withColumn("text", F.coalesce("text", F.lit(""))).orderBy(F.desc_nulls_last("doc_id"), F.xxhash64("text"), F.xxhash64(F.lit(7), "text")).collect()]
     alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
