@@ -9,7 +9,8 @@ Rows between two neighbouring places of the ring (an arc) have the same order of
 shards before them. Filling therefore works on counts of arcs, a table whose size
 the ring fixes: in step d every arc offers what is left of it to its d-th shard,
 which takes arcs in ring order up to its room. A row finds its shard and its slot
-from its rank in the arc; rows are shuffled once by arc. Rows that agree in all
+from its rank in the arc: counts of fixed cells of the ring, and its rank in its
+cell; rows are shuffled once by cell. Rows that agree in all
 that the result shows are counted together and spread out again at the end, so
 many copies of a row make no large group.
 
@@ -28,6 +29,8 @@ from pyspark.sql.window import Window
 SHARDS, NODES = 8, 256
 #: Digits of an MD5 that make a place on the ring.
 DIGITS = 15
+#: The ring is cut into so many (a power of two) equal cells, in each of which rows are ranked by one task.
+CELL_BITS = 16
 #: Copies of one row that are spread out by one row of the last step.
 BLOCK = 4096
 
@@ -93,16 +96,22 @@ def assign(docs: DataFrame, *, shards: int = SHARDS, nodes: int = NODES, text: s
     name = F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "size", "text_crc32")
     rows = with_arc(rows.withColumn("place", _place(name)), shards, nodes)
 
-    counts = rows.groupBy("arc").agg(F.sum("copies").alias("n"))
+    rows = rows.withColumn("cell", F.shiftright("place", 4 * DIGITS - CELL_BITS).cast("int"))
+    cells = rows.groupBy("arc", "cell").agg(F.sum("copies").alias("n"))
+    counts = cells.groupBy("arc").agg(F.sum("n").alias("n"))
     asked = ring(spark, shards, nodes).join(counts, "arc").withColumn("total", F.sum(F.when(F.col("step") == 0, F.col("n"))).over(Window.partitionBy()))
     asked = asked.withColumn("room", F.floor(F.col("total") / shards) + (F.col("shard") < F.col("total") % shards).cast("long"))
     quotas = fill(asked, shards).filter("taken > 0")
     earlier = Window.partitionBy("arc").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     quotas = quotas.withColumn("high", F.sum("taken").over(earlier)).select("arc", F.col("shard").cast("int").alias("shard"), (F.col("high") - F.col("taken")).alias("low"), "high", "slot")
 
-    order = Window.partitionBy("arc").orderBy("place", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = rows.withColumn("until", F.sum("copies").over(order)).withColumn("from", F.col("until") - F.col("copies"))
-    met = ranked.join(quotas, "arc").withColumn("a", F.greatest("low", "from")).withColumn("b", F.least("high", "until")).filter("a < b")
+    # broadcast: at most 2**CELL_BITS rows and one more for each place of the ring
+    start = F.broadcast(cells.select("arc", "cell", (F.sum("n").over(Window.partitionBy("arc").orderBy("cell")) - F.col("n")).alias("before")))
+    order = Window.partitionBy("arc", "cell").orderBy("place", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = rows.withColumn("own", F.sum("copies").over(order)).join(start, ["arc", "cell"])
+    ranked = ranked.withColumn("until", F.col("before") + F.col("own")).withColumn("from", F.col("until") - F.col("copies"))
+    # broadcast: a row for each place of the ring and shard at most
+    met = ranked.join(F.broadcast(quotas), "arc").withColumn("a", F.greatest("low", "from")).withColumn("b", F.least("high", "until")).filter("a < b")
     met = met.select("doc_id", "size", "text_crc32", "shard", (F.col("slot") + F.col("a") - F.col("low")).alias("slot"), (F.col("b") - F.col("a")).alias("many"))
     parts = met.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1, F.lit(BLOCK).cast("long"))))
     spread = parts.withColumn("k", F.explode(F.sequence(F.col("start"), F.least(F.col("start") + BLOCK - 1, F.col("many") - 1))))
