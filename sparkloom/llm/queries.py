@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fim, line_dedup, minhash, packing, quality, sharding, spotsigs, suffix_dedup, topk, url_filter
+from . import byte_bpe, fim, line_dedup, minhash, packing, quality, sharding, spotsigs, suffix_dedup, topk, trie, url_filter
 from .common import table
 
 
@@ -76,6 +76,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(), 256).alias("restored_sha256"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_spotsigs": op9_spotsigs,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
@@ -95,4 +100,5 @@ ORACLES: dict[str, str] = {
     "op5_topk": topk.ORACLE,
     "op7_url_filter": url_filter.ORACLE,
     "op11_fill_in_middle": fim.ORACLE,
+    "op13_prefix_trie": trie.ORACLE,
 }
