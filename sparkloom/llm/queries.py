@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fim, line_dedup, minhash, packing, quality, sharding, spotsigs, suffix_dedup, topk, trie, url_filter
+from . import anchors, byte_bpe, fim, line_dedup, minhash, packing, quality, sharding, spotsigs, suffix_dedup, topk, trie, url_filter
 from .common import table
 
 
@@ -76,6 +76,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(), 256).alias("restored_sha256"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = anchors.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_spotsigs": op9_spotsigs,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
@@ -100,5 +106,6 @@ ORACLES: dict[str, str] = {
     "op5_topk": topk.ORACLE,
     "op7_url_filter": url_filter.ORACLE,
     "op11_fill_in_middle": fim.ORACLE,
+    "op12_substring_dedup": anchors.ORACLE,
     "op13_prefix_trie": trie.ORACLE,
 }
