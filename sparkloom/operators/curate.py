@@ -10,6 +10,7 @@ from sparkloom import vocab as V
 from sparkloom.functions.text import normalize, semantic_organ_answers, stable_fraction
 
 KEY = ["video", "t_start", "t_end"]
+DROP_REASONS = ["drop_fully_black_visual_question", "drop_generic_organ_fallback"]
 
 
 def visual_status(audit: DataFrame, confirmed: DataFrame) -> DataFrame:

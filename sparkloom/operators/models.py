@@ -81,3 +81,47 @@ def positions_after(base: Column, count: Column) -> Column:
 def in_read_order(requests: DataFrame, source: str, index: str) -> DataFrame:
     """Requests dealt by their source, each source's in ascending order, so that it is read once and forwards."""
     return requests.repartition(source).sortWithinPartitions(source, index)
+
+
+def key_states(expected: DataFrame, found: DataFrame, name: str = "name", shape: str = "shape", optional: tuple[str, ...] = ()) -> DataFrame:
+    """Every key of either side with ``state``: ``ok``, ``missing``, ``unexpected``, ``shape`` (of another shape), or ``optional`` if it may be missing.
+
+    A join, so that weights of any number of tensors are checked where they are.
+    """
+    one = expected.select(F.col(name).alias("name"), F.struct(shape).alias("_e"))
+    two = found.select(F.col(name).alias("name"), F.struct(shape).alias("_f"))
+    absent = F.when(F.col("name").isin(*optional), "optional").otherwise("missing") if optional else F.lit("missing")
+    state = F.when(F.col("_f").isNull(), absent).when(F.col("_e").isNull(), "unexpected").when(F.col("_e") == F.col("_f"), "ok").otherwise("shape")
+    return one.join(two, "name", "full").select("name", state.alias("state"))
+
+
+def demand_keys(states: DataFrame) -> DataFrame:
+    """The states, if all are ``ok`` or ``optional``; otherwise an error that names a key and its state."""
+    fine = F.col("state").isin("ok", "optional")
+    return states.filter(F.when(fine, F.lit(True)).otherwise(F.raise_error(F.concat("state", F.lit(": "), "name")).cast("boolean")))
+
+
+def delta(trained: DataFrame, base: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """The tensors of ``trained`` whose values or shape differ from ``base`` or that it lacks, and those named in ``keys`` (earlier deltas)."""
+    was = base.select("name", F.col("shape").alias("_s"), F.col("values").alias("_v"))
+    joined = trained.join(was, "name", "left")
+    changed = F.col("_v").isNull() | (F.col("shape") != F.col("_s")) | (F.col("values") != F.col("_v"))
+    if keys is not None:
+        joined = joined.join(keys.select("name").distinct().withColumn("_k", F.lit(True)), "name", "left")
+        changed = changed | F.col("_k").isNotNull()
+    return joined.filter(changed).select(*trained.columns)
+
+
+def with_delta(base: DataFrame, changes: DataFrame) -> DataFrame:
+    """``base`` with the tensors of ``changes`` in place of its own; a key that the base lacks is an error."""
+    new = changes.select("name", F.struct("dtype", "shape", "values").alias("_n"), F.lit(True).alias("_d"))
+    both = base.withColumn("_b", F.lit(True)).join(new, "name", "full")
+    known = F.when(F.col("_b").isNotNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("unexpected: "), "name")).cast("boolean"))
+    own = [F.when(F.col("_d").isNotNull(), F.col(f"_n.{c}")).otherwise(F.col(c)).alias(c) if c in ("dtype", "shape", "values") else F.col(c) for c in base.columns]
+    return both.filter(known).select(*own)
+
+
+def whole_tensors(pieces: DataFrame) -> DataFrame:
+    """Tensors of one row each from their pieces, in the order of ``first``."""
+    parts = pieces.groupBy("name").agg(F.first("dtype").alias("dtype"), F.first("shape").alias("shape"), F.sort_array(F.collect_list(F.struct("first", "values"))).alias("p"))  # of one tensor
+    return parts.select("name", "dtype", "shape", F.flatten(F.col("p.values")).alias("values"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sparkloom import vocab as V
 from sparkloom.functions import text as X
@@ -127,6 +128,39 @@ def curated(qa: DataFrame, statuses: DataFrame, keep: float = 0.1) -> DataFrame:
     return C.curate(seen.withColumn("grounding_status", C.grounding_status(F.col("question_type"), F.get("answers", F.lit(0)))), keep)
 
 
+@dataclass
+class Curated:
+    """What one pass over the rows has made: the kept rows, all rows with their marks, and the counts of both."""
+
+    kept: DataFrame
+    annotated: DataFrame
+    manifest: DataFrame
+
+
+def curated_once(rows: DataFrame, path: str, vocabulary: dict[str, list[str]]) -> Curated:
+    """Write marked rows (of ``curated``) below ``path``, kept and dropped ones apart, and count them while they are written.
+
+    The counts are observed metrics of the write: rows, drops by reason, and the
+    kept rows by the values of ``vocabulary`` (``other`` for all else), a number fixed
+    by the vocabularies. A retried task's rows count once. The folder must be new.
+    """
+    spark = rows.sparkSession
+    kept = F.col("drop_reason").isNull()
+    figures = {("original_examples", ""): F.count("*"), ("curated", ""): F.count_if(kept), ("sample_weight", ""): F.coalesce(F.sum(F.when(kept, (F.col("sample_weight") * 100).cast("long"))), F.lit(0))}
+    for column, values in {"drop_reason": C.DROP_REASONS, **vocabulary}.items():
+        of = ~kept if column == "drop_reason" else kept
+        for v in values:
+            figures[column, v] = F.count_if(of & (F.col(column) == v))
+        figures[column, "other"] = F.count_if(of & ~F.coalesce(F.col(column).isin(*values), F.lit(False)))
+    seen = Observation("curation")
+    marked = rows.observe(seen, *(c.alias(f"m{i}") for i, c in enumerate(figures.values())))
+    marked.withColumn("outcome", F.when(kept, "kept").otherwise("dropped")).write.partitionBy("outcome").parquet(path)
+    counts = seen.get
+    manifest = spark.createDataFrame([(section, name, int(counts[f"m{i}"])) for i, (section, name) in enumerate(figures)], "section string, name string, n bigint")
+    back = spark.read.schema(StructType([*rows.schema.fields, StructField("outcome", StringType())])).parquet(path)
+    return Curated(back.filter("outcome = 'kept'").select(*rows.columns), back.select(*rows.columns), manifest)
+
+
 def diagnostic(rows: DataFrame, case: Column) -> DataFrame:
     """Curated rows (dropped ones included) once for each diagnostic slice that they are in, with ``slice``.
 

@@ -28,9 +28,9 @@ def _with_case(rows: DataFrame) -> DataFrame:
     return rows.withColumn("case", F.regexp_extract(F.col("_metadata.file_path"), _CASE, 1)).withColumn("row_no", F.monotonically_increasing_id())
 
 
-def case_csv(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+def case_csv(spark: SparkSession, root: str, name: str, schema: str, escape: str = "\\") -> DataFrame:
     """``name`` of every ``case_*`` folder, with ``case`` and ``row_no`` (the order within a file). Cases without the file give no rows."""
-    rows = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).csv(f"{root}/case_*/{name}")
+    rows = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).option("escape", escape).csv(f"{root}/case_*/{name}")
     return _with_case(rows)
 
 
