@@ -192,9 +192,12 @@ class TensorReader(DataSourceReader):
         with ThreadPoolExecutor(16) as pool:
             headers = list(pool.map(lambda p: header(files, p), found))
         split = 1 << 60 if self.only_headers else self.split
-        return [x for path, tensors in zip(found, headers) for x in planned(path, [t for t in tensors if self._wanted(t.name)], split)]
+        parts = [x for path, tensors in zip(found, headers) for x in planned(path, [t for t in tensors if self._wanted(t.name)], split)]
+        return parts or [Pieces("", [])]  # Spark wants a partition
 
     def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
+        if not partition.pieces:
+            return
         files, _ = opened(self.path)
         file = partition.file.rsplit("/", 1)[-1]
         if self.only_headers:
@@ -234,6 +237,8 @@ class TensorWriter(DataSourceArrowWriter):
         files, root = opened(self.path)
         if not overwrite and files.get_file_info(root).type == fs.FileType.Directory and any(x.path.endswith((".safetensors", INDEX)) for x in files.get_file_info(fs.FileSelector(root))):
             raise FileExistsError(f"{self.path} holds weights already; write with mode overwrite")
+        # only here: a task that runs on after the job was given up finds no folder to write to
+        files.create_dir(self._temporary(root), recursive=True)
 
     def _temporary(self, root: str) -> str:
         return f"{root}/_temporary-{self.job}"
@@ -241,7 +246,6 @@ class TensorWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files, root = opened(self.path)
         own = f"{self._temporary(root)}/{uuid.uuid4().hex}"
-        files.create_dir(self._temporary(root), recursive=True)
         entries: dict[str, dict] = {}
         at = 0
         with files.open_output_stream(f"{own}.bytes") as out:
@@ -270,7 +274,6 @@ class TensorWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         files, root = opened(self.path)
-        files.create_dir(root, recursive=True)
         made = sorted((m for m in messages if m and m.file), key=lambda m: min(m.names))
         names = [n for m in made for n in m.names]
         if len(set(names)) < len(names):
@@ -283,7 +286,6 @@ class TensorWriter(DataSourceArrowWriter):
             files.move(m.file, f"{root}/{file}")
             places |= dict.fromkeys(m.names, file)
         index = {"metadata": {"total_size": sum(m.size for m in made)}, "weight_map": dict(sorted(places.items()))}
-        files.create_dir(self._temporary(root), recursive=True)
         with files.open_output_stream(f"{self._temporary(root)}/{INDEX}") as f:
             f.write(json.dumps(index, indent=1).encode())
         files.move(f"{self._temporary(root)}/{INDEX}", f"{root}/{INDEX}")  # from here on the new set is the one that readers see
