@@ -43,8 +43,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, column, discard, stored, text_bytes
-from .components import components
-from .words import distinct_each, minima, mix, shingles, words
+from .components import components, with_links
+from .words import WINDOW, distinct_each, long_set, minima, mix, shingles, words
 
 WIDTH, HALVES = 2, 10
 #: Star rounds over rare shingles before the open pairs are listed, and the part of a shingle's nodes that a row meets at once.
@@ -55,8 +55,12 @@ SKETCH = "doc_id long, n_shingles long, set_high long, set_low long, halves arra
 
 
 def sets_of(block: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of the block's texts, and their offsets."""
-    hashes, _, at = words(*text_bytes(column(block, "text")))
+    """Sorted distinct shingle hashes of the block's texts, and their offsets. A long text, which is a block by itself, is read in windows."""
+    data, offsets = text_bytes(column(block, "text"))
+    if block.num_rows == 1 and len(data) > 4 * WINDOW:
+        values = long_set(data, size)
+        return values, np.array([0, len(values)])
+    hashes, _, at = words(data, offsets)
     return distinct_each(*shingles(hashes, at, size))
 
 
@@ -192,7 +196,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, width:
     keyed = stored(tables(classes, halves), keep="tables")
     sizes = classes.select("node", "n", "bits")
 
-    least = keyed.groupBy("key").agg(F.min("node").alias("u"), F.count("*").alias("members")).filter("members > 1")
+    # what a bucket's members are joined with is stored apart from them, so that the join can split a hot bucket
+    least = stored(keyed.groupBy("key").agg(F.min("node").alias("u"), F.count("*").alias("members")).filter("members > 1"), keep="least")
     stars = keyed.join(least.select("key", "u"), "key").filter("u <> node").select("u", F.col("node").alias("v"))
     pairs = stored(_alike_in_size(stars.groupBy("u", "v").agg(F.count("*").alias("tables")), sizes, percent), keep="pairs")
     # later rounds pair classes of buckets of three or more, whatever the first star's sizes were
@@ -204,40 +209,44 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, width:
     found = shingle_sets(source, size).join(active.hint("merge"), ["set_high", "set_low"]).filter("doc_id = doc")
     sets = stored(found.dropDuplicates(["set_high", "set_low"]).select("node", "shingles"), keep="sets")
 
-    best = pairs.groupBy("v").agg(F.max_by("u", F.struct("tables", -F.col("u"))).alias("u"))
-    links = stored(confirmed(best, sets, percent), keep="links")
-    roots = stored(components(links))
+    best = stored(pairs.groupBy("v").agg(F.max_by("u", F.struct("tables", -F.col("u"))).alias("u")), keep="best")
+    roots = stored(components(confirmed(best, sets, percent)), keep="roots")
     rest = _apart(pairs.join(best, ["u", "v"], "left_anti"), roots)
-    links = stored(links.union(confirmed(rest, sets, percent)), keep="links")
-    roots = stored(components(links))
+    roots = _linked(roots, confirmed(rest, sets, percent))
     # what is left: buckets of several components; the smallest class outside the first one's component against the others
-    members = keyed.join(roots.withColumnRenamed("node", "m"), F.col("m") == F.col("node"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    first = members.groupBy("key").agg(F.min_by("root", "node").alias("root1"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key", "root1")
-    others = stored(members.join(first, "key").filter("root <> root1").select("key", "node", "root"))
+    members = stored(_members(keyed, roots), keep="members")
+    first = members.groupBy("key").agg(F.min_by("root", "node").alias("root1"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b")
+    first = stored(first.select("key", "root1"), keep="first")
+    others = stored(members.join(first, "key").filter("root <> root1").select("key", "node", "root"), keep="others")
     second = others.groupBy("key").agg(F.min("node").alias("u"), F.min_by("root", "node").alias("root_u"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b")
+    second = stored(second.select("key", "u", "root_u"), keep="second")
     again = others.join(second, "key").filter("root <> root_u").select("u", F.col("node").alias("v"))
     again = _alike_in_size(again.distinct().join(pairs, ["u", "v"], "left_anti"), sizes, percent).select("u", "v")
-    links = stored(links.union(confirmed(again, sets, percent)), keep="links")
-    roots = stored(components(links))
+    roots = _linked(roots, confirmed(again, sets, percent))
+    discard(members, first, others, second, best)
     # a bucket's smallest class was compared with all of it; buckets whose others are still apart hold untested candidates
-    members = keyed.join(least.filter("members > 2").select("key", "u"), "key").filter("u <> node").join(roots.withColumnRenamed("node", "m"), F.col("m") == F.col("node"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    open_keys = members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
+    members = stored(_members(keyed.join(least.filter("members > 2").select("key", "u"), "key").filter("u <> node").select("key", "node"), roots), keep="members")
+    open_keys = stored(members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key"), keep="open")
     left = stored(members.join(open_keys, "key", "left_semi").select("node").distinct(), keep="left")
-    rare = stored(rarest(sets.join(left.hint("merge"), "node", "left_semi"), percent), keep="rare")
-    for _ in range(STARS):  # these only save comparisons: what they link need not be paired below
-        fresh = stored(confirmed(_stars(_rooted(rare, roots, sizes), percent), sets, percent), keep="fresh")
-        if fresh.isEmpty():
-            break
-        links = stored(links.union(fresh), keep="links")
-        roots = stored(components(links))
-    links = stored(links.union(confirmed(stored(open_pairs(_rooted(rare, roots, sizes), percent)), sets, percent)), keep="links")
+    discard(members, open_keys, keyed, least, pairs)
+    if not left.isEmpty():
+        rare = stored(rarest(sets.join(left.hint("merge"), "node", "left_semi"), percent), keep="rare")
+        for _ in range(STARS):  # these only save comparisons: what they link need not be paired below
+            rows_ = _rooted(rare, roots, sizes)
+            before, roots = roots, _linked(roots, confirmed(_stars(rows_, percent), sets, percent))
+            discard(rows_)
+            if roots is before:
+                break
+        rows_ = _rooted(rare, roots, sizes)
+        roots = _linked(roots, confirmed(stored(open_pairs(rows_, percent), keep="pairs"), sets, percent))
+        discard(rows_, rare)
     # texts of one doc_id are one document
-    several = named.groupBy("doc_id").agg(F.min("set_high").alias("a"), F.max("set_high").alias("b")).filter("a <> b").select("doc_id")
+    several = stored(named.groupBy("doc_id").agg(F.min("set_high").alias("a"), F.max("set_high").alias("b")).filter("a <> b").select("doc_id"), keep="several")
     twins = named.join(several, "doc_id", "left_semi").select("doc_id", "set_high", "set_low").distinct().join(classes.select("node", "set_high", "set_low"), ["set_high", "set_low"]).select("doc_id", "node")
-    head = twins.groupBy("doc_id").agg(F.min("node").alias("u"))
-    roots = stored(components(links.union(twins.join(head, "doc_id").filter("node <> u").select("u", F.col("node").alias("v")))))
-
-    discard(keyed, pairs, sets, others, left, rare)
+    twins = stored(twins, keep="twins")
+    head = stored(twins.groupBy("doc_id").agg(F.min("node").alias("u")), keep="head")
+    roots = _linked(roots, twins.join(head, "doc_id").filter("node <> u").select("u", F.col("node").alias("v")))
+    discard(sets, left, several, twins, head)
 
     rooted = classes.join(roots, "node", "left").select("doc", "set_high", "set_low", F.coalesce("root", "node").alias("root"))
     names = stored(rooted.groupBy("root").agg(F.min("doc").alias("component")), keep="components")
@@ -248,6 +257,19 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, width:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _linked(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The same table if the links connect nothing new."""
+    fresh = stored(links, keep="links")
+    made = with_links(roots, fresh)
+    discard(fresh)
+    return made
+
+
+def _members(keyed: DataFrame, roots: DataFrame) -> DataFrame:
+    """``key``, ``node`` with the node's component."""
+    return keyed.join(roots.withColumnRenamed("node", "m"), F.col("m") == F.col("node"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+
+
 def _alike_in_size(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Only pairs whose set sizes and bitmaps allow the similarity."""
     one, two = (sizes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), *_words(x)) for x in "uv")

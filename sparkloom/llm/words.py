@@ -110,6 +110,25 @@ def shingles(hashes: np.ndarray, at: np.ndarray, size: int = 5) -> tuple[np.ndar
     return mix(total), bounds
 
 
+def long_set(data: np.ndarray, size: int = 5, most: int = 4 * WINDOW) -> np.ndarray:
+    """Sorted distinct shingle hashes of one text, ``most`` bytes at a time (cut between words, so a longer word stays whole)."""
+    found, tail, a = np.zeros(0, np.uint64), np.zeros(0, np.uint64), 0
+    fresh: list[np.ndarray] = []
+    while a < len(data):
+        rest = _BREAK[data[a + most :]] if a + most < len(data) else np.zeros(0, bool)
+        b = a + most + int(rest.argmax()) if rest.any() else len(data)
+        own, _, _ = words(data[a:b], np.array([0, b - a]))
+        run = np.append(tail, own)
+        if len(run) >= size:
+            fresh.append(np.unique(shingles(run, np.array([0, len(run)]), size)[0]))
+        tail, a = run[-(size - 1) :], b
+        if sum(map(len, fresh)) > max(len(found), most):
+            found, fresh = np.unique(np.concatenate([found, *fresh])), []
+    if not len(found) and not fresh:
+        return shingles(tail, np.array([0, len(tail)]), size)[0]
+    return np.unique(np.concatenate([found, *fresh]))
+
+
 def distinct_each(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values of each group, and the groups' new offsets."""
     values = values.copy()
