@@ -14,7 +14,7 @@ reads every whole text and needs no shuffle.
 Defined results: a null or empty text is one empty line and gets the score of
 that. A doc_id that is null is never learnt from. Repeated labels of a doc_id
 count as one by majority (ties: good); labels without quality are ignored. With
-no usable labels every score is 0.5. An empty table gives no rows.
+no usable labels, or labels of one kind only, every score is 0.5. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -259,7 +259,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, *, s
 
     got = texts.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, features binary, sizes binary").toPandas()  # at most sample * sample_lines lines
     got = got.sort_values("doc_id")
-    if got.quality.nunique() < 1:
+    if got.quality.nunique() < 2:
         return None
     parts = [np.frombuffer(f, np.float32).reshape(-1, 3 * N_OWN + 3) for f in got.features]
     features, at, labels = np.concatenate(parts).astype(np.float64), np.append(0, np.cumsum([len(p) for p in parts])), got.quality.to_numpy()

@@ -233,3 +233,16 @@ def test_trie_ends_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(trie, "PIECE", 3)
     rows = [(c, 0, "user", "same") for c in range(0, 400, 20)] + [(c, t, "user", "same") for c in range(400, 800, 20) for t in (0, 1)]
     assert trie_rows(trie.prefix_trie(spoken(spark, rows))) == plain_trie(rows)
+
+
+# mends of earlier operators
+
+
+def test_labels_of_one_kind_say_nothing(spark):
+    from sparkloom.llm import quality
+
+    docs = spark.createDataFrame([(k, f"some text {k}\nof two lines") for k in range(30)], "doc_id long, text string")
+    for kind in (0, 1):
+        labels = spark.createDataFrame([(k, kind) for k in range(30)], "doc_id long, quality int")
+        field = quality.learn(docs, labels)
+        assert field is None and {r.score for r in quality.scores(docs, field).collect()} == {0.5}
