@@ -93,8 +93,10 @@ def drop_recurring(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     joined = keyed.join(per_text, ["t1", "t2"], "left")
     gone = F.coalesce(F.transform(F.filter("found", lambda f: ~((f.first_o == F.col("o")) & (f.first_i == f.i))), lambda f: f.i), F.array().cast("array<int>"))
     lines = F.split("text", "\n")
-    left = F.filter(lines, lambda line, i: ~F.array_contains(gone, i))
-    out = F.when(F.size(gone) > 0, F.array_join(left, "\n")).otherwise(F.col("text"))
+    # what stays is the runs of lines between those that go; both lists are made once, so the work is in proportion to the lines
+    both = F.struct(lines.alias("lines"), F.concat(F.array(F.lit(-1)), F.array_sort(gone), F.array(F.size(lines))).alias("edges"))
+    runs = F.transform(F.array(both), lambda x: F.flatten(F.transform(F.slice(x.edges, 2, F.size(x.edges) - 1), lambda end, j: F.slice(x.lines, F.get(x.edges, j) + 2, end - F.get(x.edges, j) - 1))))
+    out = F.when(F.size(gone) > 0, F.array_join(F.get(runs, F.lit(0)), "\n")).otherwise(F.col("text"))
     fields = [out.alias(c) if c == text else F.col(f"x_{c}").alias(c) for c in names]
     return joined.select(*fields, F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.size(gone).alias("n_dropped"))
 

@@ -246,3 +246,21 @@ def test_labels_of_one_kind_say_nothing(spark):
         labels = spark.createDataFrame([(k, kind) for k in range(30)], "doc_id long, quality int")
         field = quality.learn(docs, labels)
         assert field is None and {r.score for r in quality.scores(docs, field).collect()} == {0.5}
+
+
+def test_lines_of_very_long_texts(spark):
+    from sparkloom.llm import line_dedup
+
+    n = 50_000
+    texts = [(k, "\n".join(f"the common line {'abcdefghij'[i % 10]} is in all of them" if i % 5 == 0 else f"own{k}x{i} {i * 31 + k}" for i in range(n))) for k in range(6)]
+    got = {r.doc_id: r for r in line_dedup.drop_recurring(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for k, t in texts:
+        lines, seen = t.split("\n"), set()
+        kept = []
+        for line in lines:
+            if line.startswith("own"):
+                kept.append(line)
+            elif k == 0 and line not in seen:  # the first document keeps each once
+                kept.append(line)
+                seen.add(line)
+        assert got[k].n_lines == n and got[k].text == "\n".join(kept)
