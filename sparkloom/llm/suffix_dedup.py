@@ -49,6 +49,8 @@ SEGMENT = CUT = 64 << 10
 STEP = 1 << 17
 #: Bytes of parts that a shard should hold; an owner that draws more gets several.
 SHARD_BYTES = 512 << 10
+#: Most 64-bit hashes that different texts may share; 10^12 texts share about 30,000.
+ALIKE = 1 << 20
 #: Names that are searched together at the end.
 NAMES = 100_000
 LAST = (1 << 63) - 1
@@ -274,12 +276,27 @@ def _settle(bucket: tuple, group: pd.DataFrame) -> pd.DataFrame:
     return group.loc[first != np.arange(len(group)), ["t1", "t2", "start", "until"]]
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``key``, one number for each different (t1, t2): t1, and another hash for texts of which several share it."""
+    alike = stored(rows.groupBy("t1").agg(F.min("t2").alias("a"), F.max("t2").alias("b")).filter("a <> b").select("t1"), keep="alike")
+    n = alike.count()
+    if n > ALIKE:
+        raise ValueError(f"{n} hashes are shared by different texts")
+    if not n:
+        discard(alike)
+        return rows.withColumn("key", F.col("t1"))
+    # broadcast: at most ALIKE numbers
+    marked = rows.join(F.broadcast(alike.withColumn("_a", F.lit(True))), "t1", "left")
+    return marked.withColumn("key", F.when(F.col("_a"), F.xxhash64(F.lit(11), "t1", "t2")).otherwise(F.col("t1"))).drop("_a")
+
+
 def _repeats(rows: DataFrame, length: int, gram: int, shard_bytes: int) -> DataFrame:
     """``t1, t2, start, until``: stretches of first copies that repeated strings cover (several may overlap)."""
-    marks, shared = _shared(rows.select("o", F.col("t1").alias("key"), F.col("text").cast("binary").alias("part")), length, gram)
+    rows = _keyed(rows)
+    marks, shared = _shared(rows.select("o", "key", F.col("text").cast("binary").alias("part")), length, gram)
     # copies of a text become one before they are shuffled
-    firsts = rows.groupBy(F.col("t1").alias("key")).agg(F.min(F.struct("o", "t2", "text")).alias("first"))
-    ready = firsts.join(marks, "key").select("first.o", F.col("key").alias("t1"), "first.t2", F.lit(0).cast("long").alias("start"), F.col("first.text").cast("binary").alias("part"), "marks")
+    firsts = rows.groupBy("key").agg(F.min(F.struct("o", "t1", "t2", "text")).alias("first"))
+    ready = firsts.join(marks, "key").select("first.o", "first.t1", "first.t2", F.lit(0).cast("long").alias("start"), F.col("first.text").cast("binary").alias("part"), "marks")
     parts = stored(_parts(ready, length, gram), keep="parts")
     discard(shared)
     judged = _judged(parts, length, shard_bytes)

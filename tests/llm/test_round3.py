@@ -264,3 +264,27 @@ def test_lines_of_very_long_texts(spark):
                 kept.append(line)
                 seen.add(line)
         assert got[k].n_lines == n and got[k].text == "\n".join(kept)
+
+
+def test_texts_that_share_a_hash_are_different_texts(spark, monkeypatch):
+    from sparkloom.llm import suffix_dedup
+
+    r = random.Random(6)
+    common = "".join(r.choice("abcdef ") for _ in range(300))
+    rows = [(k, "".join(r.choice("abcdefgh ") for _ in range(150)) + (common if k % 2 else common[50:220]) + str(k)) for k in range(14)] + [(20, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    own = suffix_dedup._identified
+
+    def colliding(*args, **kwargs):
+        found = own(*args, **kwargs)
+        return found.withColumn("t1", F.when(F.length("text") > 0, F.col("t1") % 3).otherwise(F.col("t1")))
+
+    monkeypatch.setattr(suffix_dedup, "_identified", colliding)
+    got = {x.doc_id: (x.n_removed, bytes(x.kept)) for x in suffix_dedup.remove_repeats(df).collect()}
+    monkeypatch.setattr(suffix_dedup, "_identified", own)
+    plain = {x.doc_id: (x.n_removed, bytes(x.kept)) for x in suffix_dedup.remove_repeats(df).collect()}
+    assert got == plain and sum(x[0] for x in got.values()) > 1000
+    monkeypatch.setattr(suffix_dedup, "ALIKE", 1)
+    monkeypatch.setattr(suffix_dedup, "_identified", colliding)
+    with pytest.raises(ValueError, match="shared"):
+        suffix_dedup.remove_repeats(df)
