@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import arrays as A
+from sparkloom.functions import frames as P
 from sparkloom.operators import curate as C
 from sparkloom.operators import epochs as E
 from sparkloom.operators import matching as G
@@ -269,3 +270,112 @@ def report_file(spark, sf_dir):
     L.write_report(C.histograms(read(spark, sf_dir, "documents"), ["lang", "source"]), path)
     whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<struct<column:string,value:string,n:bigint>>")).alias("r"))
     return whole.select("r.*")
+
+
+# ------------------------------------------------------------------ frames as arrays
+
+SIDE, MODEL, FRAMES = 8, 4, 8
+MEANS, SPREADS = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+_PIXELS = SIDE * SIDE
+# three vectors are the colours of a frame, and FRAMES frames a clip; a vector of another length makes no frame
+PLANE_SQL = f"""pl AS (SELECT vec_id // 3 // {FRAMES} AS clip, vec_id // 3 % {FRAMES} AS place, vec_id % 3 AS c, list_transform(embedding, lambda x: floor(least(greatest(CAST(x AS DOUBLE), 0), 3) * 64)) AS v FROM embeddings WHERE vec_id >= 0 AND len(embedding) = {_PIXELS}),
+fr AS (SELECT clip, place, any_value(v) FILTER (WHERE c = 0) AS r, any_value(v) FILTER (WHERE c = 1) AS g, any_value(v) FILTER (WHERE c = 2) AS b FROM pl GROUP BY ALL HAVING count(DISTINCT c) = 3)"""
+
+
+def frame_rows(spark, sf_dir) -> DataFrame:
+    """``clip``, ``place`` and the ``frame`` of every three vectors."""
+    e = read(spark, sf_dir, "embeddings").filter((F.col("vec_id") >= 0) & (F.size("embedding") == _PIXELS))
+    n = F.floor(F.col("vec_id") / 3)
+    v = F.transform("embedding", lambda x: F.floor(F.least(F.greatest(x.cast("double"), F.lit(0.0)), F.lit(3.0)) * 64).cast("double"))
+    planes = e.select(F.floor(n / FRAMES).alias("clip"), (n % FRAMES).alias("place"), (F.col("vec_id") % 3).alias("c"), v.alias("v"))
+    made = planes.groupBy("clip", "place").agg(*(F.max(F.when(F.col("c") == i, F.col("v"))).alias(p) for i, p in enumerate(P.PLANES)))
+    return made.filter("r is not null and g is not null and b is not null").select("clip", "place", F.struct("r", "g", "b").alias("frame"))
+
+
+def _sampled_sql(plane: str, rows: int, to: int) -> str:
+    """Area resampling of an 8-column plane to ``to`` x ``to`` in SQL: every new value written out."""
+    out = []
+    for down in P.area_weights(rows, to):
+        for across in P.area_weights(SIDE, to):
+            out.append(" + ".join(f"{wa!r}e0 * (" + " + ".join(f"{wd!r}e0 * {plane}[{i * SIDE + j + 1}]" for i, wd in down) + ")" for j, wa in across))
+    return f"[{', '.join(out)}]"
+
+
+_LUMA = "list_transform(range(1, {n}), lambda i: (CAST(floor(mr[i]) AS BIGINT) * 4899 + CAST(floor(mg[i]) AS BIGINT) * 9617 + CAST(floor(mb[i]) AS BIGINT) * 1868 + 8192) >> 14)"
+_BLANK = "list_concat({p}[1:" + str(int(SIDE * P.ACTIVE) * SIDE) + "], list_resize([]::DOUBLE[], " + str(_PIXELS - int(SIDE * P.ACTIVE) * SIDE) + ", 0.0))"
+_SEEN = int(MODEL * P.ACTIVE) * MODEL
+_Q99 = "(g[CAST(floor(0.99e0 * (len(g) - 1)) AS INTEGER) + 1] + (g[least(CAST(floor(0.99e0 * (len(g) - 1)) AS INTEGER) + 2, len(g))] - g[CAST(floor(0.99e0 * (len(g) - 1)) AS INTEGER) + 1]) * (0.99e0 * (len(g) - 1) - floor(0.99e0 * (len(g) - 1))))"
+
+
+@query(f"""WITH {PLANE_SQL}, bl AS (SELECT clip, place, {', '.join(f"{_BLANK.format(p=p)} AS {p}" for p in P.PLANES)} FROM fr),
+mo AS (SELECT clip, place, {', '.join(f"{_sampled_sql(p, SIDE, MODEL)} AS m{p}" for p in P.PLANES)} FROM bl),
+gr AS (SELECT *, list_sort({_LUMA.format(n=_SEEN + 1)}) AS g FROM mo),
+va AS (SELECT *, NOT (list_sum(g) / len(g) <= 3 AND {_Q99} <= 10) AS ok FROM gr),
+ne AS (SELECT a.clip, a.place, a.ok, b.place AS other, row_number() OVER (PARTITION BY a.clip, a.place ORDER BY abs(a.place - b.place), b.place) AS k FROM va a LEFT JOIN va b ON a.clip = b.clip AND b.ok),
+us AS (SELECT ne.clip, ne.place, ne.ok, coalesce(other, ne.place) AS used FROM ne WHERE k = 1)
+SELECT us.clip, CAST(count(*) AS INTEGER) AS n, string_agg(CASE WHEN us.ok THEN '1' ELSE '0' END, '' ORDER BY us.place) AS mask, round(avg(CASE WHEN us.ok THEN 1e0 ELSE 0e0 END), 6) AS valid_fraction,
+ {', '.join(f"round(sum(list_sum(list_transform(m{p}, lambda x: (x / 255e0 - {m}e0) / {s}e0))), 6) AS total_{p}" for p, m, s in zip(P.PLANES, MEANS, SPREADS))} FROM us JOIN va ON va.clip = us.clip AND va.place = us.used GROUP BY us.clip""")
+def clip_source(spark, sf_dir):
+    """Vectors as frames of clips: blanked, brought to the model's size, judged, filled and standardised."""
+    rows = frame_rows(spark, sf_dir).groupBy("clip").agg(F.sort_array(F.collect_list(F.struct("place", F.col("frame").alias("f")))).alias("p"))  # FRAMES frames
+    made = rows.select("clip", P.clip(F.transform("p", lambda x: x.f), (SIDE, SIDE), (MODEL, MODEL), MEANS, SPREADS).alias("c"))
+    mask = F.array_join(F.transform("c.mask", lambda m: F.when(m, "1").otherwise("0")), "")
+    added = lambda p: six(F.aggregate(F.col(f"c.planes.{p}"), F.lit(0.0), lambda a, x: a + x))
+    return made.select("clip", F.size("c.mask").alias("n"), mask.alias("mask"), six(A.valid_fraction(F.col("c.mask"))).alias("valid_fraction"), *(added(p).alias(f"total_{p}") for p in P.PLANES))
+
+
+_RAW_ROWS = int(SIDE * P.ACTIVE / 2) * 2
+
+
+@query(f"""WITH {PLANE_SQL}, gr AS (SELECT clip, place, list_transform(range(1, {_PIXELS + 1}), lambda i: (CAST(r[i] AS BIGINT) * 4899 + CAST(g[i] AS BIGINT) * 9617 + CAST(b[i] AS BIGINT) * 1868 + 8192) >> 14) AS p FROM fr),
+sm AS (SELECT clip, place, list_sort(list_transform({_sampled_sql('p', _RAW_ROWS, 5)}, lambda x: floor(x + 0.5e0))) AS g FROM gr)
+SELECT clip, place, round(list_sum(g) / len(g), 6) AS mean, round(list_stddev_pop(g), 6) AS std, round({_Q99}, 6) AS p99, CAST(g[len(g)] AS DOUBLE) AS max, round(len(list_filter(g, lambda x: x > 3)) / len(g), 6) AS nonzero FROM sm""")
+def raw_frame_metrics(spark, sf_dir):
+    """Grey frames cropped, brought to a size that does not divide theirs, and measured."""
+    gray = frame_rows(spark, sf_dir).select("clip", "place", P.luma(F.col("frame.r"), F.col("frame.g"), F.col("frame.b")).cast("array<double>").alias("gray"))
+    m = gray.select("clip", "place", P.raw_metrics(F.col("gray"), (SIDE, SIDE), (5, 5)).alias("m"))
+    return m.select("clip", "place", *(six(F.col(f"m.{c}")).alias(c) if c != "max" else F.col("m.max").alias("max") for c in ("mean", "std", "p99", "max", "nonzero")))
+
+
+def _fraction_sql(name: str) -> str:
+    return _DRAWN.format(f"'jitter|{name}|' || clip")
+
+
+_BYTE = "floor(least(greatest({}, 0.0), 255.0))"
+_GRAY = "CAST((CAST(x.r AS BIGINT) * 19595 + CAST(x.g AS BIGINT) * 38470 + CAST(x.b AS BIGINT) * 7471 + 32768) >> 16 AS DOUBLE)"
+
+
+def _pixel_sql(value: str) -> str:
+    """A pixel whose colours are ``value`` with {c} for the colour."""
+    return "{" + ", ".join(f"'{c}': {value.replace('{c}', c)}" for c in P.PLANES) + "}"
+
+
+def _step_sql(k: int, source: str) -> str:
+    """The ``k``-th transform of each frame as a query on the one before."""
+    blend = lambda other, f: _pixel_sql(_BYTE.format(f"x.{{c}} * {f} + ({other}) * (1 - {f})"))
+    span = "(CASE WHEN y.h > y.l THEN y.h - y.l ELSE 1.0 END)"
+    sixth = f"(CASE WHEN y.x.r = y.h THEN (y.x.g - y.x.b) / {span} WHEN y.x.g = y.h THEN (y.x.b - y.x.r) / {span} + 2 ELSE (y.x.r - y.x.g) / {span} + 4 END)"
+    mod = lambda a, n: f"(({a}) - floor(({a}) / {n}) * {n})"
+    part = lambda n: mod(f"{n}.0 + {mod(f'{sixth} / 6 + hue', '1.0')} * 6", "6.0")
+    value = lambda n: f"floor(y.h - (y.h - y.l) * greatest(0.0, least({part(n)}, 4 - {part(n)}, 1.0)) + 0.5)"
+    turned = f"list_transform(list_transform(px, lambda x: {{'x': x, 'h': greatest(x.r, x.g, x.b), 'l': least(x.r, x.g, x.b)}}), lambda y: {{'r': {value(5)}, 'g': {value(3)}, 'b': {value(1)}}})"
+    return f"""s{k} AS (SELECT clip, place, brightness, contrast, saturation, hue, ord, roll, CASE ord[{k}]
+ WHEN 'brightness' THEN list_transform(px, lambda x: {blend('0.0', 'brightness')}) WHEN 'contrast' THEN list_transform(px, lambda x: {blend('m', 'contrast')})
+ WHEN 'saturation' THEN list_transform(px, lambda x: {blend(_GRAY, 'saturation')}) ELSE {turned} END AS px FROM (SELECT *, floor(list_sum(list_transform(px, lambda x: {_GRAY})) / len(px) + 0.5) AS m FROM {source}))"""
+
+
+@query(f"""WITH {PLANE_SQL}, cl AS (SELECT DISTINCT clip FROM fr),
+dr AS (SELECT clip, {', '.join(f"{a!r} + {_fraction_sql(n)} * ({b - a!r}) AS {n}" for n, (a, b) in P.JITTER.items())}, list_transform(list_sort([{', '.join(f"{{'f': {_fraction_sql('order ' + n)}, 'n': '{n}'}}" for n in P.JITTER)}]), lambda x: x.n) AS ord, CAST(least(floor({_fraction_sql('roll')} * 3), 2) - 1 AS INTEGER) AS roll FROM cl),
+s0 AS (SELECT fr.clip, place, brightness, contrast, saturation, hue, ord, roll, list_transform(range(1, {_PIXELS + 1}), lambda i: {{'r': r[i], 'g': g[i], 'b': b[i]}}) AS px FROM fr JOIN dr USING (clip)),
+{', '.join(_step_sql(k, f's{k - 1}') for k in (1, 2, 3, 4))},
+nu AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY place) - 1 AS k, count(*) OVER (PARTITION BY clip) AS n FROM s4)
+SELECT clip, CAST((k + roll + n) % n AS INTEGER) AS place, array_to_string(ord, '>') AS steps, roll, round(brightness, 6) AS brightness, CAST(list_sum(list_transform(px, lambda x: x.r)) AS BIGINT) AS r, CAST(list_sum(list_transform(px, lambda x: x.g)) AS BIGINT) AS g, CAST(list_sum(list_transform(px, lambda x: x.b)) AS BIGINT) AS b FROM nu""")
+def clip_jitter(spark, sf_dir):
+    """Every clip under one draw that all its frames share, rolled by at most one frame."""
+    pixels = F.transform(F.arrays_zip("frame.r", "frame.g", "frame.b"), lambda x: x)
+    frames = frame_rows(spark, sf_dir).select("clip", "place", pixels.alias("px")).withColumn("draw", P.jitter_draw(F.col("clip")))
+    done = frames.select("clip", "place", "draw", P.jittered(F.col("px"), F.col("draw")).alias("px"))
+    clips = done.groupBy("clip").agg(F.first("draw").alias("draw"), F.sort_array(F.collect_list(F.struct("place", "px"))).alias("p"))  # FRAMES frames
+    shown = clips.select("clip", "draw", F.posexplode(P.rolled(F.transform("p", lambda x: x.px), F.col("draw.roll"))).alias("place", "px"))
+    added = lambda c: F.aggregate(F.transform("px", lambda x: x[c].cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return shown.select("clip", "place", F.array_join("draw.order", ">").alias("steps"), F.col("draw.roll").alias("roll"), six(F.col("draw.brightness")).alias("brightness"), *(added(c).alias(c) for c in P.PLANES))
