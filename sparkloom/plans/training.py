@@ -6,6 +6,7 @@ what the SQL gives on the tables.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,11 +17,13 @@ from sparkloom.operators import epochs as E
 from sparkloom.operators import matching as G
 from sparkloom.operators import models as O
 from sparkloom.plans import jobs as J
-from sparkloom.plans.queries import QA_KINDS, QA_SQL, qa_rows, query, quoted, read, six
+from sparkloom.plans.queries import QA_KINDS, QA_SQL, SIZE, STEP, TIMELINE, WINDOWS, qa_rows, query, quoted, read, six
+from sparkloom.sources import containers as B
 from sparkloom.sources import frames as R
 from sparkloom.sources import tables as L
 from sparkloom.sources import tensors
 from sparkloom.sources.shared import scratch
+from sparkloom.streaming import parts as W
 
 # ------------------------------------------------------------------ weights
 
@@ -192,15 +195,15 @@ def epoch_export(spark, sf_dir):
     return rows.join(manifest.withColumnRenamed("n", "shard_rows"), ["epoch", "shard"]).select("p_partkey", "epoch", "shard", "row", "answer", "shard_rows")
 
 
-LONGEST, SPREAD, SIZE = 1 << 20, 1.25, 16
+LONGEST, SPREAD, BATCH = 1 << 20, 1.25, 16
 _BOUNDS = ", ".join(map(str, E.length_bounds(LONGEST, SPREAD)))
 
 
 @query(f"""WITH t AS (SELECT conv_id, turn, len(string_split(coalesce(text, ''), ' ')) AS n, list_transform(string_split(coalesce(text, ''), ' '), lambda w: strlen(w)) AS ids FROM conversations),
 c AS (SELECT *, len(list_filter([{_BOUNDS}], lambda b: b <= n)) AS class FROM t),
 o AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY sha256('batch|' || conv_id || '|' || turn)) - 1 AS place FROM c),
-k AS (SELECT class, sum(b) OVER (ORDER BY class) - b AS before FROM (SELECT class, CAST(ceil(count(*) / {SIZE}) AS BIGINT) AS b FROM c GROUP BY class)),
-s AS (SELECT conv_id, turn, n, ids, CAST(before + place // {SIZE} AS BIGINT) AS batch, CAST(place % {SIZE} AS BIGINT) AS slot FROM o JOIN k USING (class)),
+k AS (SELECT class, sum(b) OVER (ORDER BY class) - b AS before FROM (SELECT class, CAST(ceil(count(*) / {BATCH}) AS BIGINT) AS b FROM c GROUP BY class)),
+s AS (SELECT conv_id, turn, n, ids, CAST(before + place // {BATCH} AS BIGINT) AS batch, CAST(place % {BATCH} AS BIGINT) AS slot FROM o JOIN k USING (class)),
 w AS (SELECT *, max(n) OVER (PARTITION BY batch) AS width FROM s)
 SELECT conv_id, turn, batch, slot, CAST(width AS INTEGER) AS width, CAST(width - n AS INTEGER) AS padding, md5(array_to_string(list_concat(ids, list_resize([]::BIGINT[], width - n, -1)), ',')) AS ids_md5, CAST(n AS BIGINT) AS attended, round(sum(width - n) OVER (PARTITION BY batch) / sum(width) OVER (PARTITION BY batch), 6) AS padding_share, sum(width - n) OVER (PARTITION BY batch) / sum(width) OVER (PARTITION BY batch) <= 1 - 1 / {SPREAD} AS within_bound FROM w""")
 def length_batches(spark, sf_dir):
@@ -208,8 +211,8 @@ def length_batches(spark, sf_dir):
     words = F.split(F.coalesce("text", F.lit("")), " ")
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws("|", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"), F.transform(words, lambda w: F.octet_length(w)).alias("ids"))
     rows = rows.withColumns({"n": F.size("ids"), "labels": F.col("ids")})
-    made = E.collated(E.length_batches(rows, "n", "key", SIZE, LONGEST, SPREAD), "ids", "labels", -1)
-    each = Window.partitionBy("batch")  # SIZE rows
+    made = E.collated(E.length_batches(rows, "n", "key", BATCH, LONGEST, SPREAD), "ids", "labels", -1)
+    each = Window.partitionBy("batch")  # BATCH rows
     share = F.sum(F.col("width") - F.col("n")).over(each) / F.sum("width").over(each)
     attended = F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x)
     out = made.select("conv_id", "turn", "batch", "slot", "width", (F.col("width") - F.col("n")).alias("padding"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_md5"), attended.alias("attended"), share.alias("share"))
@@ -228,7 +231,7 @@ def csv_cases(spark, sf_dir):
     files = o.groupBy("o_custkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", line.alias("l")))), lambda x: x.l), "\n").alias("body"))  # of one file
     root = scratch(spark, "cases")
     header = "start_part,start_time,stop_part,stop_time,groundtruth_taskname\n"
-    R.write_texts(files.select(F.concat(F.lit("case_"), F.col("o_custkey").cast("string"), F.lit("/tasks.csv")).alias("path"), F.concat(F.lit(header), "body", F.lit("\n")).alias("text")), root, "path", "text")
+    R.write_files(files.select(F.concat(F.lit("case_"), F.col("o_custkey").cast("string"), F.lit("/tasks.csv")).alias("path"), F.concat(F.lit(header), "body", F.lit("\n")).alias("text")), root, "path", "text")
     # ``escape``: quotes are doubled in these files
     rows = L.case_csv(spark, root, "tasks.csv", L.TASKS, escape='"')
     place = F.row_number().over(Window.partitionBy("case").orderBy("row_no"))
@@ -245,7 +248,7 @@ def json_rows(spark, sf_dir):
     lines = rows.join(raw, "id").select("question_type", item.alias("j"), F.pmod(F.xxhash64("id"), F.lit(8)).alias("part"))
     files = lines.groupBy("question_type", "part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ",\n"), F.lit("]")).alias("text"))
     root = scratch(spark, "qa")
-    R.write_texts(files.withColumn("path", F.concat_ws("-", F.lit("qa"), "question_type", F.concat(F.col("part").cast("string"), F.lit(".json")))), root, "path", "text")
+    R.write_files(files.withColumn("path", F.concat_ws("-", F.lit("qa"), "question_type", F.concat(F.col("part").cast("string"), F.lit(".json")))), root, "path", "text")
     back = L.conform(L.json_rows(spark, root, L.QA, ("id", "video", "question", "answers")))
     return back.select("id", "question_type", F.get("answers", F.lit(0)).alias("first_answer"), "sample_weight")
 
@@ -259,7 +262,7 @@ def sample_files(spark, sf_dir):
     question = p.select(F.concat(case, F.lit("/"), case, F.lit("_question.json")).alias("path"), F.substring(quoted_, F.lit(2), F.length(quoted_) - 2).alias("text"))
     answers = p.filter("p_size > 10").select(F.concat(case, F.lit("/"), case, F.lit(".json")).alias("path"), F.to_json(F.array("p_name", "p_brand")).alias("text"))
     root = scratch(spark, "samples")
-    R.write_texts(question.unionByName(answers), root, "path", "text")
+    R.write_files(question.unionByName(answers), root, "path", "text")
     return L.paired_samples(spark, root).select("case", "question", F.array_join("answers", "|").alias("answers"))
 
 
@@ -379,3 +382,56 @@ def clip_jitter(spark, sf_dir):
     shown = clips.select("clip", "draw", F.posexplode(P.rolled(F.transform("p", lambda x: x.px), F.col("draw.roll"))).alias("place", "px"))
     added = lambda c: F.aggregate(F.transform("px", lambda x: x[c].cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     return shown.select("clip", "place", F.array_join("draw.order", ">").alias("steps"), F.col("draw.roll").alias("roll"), six(F.col("draw.brightness")).alias("brightness"), *(added(c).alias(c) for c in P.PLANES))
+
+
+# ------------------------------------------------------------------ containers
+
+
+@F.pandas_udf("binary")
+def _containers(frames: pd.Series, ticks: pd.Series, form: pd.Series) -> pd.Series:
+    """A file for each row: whole ones with the movie box first or last, and files that are cut off or have no video track."""
+    out = []
+    for n, t, how in zip(frames, ticks, form):
+        whole = B.video_file([(n - n // 3, t), (n // 3, t)], 90_000, b"media" * n, late=how != "first")
+        out.append(whole[: len(whole) - 40] if how == "cut" else whole.replace(b"vide", b"text") if how == "other" else whole)
+    return pd.Series(out)
+
+
+_FORM = "CASE WHEN types < 5 THEN 'cut' WHEN n % 7 = 0 THEN 'other' WHEN n % 2 = 0 THEN 'first' ELSE 'last' END"
+
+
+@query(f"""WITH u AS (SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS types FROM events GROUP BY user_id), f AS (SELECT *, 1500 * (1 + user_id % 4) AS ticks, {_FORM} AS form FROM u)
+SELECT user_id, CASE WHEN form IN ('first', 'last') THEN n END AS total_frames, CASE WHEN form IN ('first', 'last') THEN round(90000 / ticks, 6) END AS fps, CASE WHEN form IN ('first', 'last') THEN round(n * ticks / 90000, 6) ELSE 0.0 END AS duration,
+ CASE form WHEN 'cut' THEN 'the box moov reaches beyond its parent' WHEN 'other' THEN 'no video track' END AS reason FROM f""")
+def video_metadata(spark, sf_dir):
+    """A container file for every user, with as many frames as events; frames, rate and duration read back from the boxes."""
+    u = read(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("types"))
+    made = u.select(F.format_string("case_%d/x_part_001.mp4", "user_id").alias("path"), _containers("n", 1500 * (1 + F.col("user_id") % 4), F.expr(_FORM)).alias("content"))
+    root = scratch(spark, "videos")
+    R.write_files(made, root, "path", "content")
+    parts = L.video_parts(B.video_metadata(spark, root).withColumn("part", F.lit(None).cast("int")))
+    return parts.select(F.regexp_extract("video_path", r"case_(-?\d+)/", 1).cast("long").alias("user_id"), "total_frames", six(F.col("fps")).alias("fps"), six(F.col("duration")).alias("duration"), "reason")
+
+
+# ------------------------------------------------------------------ streaming (an extension)
+
+
+@query(f"WITH {TIMELINE}, {WINDOWS} SELECT user_id, CAST(t_start AS BIGINT) AS t_start, CAST(t_end AS BIGINT) AS t_end FROM w WHERE t_end - t_start = {SIZE}")
+def stream_windows(spark, sf_dir):
+    """The windows of ``window_starts`` that are full, from a stream of the events in several batches."""
+    root = scratch(spark, "stream")
+    e = read(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    us = F.unix_micros("ts")
+    cuts = e.select(us.alias("us")).approxQuantile("us", [0.25, 0.5, 0.75], 0.01)
+    for low, high in zip([None, *cuts], [*cuts, None]):  # one arrival after the other: files come in the order of their time
+        arrived = e.filter((us >= low if low is not None else F.lit(True)) & (us < high if high is not None else F.lit(True)))
+        arrived.write.mode("append").parquet(f"{root}/in")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, W.ROCKS)
+    try:
+        stream = spark.readStream.schema("user_id bigint, ts timestamp").option("maxFilesPerTrigger", 4).parquet(f"{root}/in")
+        W.write_replay_safe(W.full_windows(stream, "user_id", "ts", SIZE, STEP, "1 hour"), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return W.written(spark, f"{root}/out", "key bigint, t_start bigint, t_end bigint").withColumnRenamed("key", "user_id")

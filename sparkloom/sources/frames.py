@@ -120,21 +120,21 @@ def complete(states: DataFrame, frames: int) -> DataFrame:
     return states.groupBy("key").agg(F.count_if(F.col("state") == "ok").alias("n")).filter(F.col("n") == frames).select("key")
 
 
-def write_texts(rows: DataFrame, root: str, path: str, text: str) -> DataFrame:
-    """One file for each row: ``text`` at ``path`` below ``root``; returns ``path, bytes, crc`` of what was written."""
+def write_files(rows: DataFrame, root: str, path: str, content: str) -> DataFrame:
+    """One file for each row: ``content`` (text or bytes; null: empty) at ``path`` below ``root``; returns ``path, bytes, crc`` of what was written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = opened(root)
         for batch in batches:
             out = []
             for name, said in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = (said or "").encode()
+                data = said.encode() if isinstance(said, str) else said or b""
                 files.create_dir(f"{base}/{name}".rsplit("/", 1)[0], recursive=True)
                 write_once(files, f"{base}/{name}", data)
                 out.append((name, len(data), zlib.crc32(data)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "bytes", "crc"])
 
     spark = rows.sparkSession
-    report, schema = scratch(spark, "texts-report"), "path string, bytes bigint, crc bigint"
-    rows.select(F.col(path).cast("string"), F.col(text).cast("string")).mapInArrow(run, schema).write.parquet(report)
+    report, schema = scratch(spark, "files-report"), "path string, bytes bigint, crc bigint"
+    rows.select(F.col(path).cast("string"), F.col(content)).mapInArrow(run, schema).write.parquet(report)
     return spark.read.schema(schema).parquet(report)
