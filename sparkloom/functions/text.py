@@ -92,10 +92,18 @@ def stable_fraction(identifier: Column) -> Column:
 
 
 def plain_number(number: Column) -> Column:
-    """Text of a double; whole numbers from ten millions on are written without an exponent."""
-    size = F.abs(number)
-    whole = (size >= 1e7) & (size < 1e16) & (number == F.floor(number))
-    return F.when(whole, F.concat(number.cast("decimal(17,0)").cast("string"), F.lit(".0"))).otherwise(number.cast("double").cast("string"))
+    """Text of a double as Python writes it: the shortest digits, with an exponent below 1e-4 and from 1e16 on (there the JVM may write a digit more)."""
+    told = F.abs(number.cast("double")).cast("string")
+    digits = F.regexp_replace(F.regexp_extract(told, r"^(\d\.\d+)E", 1), r"\.0$", "")
+    power = F.regexp_extract(told, r"E(-?\d+)$", 1).try_cast("int")
+    run = F.replace(digits, F.lit("."), F.lit(""))
+    n = F.length(run)
+    above = F.when(n <= power + 1, F.concat(F.rpad(run, power + 1, F.lit("0")), F.lit(".0"))).otherwise(F.concat(F.substring(run, F.lit(1), power + 1), F.lit("."), F.substring(run, power + 2, n)))
+    below = F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(-power - 1, F.lit(0))), run)
+    far = F.concat(digits, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.length(F.abs(power).cast("string")), F.lit(2)), F.lit("0")))
+    text = F.when(F.isnan(number.cast("double")), "nan").when(told == "Infinity", "inf").when(power.isNull(), told).when(power.between(0, 15), above).when(power.between(-4, -1), below).otherwise(far)
+    negative = (number < 0) | F.startswith(number.cast("double").cast("string"), F.lit("-"))
+    return F.when(number.isNotNull(), F.concat(F.when(negative & ~F.isnan(number.cast("double")), "-").otherwise(""), text))
 
 
 def segment_key(video: Column, start: Column, end: Column) -> Column:

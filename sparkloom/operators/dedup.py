@@ -2,31 +2,53 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.operators.sampling import draw
+from sparkloom.sources.shared import kept
+
+
+def _place(order: str) -> Column:
+    """A value to take the first row by: a row without an order comes first."""
+    return F.struct(F.col(order))
+
+
+def _named(keys: list[Column | str]) -> list[Column]:
+    return [(F.col(k) if isinstance(k, str) else k).alias(f"_k{i}") for i, k in enumerate(keys)]
 
 
 def first_of(rows: DataFrame, keys: list[Column | str], order: str) -> DataFrame:
-    """The first row of each key by ``order``."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") == 1).drop("_n")
+    """The first row of each key by ``order``, which differs between a key's rows. No key's rows are gathered."""
+    first = rows.groupBy(*_named(keys)).agg(F.min_by(F.struct(*rows.columns), _place(order)).alias("_r"))
+    return first.select("_r.*")
 
 
 def first_signature(rows: DataFrame, keys: list[Column | str], order: str, signature: Column) -> DataFrame:
-    """Every row with ``first_in_key`` and ``conflict``: its signature differs from that of the key's first row."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    marked = rows.withColumn("_s", signature)
-    return marked.withColumn("first_in_key", F.row_number().over(w) == 1).withColumn("conflict", F.col("_s") != F.first("_s").over(w)).drop("_s")
+    """Every row with ``first_in_key`` and ``conflict``: its signature differs from that of the key's first row.
+
+    ``order`` differs between a key's rows. The first rows are aggregated and kept
+    apart, so that the join can split a key with very many rows.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+    marked = rows.withColumn("_s", signature).select("*", *_named(keys))
+    first = kept(marked.groupBy(*names).agg(F.min_by(F.struct(F.col(order).alias("o"), F.col("_s").alias("s")), _place(order)).alias("_f")), "firsts")
+    first = first.select(*(F.col(n).alias(f"{n}_") for n in names), "_f")
+    same = reduce(lambda a, b: a & b, (F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names))
+    met = marked.join(first, same)
+    return met.select(*rows.columns, F.col(order).eqNullSafe(F.col("_f.o")).alias("first_in_key"), (F.col("_s") != F.col("_f.s")).alias("conflict"))
 
 
 def dedup_or_fail(rows: DataFrame, keys: list[Column | str], order: str, signature: Column) -> DataFrame:
-    """The first row of each key; rows of one key whose signatures differ are an error."""
-    marked = first_signature(rows, keys, order, signature)
-    ok = F.when(F.col("conflict"), F.raise_error(F.lit("conflicting supervision for one key"))).otherwise(F.col("first_in_key"))
-    return marked.filter(ok).drop("first_in_key", "conflict")
+    """The first row of each key; rows of one key whose signatures differ from the first one's are an error. Null signatures differ from nothing."""
+    marked = rows.withColumn("_s", signature)
+    first = marked.groupBy(*_named(keys)).agg(F.min_by(F.struct(*marked.columns), _place(order)).alias("_r"), F.min("_s").alias("_a"), F.max("_s").alias("_b"))
+    conflict = F.coalesce((F.col("_a") != F.col("_r._s")) | (F.col("_b") != F.col("_r._s")), F.lit(False))
+    ok = F.when(conflict, F.raise_error(F.lit("conflicting supervision for one key")).cast("boolean")).otherwise(F.lit(True))
+    return first.filter(ok).select("_r.*").select(*rows.columns)
 
 
 def numbered(rows: DataFrame, order: str, name: str, cells: int = 64) -> DataFrame:
@@ -50,8 +72,7 @@ def unique_ids(rows: DataFrame, identifier: str, order: str, start: int = 1000)
     Only the repeated rows are numbered. Ids must not end in numbers from
     ``start`` on themselves.
     """
-    own = Window.partitionBy(identifier).orderBy(order)
-    marked = rows.withColumn("_dup", F.row_number().over(own) > 1)
+    marked = first_signature(rows, [identifier], order, F.lit(0)).withColumn("_dup", ~F.col("first_in_key")).drop("first_in_key", "conflict")
     again = numbered(marked.filter("_dup"), order, "_number")
     base = F.regexp_replace(F.col(identifier), r"_\d+$", "")
     fresh = again.withColumn(identifier, F.concat(base, F.lit("_"), (F.col("_number") + (start - 1)).cast("string")))
@@ -111,7 +132,10 @@ def answer_stats(rows: DataFrame, key: str, is_yes: Column) -> DataFrame:
 
 
 def split_by_rank(rows: DataFrame, key: str, first: int) -> DataFrame:
-    """``train`` for rows of the first ``first`` keys in order, ``val`` for the others."""
-    keys = rows.select(key).distinct()
+    """``train`` for rows of the first ``first`` keys in order, ``val`` for the others; one of them without keys is an error."""
+    keys = kept(rows.select(key).distinct(), "keys")
+    n = keys.count()
+    if not 0 < first < n:
+        raise ValueError(f"the number of training keys must be between 1 and {n - 1}")
     smallest = keys.orderBy(key).limit(first).withColumn("split", F.lit("train"))
     return rows.join(smallest, key, "left").withColumn("split", F.coalesce("split", F.lit("val")))

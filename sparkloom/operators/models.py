@@ -14,7 +14,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import _parse_datatype_string
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -28,24 +28,25 @@ def _loaded(load: Callable[[], Scorer]) -> Scorer:
 def scored(rows: DataFrame, load: Callable[[], Scorer], columns: list[str], added: str, *, group: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
     """``rows`` with the columns ``added`` (a DDL list) that the scorer makes of ``columns``.
 
-    The scorer returns as many rows as it gets, in their order. An empty table
-    loads nothing and gives no rows.
+    The scorer returns as many rows as it gets, in their order. Only ``columns`` go
+    to Python. An empty table loads nothing and gives no rows.
     """
     new = _parse_datatype_string(added)
     clash = set(new.names) & set(rows.columns)
     if clash:
         raise ValueError(f"columns are there already: {', '.join(sorted(clash))}")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                made = _loaded(load)(batch[columns])
-                if len(made) != len(batch):
-                    raise ValueError("the scorer must return one row for each of its rows")
-                yield pd.concat([batch, made[new.names].set_axis(batch.index)], axis=1)
+            frame = pd.concat(batch, axis=1, keys=columns) if isinstance(batch, tuple) else batch.to_frame(columns[0])
+            made = _loaded(load)(frame)
+            if len(made) != len(frame):
+                raise ValueError("the scorer must return one row for each of its rows")
+            yield made[new.names]
 
+    score = F.pandas_udf(run, new).asNondeterministic()  # one call for each row, however its result is used
     dealt = rows.repartition(*group).sortWithinPartitions(*group, *(order or [])) if group else rows
-    return dealt.mapInPandas(run, StructType([*rows.schema.fields, *new.fields]))
+    return dealt.withColumn("_scored", score(*columns)).select(*rows.columns, "_scored.*")
 
 
 def config(given: Column, defaults: dict[str, object]) -> Column:

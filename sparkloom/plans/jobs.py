@@ -17,6 +17,7 @@ from sparkloom.operators import measure as M
 from sparkloom.operators import sampling as S
 from sparkloom.operators import splits as P
 from sparkloom.operators import templates as T
+from sparkloom.sources.shared import kept
 
 
 @dataclass(frozen=True)
@@ -73,8 +74,8 @@ def segments(parts: DataFrame, tasks: DataFrame, tools: DataFrame, config: Windo
 
 
 def _cut(rows: DataFrame) -> DataFrame:
-    """Rows that several later steps read, written once to the checkpoint folder of the session if it has one."""
-    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows
+    """Rows that several later steps read, written once to the shared folder."""
+    return kept(rows, "cut")
 
 
 def presence_targets(tools: Column, commercial: Column) -> dict[str, Column]:
@@ -145,16 +146,16 @@ def curated_once(rows: DataFrame, path: str, vocabulary: dict[str, list[str]]) -
     by the vocabularies. A retried task's rows count once. The folder must be new.
     """
     spark = rows.sparkSession
-    kept = F.col("drop_reason").isNull()
-    figures = {("original_examples", ""): F.count("*"), ("curated", ""): F.count_if(kept), ("sample_weight", ""): F.coalesce(F.sum(F.when(kept, (F.col("sample_weight") * 100).cast("long"))), F.lit(0))}
+    stays = F.col("drop_reason").isNull()
+    figures = {("original_examples", ""): F.count("*"), ("curated", ""): F.count_if(stays), ("sample_weight", ""): F.coalesce(F.sum(F.when(stays, (F.col("sample_weight") * 100).cast("long"))), F.lit(0))}
     for column, values in {"drop_reason": C.DROP_REASONS, **vocabulary}.items():
-        of = ~kept if column == "drop_reason" else kept
+        of = ~stays if column == "drop_reason" else stays
         for v in values:
             figures[column, v] = F.count_if(of & (F.col(column) == v))
         figures[column, "other"] = F.count_if(of & ~F.coalesce(F.col(column).isin(*values), F.lit(False)))
     seen = Observation("curation")
     marked = rows.observe(seen, *(c.alias(f"m{i}") for i, c in enumerate(figures.values())))
-    marked.withColumn("outcome", F.when(kept, "kept").otherwise("dropped")).write.partitionBy("outcome").parquet(path)
+    marked.withColumn("outcome", F.when(stays, "kept").otherwise("dropped")).write.partitionBy("outcome").parquet(path)
     counts = seen.get
     manifest = spark.createDataFrame([(section, name, int(counts[f"m{i}"])) for i, (section, name) in enumerate(figures)], "section string, name string, n bigint")
     back = spark.read.schema(StructType([*rows.schema.fields, StructField("outcome", StringType())])).parquet(path)

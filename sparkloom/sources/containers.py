@@ -8,7 +8,7 @@ Defined results: ``total_frames`` and ``fps`` are those of the first video track
 the rate is frames by the sum of sample times. A file that can't be read (cut off, no
 track, a box that reaches beyond its parent, ...) is a row with a ``reason`` and no
 figures, so that a job can report and skip it. A track without sample times has the
-rate 0, and so the duration 0.
+rate 0, and so the duration 0. A file of no bytes gives no row: Spark's readers skip it.
 """
 
 from __future__ import annotations
