@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import stored
+
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@]+)"
 
 
@@ -52,6 +54,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, *, url: str = "url", fetch
     domains = asked.select("host", "day", F.explode(above).alias("domain"))
     active = domains.join(intervals(entries), "domain").filter("day >= since AND (until IS NULL OR day < until)")
     decided = active.groupBy("host", "day").agg(F.min(F.struct((-F.length("domain")).alias("shorter"), "category", "since", "domain")).alias("best"))
+    decided = stored(decided, keep="decided")  # apart from the rows, so that the join can split a very common host and day
     out = rows.join(decided, ["host", "day"], "left")
     back = [F.col(f"own_{i}").alias(c) for i, c in enumerate(names)]
     return out.select(*back, "host", F.col("best").isNotNull().alias("blocked"), F.col("best.domain").alias("blocked_by"), F.col("best.category").alias("category"), F.col("best.since").alias("listed_since"))
