@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import partitions
+from .common import partitions, stored
 
 K = 20
 #: Vectors of a shard (fewer, if they have more than ``VALUES`` components in all), queries of a block, and queries for which a shard is dealt once.
@@ -192,6 +192,7 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = K, scale: int = 64,
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``; ``is_query`` is a condition on ``vec_id``."""
     # rows alike are one with a count before they are dealt; more than k of them show in no result
     rows = quantised(vectors, vec_id, embedding, scale).groupBy("vec_id", "size", "v", "w").agg(F.count("*").alias("copies"))
+    rows = stored(rows, keep="vectors")  # read for the counts, as candidates and as queries
     asked = rows.filter(is_query)
     counts = rows.agg(F.sum("copies").alias("n"), F.count_if(is_query).alias("q"), F.max("size").alias("size")).first()
     shards = max(1, -(-(counts.n or 0) // max(1, min(shard, VALUES // (counts.size or 1)))))
