@@ -281,3 +281,22 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     one, two = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "uv")
     top: list[Column] = [F.coalesce(f"r{x}", x) for x in "uv"]
     return pairs.join(one, "u", "left").join(two, "v", "left").filter(top[0] != top[1]).select("u", "v")
+
+
+#: The result of ``op8`` in DuckDB's SQL: sets that share a shingle are compared in full, and links are followed from every set.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+s AS (SELECT doc_id, list_sort(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS sh FROM w),
+r AS (SELECT doc_id, len(sh) AS n, md5(array_to_string(sh, chr(10))) AS k, sh FROM s),
+member AS (SELECT DISTINCT doc_id, k FROM r WHERE n > 0 AND doc_id IS NOT NULL),
+cls AS (SELECT k, any_value(n) AS n, any_value(sh) AS sh FROM r WHERE n > 0 AND doc_id IS NOT NULL GROUP BY k),
+g AS (SELECT k, n, unnest(sh) AS g FROM cls),
+link AS (SELECT a.k AS a, b.k AS b FROM g a JOIN g b ON a.g = b.g AND a.k < b.k GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link UNION ALL SELECT x.k, y.k FROM member x JOIN member y ON x.doc_id = y.doc_id AND x.k <> y.k),
+reach AS (SELECT k AS a, k AS b FROM cls UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+comp AS (SELECT reach.a AS k, min(member.doc_id) AS c FROM reach JOIN member ON member.k = reach.b GROUP BY reach.a)
+SELECT r.doc_id, r.n AS n_shingles, CASE WHEN r.n > 0 AND r.doc_id IS NOT NULL THEN comp.c ELSE r.doc_id END AS component_id,
+  (CASE WHEN r.n > 0 AND r.doc_id IS NOT NULL THEN comp.c ELSE r.doc_id END) IS NOT DISTINCT FROM r.doc_id AS kept
+FROM r LEFT JOIN comp USING (k)
+"""

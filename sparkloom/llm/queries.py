@@ -105,6 +105,8 @@ ORACLES: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE,
     "op5_topk": topk.ORACLE,
     "op7_url_filter": url_filter.ORACLE,
+    "op8_minhash": minhash.ORACLE,
+    "op10_suffix_dedup": suffix_dedup.ORACLE,
     "op11_fill_in_middle": fim.ORACLE,
     "op12_substring_dedup": anchors.ORACLE,
     "op13_prefix_trie": trie.ORACLE,

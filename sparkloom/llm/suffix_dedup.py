@@ -352,3 +352,19 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     joined = whole.join(facts, ["t1", "t2"]).select(*(f"x_{c}" for c in carry), "doc_id", "text", F.col("spans.start").alias("begins"), F.col("spans.until").alias("untils"), (F.col("o") > F.col("first")).alias("copy"))
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept " + ("string" if as_text else "binary") + kinds)
+
+
+#: The result of ``op10`` in DuckDB's SQL, on the hexadecimal digits of the bytes.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, coalesce(doc_id, {LAST}) AS o, hex(coalesce(text, '')) AS h FROM documents),
+t AS (SELECT o, md5(h) AS m, any_value(h) AS h FROM d GROUP BY o, md5(h)),
+win AS (SELECT o, m, p, md5(substr(h, CAST(2 * p + 1 AS INTEGER), {2 * LENGTH})) AS k FROM (SELECT o, m, h, unnest(range(0, len(h) // 2 - {LENGTH - 1})) AS p FROM t WHERE len(h) >= {2 * LENGTH})),
+late AS (SELECT o, m, p FROM (SELECT o, m, p, row_number() OVER (PARTITION BY k ORDER BY o, m, p) AS r FROM win) WHERE r > 1),
+step AS (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY o, m ORDER BY p) <= {LENGTH} THEN 0 ELSE 1 END AS new FROM late),
+isle AS (SELECT o, m, min(p) AS a, max(p) + {LENGTH} AS b FROM (SELECT *, sum(new) OVER (PARTITION BY o, m ORDER BY p) AS i FROM step) GROUP BY o, m, i),
+gap AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY o, m ORDER BY a), 0) AS before FROM isle),
+cut AS (SELECT gap.o, gap.m, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, CAST(2 * before + 1 AS INTEGER), CAST(2 * (a - before) AS INTEGER)), '' ORDER BY a) AS head, max(b) AS last FROM gap JOIN t ON t.o = gap.o AND t.m = gap.m GROUP BY gap.o, gap.m)
+SELECT d.doc_id, len(d.h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN cut.m IS NULL THEN d.h ELSE head || substr(d.h, CAST(2 * last + 1 AS INTEGER)) END)) AS kept_sha256
+FROM d LEFT JOIN cut ON cut.o = d.o AND cut.m = md5(d.h)
+"""
