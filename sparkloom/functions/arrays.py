@@ -80,6 +80,34 @@ def masked_labels(prompt: Column, whole: Column, ignore: int = -100) -> Column:
     return F.when(F.slice(whole, F.lit(1), n) == prompt, F.concat(F.array_repeat(F.lit(ignore), n), F.slice(whole, n + 1, F.greatest(F.size(whole) - n, F.lit(0)))))
 
 
+def common_prefix(a: Column, b: Column) -> Column:
+    """How many leading values two arrays share."""
+    apart = F.zip_with(F.slice(a, 1, F.greatest(F.least(F.size(a), F.size(b)), F.lit(0))), b, lambda x, y: x.eqNullSafe(y) & (x.isNotNull() | y.isNotNull()))
+    first = F.array_position(apart, False)
+    return F.when(first > 0, first - 1).otherwise(F.least(F.size(a), F.size(b))).cast("int")
+
+
+def supervised_labels(prompt: Column, whole: Column, most: int, ignore: int = -100) -> Column:
+    """Labels of ``whole`` for training on what follows the prompt.
+
+    Where a tokenizer joins the prompt's end with the answer's start, only the part
+    that both have in common is the prompt. Nothing in common, nothing after it, or
+    more than ``most`` tokens is an error, since nothing is cut off.
+    """
+
+    def of(n: Column) -> Column:
+        told = lambda text: F.raise_error(text).cast("array<int>")
+        labels = F.concat(F.array_repeat(F.lit(ignore), n), F.slice(whole, n + 1, F.greatest(F.size(whole) - n, F.lit(0))))
+        return (
+            F.when(F.size(whole) > most, told(F.concat(F.lit("an example has "), F.size(whole).cast("string"), F.lit(f" tokens, more than {most}"))))
+            .when((n == 0) & (F.size(prompt) > 0), told(F.lit("the prompt is not a prefix of the supervised text")))
+            .when(n >= F.size(whole), told(F.lit("no tokens remain after the prompt")))
+            .otherwise(labels)
+        )
+
+    return let(common_prefix(prompt, whole), of)
+
+
 def padded(values: Column, size: Column, pad: int) -> Column:
     return F.concat(values, F.array_repeat(F.lit(pad), F.greatest(size - F.size(values), F.lit(0))))
 

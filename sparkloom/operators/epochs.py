@@ -85,19 +85,22 @@ def length_bounds(most: int, spread: float) -> list[int]:
     return bounds[:-1]
 
 
-def length_batches(rows: DataFrame, length: str, key: str, size: int, most: int, spread: float = 1.25, seed: str = "batch") -> DataFrame:
+def length_batches(rows: DataFrame, length: str, key: str, size: int, most: int, spread: float = 1.25, seed: str = "batch", group: str | None = None) -> DataFrame:
     """Rows with ``batch`` (gapless from 0), ``slot`` in it, and ``width``, the batch's own greatest length.
 
     A batch holds ``size`` rows of one length class (the last of a class maybe fewer),
     so at most 1 - 1 / spread of it is padding. Within a class rows are in the order
-    of a draw. A null length or one outside 1 to ``most`` is an error, since nothing
+    of a draw. With ``group`` (whole numbers from 0, as epochs are) a batch is of one
+    group, and a group's batches follow those of smaller ones. A null length or one outside 1 to ``most`` is an error, since nothing
     is cut off.
     """
     bounds = length_bounds(most, spread)
     ok = F.col(length).between(1, most)
     told = F.concat(F.lit("a row has "), F.coalesce(F.col(length).cast("string"), F.lit("no")), F.lit(f" tokens, not 1 to {most}"))
     fit = rows.filter(F.when(ok, F.lit(True)).otherwise(F.raise_error(told).cast("boolean")))
-    classes = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(length)))
+    classes = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(length))).cast("long")
+    if group is not None:
+        classes = classes + F.col(group) * (len(bounds) + 1)
     there = placed(fit.withColumns({"_class": classes, "_draw": draw(F.col(key), seed)}), ["_class", "_draw", key], "_place", within="_class")
     counts = there.groupBy("_class").agg(F.ceil(F.count("*") / size).alias("_b"))
     before = counts.select("_class", (F.sum("_b").over(Window.orderBy("_class")) - F.col("_b")).alias("_before"))  # one row a class
@@ -106,6 +109,14 @@ def length_batches(rows: DataFrame, length: str, key: str, size: int, most: int,
     return numbered.withColumn("width", width).select(*rows.columns, "batch", "slot", "width")
 
 
+def shuffled_batches(rows: DataFrame, epoch: str, seed: str = "order") -> DataFrame:
+    """Rows of ``length_batches`` (grouped by ``epoch``) with ``batch`` counted anew in each epoch, in the order of a draw, so that lengths come mixed."""
+    batches = rows.select(epoch, "batch").distinct()
+    drawn = batches.withColumn("_draw", draw(F.concat_ws("|", F.col(epoch).cast("string"), F.col("batch").cast("string")), seed))
+    order = placed(drawn, [epoch, "_draw", "batch"], "_new", within=epoch).select("batch", "_new")
+    return rows.join(order, "batch").withColumn("batch", F.col("_new")).select(*rows.columns)
+
+
 def collated(rows: DataFrame, ids: str, labels: str, pad: int, ignore: int = -100) -> DataFrame:
     """Rows of ``length_batches`` with ``ids``, ``labels`` and ``attention_mask`` at their batch's width."""
     width = F.col("width").cast("int")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from sparkloom import vocab as V
+from sparkloom.functions import arrays as A
 from sparkloom.functions import text as X
 from sparkloom.operators import curate as C
 from sparkloom.operators import dedup as D
+from sparkloom.operators import epochs as E
 from sparkloom.operators import intervals as I
 from sparkloom.operators import measure as M
 from sparkloom.operators import sampling as S
@@ -162,6 +165,34 @@ def curated_once(rows: DataFrame, path: str, vocabulary: dict[str, list[str]]) -
     return Curated(back.filter("outcome = 'kept'").select(*rows.columns), back.select(*rows.columns), manifest)
 
 
+@dataclass(frozen=True)
+class Training:
+    """How examples become batches."""
+
+    epochs: int = 1
+    size: int = 16
+    most: int = 256
+    spread: float = 1.25
+    pad: int = 0
+    seed: str = "train"
+
+
+def training_batches(rows: DataFrame, tokens: Callable[[Column], Column], prompt: Callable[[Column], Column], whole: Callable[[Column, Column], Column], config: Training = Training()) -> DataFrame:
+    """Rows (``id, question, answers, sample_weight``) as collated batches of every epoch.
+
+    An epoch trains each row on one answer, in batches of like length that come in an
+    order of the epoch's own; ``tokens`` turns a text into ids, ``prompt`` and ``whole``
+    are the texts before and with the answer. Columns: ``epoch, batch, slot, width, id,
+    sample_weight, ids, labels, attention_mask``.
+    """
+    every = rows.withColumn("epoch", F.explode(F.array(*(F.lit(e).cast("long") for e in range(config.epochs)))))
+    chosen = every.withColumn("answer", E.epoch_answer(F.col("answers"), F.col("id"), F.col("epoch")))
+    encoded = chosen.select("epoch", "id", "sample_weight", tokens(prompt(F.col("question"))).alias("_p"), tokens(whole(F.col("question"), F.col("answer"))).alias("ids"))
+    labelled = encoded.withColumns({"labels": A.supervised_labels(F.col("_p"), F.col("ids"), config.most), "_n": F.size("ids"), "_key": F.concat_ws("|", F.col("epoch").cast("string"), F.col("id").cast("string"))}).drop("_p")
+    batches = E.length_batches(labelled, "_n", "_key", config.size, config.most, config.spread, config.seed, group="epoch")
+    return E.collated(E.shuffled_batches(batches, "epoch", config.seed), "ids", "labels", config.pad).drop("_n", "_key")
+
+
 def diagnostic(rows: DataFrame, case: Column) -> DataFrame:
     """Curated rows (dropped ones included) once for each diagnostic slice that they are in, with ``slice``.
 

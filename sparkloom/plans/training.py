@@ -219,6 +219,37 @@ def length_batches(spark, sf_dir):
     return out.select("*", six(F.col("share")).alias("padding_share"), (F.col("share") <= 1 - 1 / SPREAD).alias("within_bound")).drop("share")
 
 
+_TRAIN_SQL = f"""q AS (SELECT doc_id, n_chars, coalesce(text, '') AS question, string_split(source || ' ' || lang || ' some words', ' ') AS answers FROM documents),
+p AS (SELECT *, e AS epoch, {_DRAWN.format("'answer|' || e || '|' || doc_id")} AS f FROM q, (VALUES (0), (1)) AS t(e)),
+a AS (SELECT *, CASE WHEN f < 0.55 OR len(answers) = 1 THEN answers[1] ELSE answers[CAST(least(floor((f - 0.55) / 0.45 * (len(answers) - 1)), len(answers) - 2) AS INTEGER) + 2] END AS answer FROM p),
+x AS (SELECT *, list_transform(string_split('user ' || question || ' bot', ' '), lambda w: ascii(w)) AS pr, list_transform(string_split('user ' || question || CASE WHEN n_chars % 3 = 0 THEN ' ' || answer ELSE ' bot ' || answer END || ' end', ' '), lambda w: ascii(w)) AS ids FROM a),
+y AS (SELECT *, len(ids) AS n, len(pr) - CASE WHEN n_chars % 3 = 0 AND ascii(answer) <> ascii('bot') THEN 1 ELSE 0 END AS k FROM x),
+c AS (SELECT *, len(list_filter([{_BOUNDS}], lambda b: b <= n)) + epoch * {len(E.length_bounds(LONGEST, SPREAD)) + 1} AS class FROM y),
+o AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY sha256('train|' || epoch || '|' || doc_id)) - 1 AS place FROM c),
+b AS (SELECT class, sum(m) OVER (ORDER BY class) - m AS before FROM (SELECT class, CAST(ceil(count(*) / 32) AS BIGINT) AS m FROM c GROUP BY class)),
+s AS (SELECT o.*, CAST(before + place // 32 AS BIGINT) AS raw, CAST(place % 32 AS BIGINT) AS slot FROM o JOIN b USING (class)),
+r AS (SELECT epoch, raw, row_number() OVER (PARTITION BY epoch ORDER BY sha256('train|' || epoch || '|' || raw)) - 1 AS batch FROM (SELECT DISTINCT epoch, raw FROM s)),
+w AS (SELECT s.*, r.batch, max(n) OVER (PARTITION BY s.raw) AS width FROM s JOIN r USING (epoch, raw))"""
+
+
+@query(f"""WITH {_TRAIN_SQL} SELECT CAST(epoch AS BIGINT) AS epoch, batch, slot, CAST(width AS INTEGER) AS width, doc_id AS id, CAST(n AS BIGINT) AS attended, CAST(n - k AS INTEGER) AS supervised, md5(array_to_string(list_concat(ids, list_resize([]::INTEGER[], width - n, 0)), ',')) AS ids_md5,
+ md5(array_to_string(list_concat(list_resize([]::INTEGER[], k, -100), ids[k + 1:], list_resize([]::INTEGER[], width - n, -100)), ',')) AS labels_md5 FROM w""")
+def training_batches(spark, sf_dir):
+    """Two epochs of documents as questions, each with one of its answers, as collated batches in an order of the epoch's own.
+
+    Characters stand for tokens' ids; in a third of the rows the answer takes the place of the prompt's last token.
+    """
+    d = read(spark, sf_dir, "documents")
+    rows = d.select(F.col("doc_id").alias("id"), F.struct(F.coalesce("text", F.lit("")).alias("q"), (F.col("n_chars") % 3 == 0).alias("joined")).alias("question"), F.split(F.concat_ws(" ", "source", "lang", F.lit("some words")), " ").alias("answers"), F.lit(1.0).alias("sample_weight"))
+    tokens = lambda t: F.transform(F.split(t, " "), lambda w: F.ascii(w))
+    prompt = lambda q: F.concat(F.lit("user "), q["q"], F.lit(" bot"))
+    whole = lambda q, a: F.concat(F.lit("user "), q["q"], F.when(q["joined"], " ").otherwise(" bot "), a, F.lit(" end"))
+    made = J.training_batches(rows, tokens, prompt, whole, J.Training(epochs=2, size=32, most=LONGEST, spread=SPREAD))
+    listed = lambda c: F.md5(F.array_join(F.col(c).cast("array<string>"), ","))
+    count = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return made.select("epoch", "batch", "slot", "width", "id", count("attention_mask").alias("attended"), F.size(F.filter("labels", lambda x: x != -100)).alias("supervised"), listed("ids").alias("ids_md5"), listed("labels").alias("labels_md5"))
+
+
 # ------------------------------------------------------------------ files of the curation jobs
 
 

@@ -535,3 +535,39 @@ def test_numbers_as_python_writes_them(spark):
     assert [r.t for r in rows if r.t != repr(r.x)] == []
     odd = spark.range(1).select(X.plain_number(F.lit(None).cast("double")).alias("n"), X.plain_number(F.lit(math.nan)).alias("q")).first()
     assert odd.n is None and odd.q == "nan"
+
+
+def test_training_batches(spark):
+    rng = random.Random(6)
+    rows = [(f"q{i}", " ".join("abc"[rng.randint(0, 2)] for _ in range(rng.randint(1, 40))), [f"x{i}", "y", "z"][: rng.randint(1, 3)], 0.5) for i in range(150)]
+    df = spark.createDataFrame(rows, "id string, question string, answers array<string>, sample_weight double")
+    tokens = lambda t: F.transform(F.split(t, " "), lambda w: F.ascii(w))
+    made = lambda most=256: J.training_batches(df, tokens, lambda q: F.concat(q, F.lit(" bot")), lambda q, a: F.concat(q, F.lit(" bot "), a, F.lit(" end")), J.Training(epochs=3, size=8, most=most))
+    got = made().collect()
+    assert sorted((r.epoch, r.id) for r in got) == sorted((e, x[0]) for e in range(3) for x in rows)
+    asked = {x[0]: x for x in rows}
+    for e in range(3):
+        own = {}
+        for r in (r for r in got if r.epoch == e):
+            own.setdefault(r.batch, []).append(r)
+        assert sorted(own) == list(range(len(own)))
+        widths = [own[b][0].width for b in sorted(own)]
+        assert widths != sorted(widths)  # lengths come mixed
+        assert all(len({x.width for x in b}) == 1 and len(b) <= 8 and all(len(x.ids) == len(x.labels) == x.width for x in b) for b in own.values())
+    for r in got:
+        n, (_, question, answers, weight) = sum(r.attention_mask), asked[r.id]
+        prompt = [*map(lambda w: ord(w[0]), question.split(" ")), ord("b")]
+        assert r.ids[: len(prompt)] == prompt and r.labels[: len(prompt)] == [-100] * len(prompt) and r.labels[len(prompt) : n] == r.ids[len(prompt) : n] and set(r.labels[n:]) <= {-100}
+        assert r.ids[len(prompt)] in {ord(a[0]) for a in answers} and r.ids[n - 1] == ord("e") and r.sample_weight == weight
+    with pytest.raises(Exception, match="tokens"):
+        made(20).collect()
+
+
+def test_supervised_labels(spark):
+    arr = lambda *v: F.array(*(F.lit(x) for x in v)) if v else F.array().cast("array<int>")
+    label = lambda p, w, most=9: spark.range(1).select(A.supervised_labels(arr(*p), arr(*w), most).alias("l")).first().l
+    assert label((1, 2), (1, 2, 3)) == [-100, -100, 3] and label((1, 2), (1, 7, 3)) == [-100, 7, 3] and label((), (4,)) == [4]
+    for p, w, why in (((1,), (2, 3), "prefix"), ((1, 2), (1, 2), "no tokens"), ((1, 2, 3), (1, 2), "no tokens"), ((1,), (1,) * 10, "more than 9")):
+        with pytest.raises(Exception, match=why):
+            label(p, w)
+    assert spark.range(1).select(A.common_prefix(arr(1, 2, 3), arr(1, 2)).alias("a"), A.common_prefix(arr(), arr(1)).alias("b"), A.common_prefix(arr(1), arr(2)).alias("c")).first() == (2, 0, 0)
