@@ -102,13 +102,15 @@ def cap_dominant(rows: DataFrame, group: str, answer: str, order: str, identifie
     The rows kept are those of smallest draws. Counts by the first digits of the
     draws tell in which stretch the last one lies; only that stretch is ranked.
     """
-    counts = rows.groupBy(group, answer).agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
+    drawn = rows.withColumn("_d", draw(F.col(identifier), seed)).withColumn("_s", F.conv(F.substring("_d", 1, 4), 16, 10).cast("int"))
+    # one pass over the rows: at most 65,536 stretches for each answer of a group
+    cells = kept(drawn.groupBy(group, answer, "_s").agg(F.count("*").alias("_m"), F.min(order).alias("_first")), "cells")
+    counts = cells.groupBy(group, answer).agg(F.sum("_m").alias("_n"), F.min("_first").alias("_first"))
     top = counts.groupBy(group).agg(F.max_by(answer, F.struct("_n", -F.col("_first"))).alias("_top"), F.max("_n").alias("_dom"), F.sum("_n").alias("_all"))
     keep = F.least(F.greatest(F.floor(F.lit(most) * (F.col("_all") - F.col("_dom")) / (1 - most)), F.lit(0)), F.col("_dom"))
     plan = top.withColumn("_keep", F.when(F.col("_dom") > most * F.col("_all"), keep)).select(group, "_top", "_keep")  # null: within bounds
-    drawn = rows.withColumn("_d", draw(F.col(identifier), seed)).withColumn("_s", F.conv(F.substring("_d", 1, 4), 16, 10).cast("int"))
     drawn = drawn.join(plan, group, "left").withColumn("_capped", F.col("_keep").isNotNull() & F.col(answer).eqNullSafe(F.col("_top")))
-    stretch = drawn.filter("_capped").groupBy(group, "_s", "_keep").agg(F.count("*").alias("_m"))
+    stretch = cells.join(plan, group).filter(F.col("_keep").isNotNull() & F.col(answer).eqNullSafe(F.col("_top"))).select(group, "_s", "_keep", "_m")
     until = stretch.withColumn("_until", F.sum("_m").over(Window.partitionBy(group).orderBy("_s")))  # at most 65,536 a group
     last = until.filter((F.col("_until") - F.col("_m") < F.col("_keep")) & (F.col("_keep") <= F.col("_until"))).select(group, F.col("_s").alias("_last"), (F.col("_keep") - F.col("_until") + F.col("_m")).alias("_left"))
     dealt = drawn.join(last, group, "left")

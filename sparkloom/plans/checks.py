@@ -207,9 +207,13 @@ SELECT role, CAST(grouping(role) AS INTEGER) AS is_total, CAST(count(*) AS BIGIN
 def best_reference_mean(spark, sf_dir):
     """The mean over rows of the best score over references; the score is the share of a reference's words."""
     w = read(spark, sf_dir, "conversations").select("conv_id", "role", F.array_distinct(F.split(F.lower("text"), " ")).alias("own"))
-    refs = w.filter("role = 'assistant'").groupBy("conv_id").agg(F.collect_list("own").alias("refs"))  # of one conversation
-    best = M.best_of(F.col("refs"), lambda x: F.size(F.array_intersect("own", x)) / F.size(x))
-    return M.score_rollup(w.join(refs, "conv_id", "left").withColumn("best", best), "role", ["best"]).select("role", "is_total", "n", six(F.col("best")).alias("best"))
+    # alike rows are scored once; pairs of a turn and a reference go straight into a partial maximum, so no list of references is made
+    turns = w.groupBy("conv_id", "role", "own").agg(F.count("*").cast("int").alias("times"))
+    refs = w.filter("role = 'assistant'").select("conv_id", F.col("own").alias("ref")).distinct()
+    share = F.size(F.array_intersect("own", "ref")) / F.size("ref")
+    best = turns.join(refs, "conv_id", "left").groupBy("conv_id", "role", "own", "times").agg(F.coalesce(F.max(share), F.lit(0.0)).alias("best"))
+    rows = best.select("role", "best", F.explode(F.array_repeat(F.lit(1), F.col("times"))))
+    return M.score_rollup(rows, "role", ["best"]).select("role", "is_total", "n", six(F.col("best")).alias("best"))
 
 
 @query("SELECT event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events) WHERE r <= 300")
