@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from sparkloom.functions import arrays as A
 from sparkloom.functions import frames as P
@@ -418,7 +419,7 @@ def clip_jitter(spark, sf_dir):
 # ------------------------------------------------------------------ containers
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _containers(frames: pd.Series, ticks: pd.Series, form: pd.Series) -> pd.Series:
     """A file for each row: whole ones with the movie box first or last, and files that are cut off or have no video track."""
     out = []

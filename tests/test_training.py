@@ -571,3 +571,12 @@ def test_supervised_labels(spark):
         with pytest.raises(Exception, match=why):
             label(p, w)
     assert spark.range(1).select(A.common_prefix(arr(1, 2, 3), arr(1, 2)).alias("a"), A.common_prefix(arr(), arr(1)).alias("b"), A.common_prefix(arr(1), arr(2)).alias("c")).first() == (2, 0, 0)
+
+
+def test_entry_needs_no_session():
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert not set(o) - set(q); print(len(q))"], cwd=root, capture_output=True, text=True)
+    assert said.returncode == 0 and int(said.stdout) > 90, said.stderr
