@@ -232,9 +232,10 @@ def grid_sweep(spark, sf_dir):
 # ------------------------------------------------------------------ sampling, balance, dedup
 
 
-@query("SELECT user_id, CASE WHEN dense_rank() OVER (ORDER BY user_id) <= 100 THEN 'train' ELSE 'val' END AS split FROM (SELECT DISTINCT user_id FROM events)")
+@query("SELECT user_id, CASE WHEN dense_rank() OVER (ORDER BY user_id) <= least(100, (SELECT count(DISTINCT user_id) FROM events) - 1) THEN 'train' ELSE 'val' END AS split FROM (SELECT DISTINCT user_id FROM events)")
 def case_split(spark, sf_dir):
-    return D.split_by_rank(read(spark, sf_dir, "events").select("user_id").distinct(), "user_id", 100).select("user_id", "split")
+    users = read(spark, sf_dir, "events").select("user_id").distinct()
+    return D.split_by_rank(users, "user_id", min(100, users.count() - 1)).select("user_id", "split")
 
 
 @query("""WITH f AS (SELECT event_id, user_id, event_type <> 'view' AS i FROM events), q AS (SELECT user_id, least(count(*) FILTER (i), 24) AS n FROM f GROUP BY user_id),
