@@ -29,16 +29,21 @@ from sparkloom.streaming import parts as W
 # ------------------------------------------------------------------ weights
 
 #: Vectors of one tensor.
-BLOCK = 32
-BLOCKS_SQL = f"""b AS (SELECT 'encoder.' || lpad(CAST(vec_id // {BLOCK} AS VARCHAR), 9, '0') AS name, flatten(list(embedding ORDER BY vec_id)) AS v, bool_or(label = 1) AS trained FROM embeddings WHERE vec_id >= 0 GROUP BY 1)"""
+BLOCK, LARGE = 32, 256
+
+
+def _blocks_sql(block: int) -> str:
+    return f"""b AS (SELECT 'encoder.' || lpad(CAST(vec_id // {block} AS VARCHAR), 9, '0') AS name, flatten(list(embedding ORDER BY vec_id)) AS v, bool_or(label = 1) AS trained FROM embeddings WHERE vec_id >= 0 GROUP BY 1)"""
+
+
 TOTAL_SQL = "CAST(list_sum(list_transform({}, lambda x: CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT))) AS BIGINT)"
 
 
-def weight_blocks(spark, sf_dir) -> DataFrame:
+def weight_blocks(spark, sf_dir, size: int = BLOCK) -> DataFrame:
     """Runs of vectors as tensors, with ``trained``."""
     e = read(spark, sf_dir, "embeddings").filter("vec_id >= 0")
-    block = F.concat(F.lit("encoder."), F.lpad(F.floor(F.col("vec_id") / BLOCK).cast("string"), 9, "0"))
-    rows = e.groupBy(block.alias("name")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("p"), F.coalesce(F.max(F.col("label") == 1), F.lit(False)).alias("trained"))  # of BLOCK vectors
+    block = F.concat(F.lit("encoder."), F.lpad(F.floor(F.col("vec_id") / size).cast("string"), 9, "0"))
+    rows = e.groupBy(block.alias("name")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("p"), F.coalesce(F.max(F.col("label") == 1), F.lit(False)).alias("trained"))  # of one tensor
     values = F.flatten("p.embedding").cast("array<double>")
     return rows.select("name", F.lit("F32").alias("dtype"), F.array(F.size(values).cast("long")).alias("shape"), values.alias("values"), "trained")
 
@@ -48,19 +53,19 @@ def total(values: Column) -> Column:
     return F.aggregate(F.transform(values, lambda x: F.floor(x * 64)), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-@query(f"WITH {BLOCKS_SQL} SELECT name, 'F32' AS dtype, CAST(len(v) AS BIGINT) AS elements, {TOTAL_SQL.format('v')} AS total, CAST(v[1] AS DOUBLE) AS first_value, CAST(v[len(v)] AS DOUBLE) AS last_value FROM b WHERE len(v) > 0")
+@query(f"WITH {_blocks_sql(LARGE)} SELECT name, 'F32' AS dtype, CAST(len(v) AS BIGINT) AS elements, {TOTAL_SQL.format('v')} AS total, CAST(v[1] AS DOUBLE) AS first_value, CAST(v[len(v)] AS DOUBLE) AS last_value FROM b WHERE len(v) > 0")
 def checkpoint_round_trip(spark, sf_dir):
     """All vectors as weights in several files, read back piece by piece."""
     tensors.register(spark)
     path = scratch(spark, "weights")
-    weight_blocks(spark, sf_dir).repartition("name").write.format("tensors").mode("overwrite").save(path)
-    pieces = spark.read.format("tensors").option("split_bytes", 6000).load(path)
+    weight_blocks(spark, sf_dir, LARGE).repartition("name").write.format("tensors").mode("overwrite").save(path)
+    pieces = spark.read.format("tensors").option("split_bytes", 48_000).load(path)
     n = F.size("values")
     rows = pieces.groupBy("name").agg(F.first("dtype").alias("dtype"), F.sum(n).cast("long").alias("elements"), F.sum(total(F.col("values"))).alias("total"), F.min_by(F.get("values", F.lit(0)), "first").alias("first_value"), F.max_by(F.get("values", n - 1), "first").alias("last_value"))
     return rows.filter("elements > 0")
 
 
-@query(f"""WITH {BLOCKS_SQL}, m AS (SELECT max(name) AS top FROM b)
+@query(f"""WITH {_blocks_sql(BLOCK)}, m AS (SELECT max(name) AS top FROM b)
 SELECT name, CASE WHEN trained THEN 'ok' ELSE 'missing' END AS state, {TOTAL_SQL.format('v')} * CASE WHEN trained THEN 2 ELSE 1 END AS total FROM b UNION ALL SELECT 'head.bias', 'unexpected', NULL""")
 def checkpoint_delta(spark, sf_dir):
     """Weights of which some were trained: only these are exported, checked by their headers, and laid over the base again."""
