@@ -7,7 +7,9 @@ boundary on the pattern goes on alike. The stitched pieces hold whole pre-tokens
 and are encoded in parallel. Where an overlap has no common boundary (one
 pre-token covers it), the right chunk's boundaries are found again from the last
 sure boundary on the left, so the result is always that of the whole text.
-Texts of one chunk take none of these shuffles. Decoding concatenates raw bytes.
+Texts of one chunk take none of these shuffles. Only boundaries within overlaps
+and ids travel beside the text; the bytes are decoded where a text's ids are
+joined. Decoding concatenates raw bytes.
 
 Defined results: a null text encodes as the empty text: no ids, hashes of the
 empty string. Null or repeated doc_ids are encoded row by row; an empty table
@@ -17,7 +19,7 @@ gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -68,6 +70,11 @@ def sure_boundaries(chunk: bytes, last: bool) -> np.ndarray:
     return np.append(found, len(chunk)) if last else found[:-2]
 
 
+def in_overlaps(bounds: np.ndarray, head: int, tail: int) -> np.ndarray:
+    """The boundaries that stitching asks for: in the first ``head`` bytes and from byte ``tail`` on."""
+    return bounds[(bounds <= head) | (bounds >= tail)]
+
+
 def stitch(chunks: list[bytes], bounds: list[np.ndarray], steps: list[int]) -> list[bytes]:
     """Cut the text that overlapping chunks cover into pieces of whole pre-tokens.
 
@@ -110,8 +117,9 @@ def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", doc_id: str
 
     def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            raw = [t.encode() for t in batch.text]
-            batch["bounds"] = [sure_boundaries(t, last).astype(np.int32) for t, last in zip(raw, batch["last"])]
+            batch["bounds"] = [
+                in_overlaps(sure_boundaries(t.encode(), last), len(t[:overlap].encode()), len(t[:chunk].encode())).astype(np.int32) for t, last in zip(batch.text, batch["last"])
+            ]
             yield batch
 
     def joined(group: pd.DataFrame) -> pd.DataFrame:
@@ -124,8 +132,8 @@ def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", doc_id: str
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
         for block in blocks(batches, "text", BLOCK):
-            out = _rows(column(block, "doc_id"), own, *own.encode_texts(*text_bytes(column(block, "text"))))
-            yield pa.RecordBatch.from_arrays([column(block, "row"), column(block, "k"), *out.columns], ["row", "k", *out.schema.names])
+            ids, at = own.encode_texts(*text_bytes(column(block, "text")))
+            yield pa.RecordBatch.from_arrays([*(column(block, k) for k in ("row", "doc_id", "k")), _packed(ids.astype("<u4"), at * 4)], ["row", "doc_id", "k", "ids"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     long = F.coalesce(F.length("text"), F.lit(0)) > chunk + overlap
@@ -138,13 +146,9 @@ def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", doc_id: str
         .repartition("row", "k")
         .mapInPandas(bound, "row long, doc_id long, k int, text string, last boolean, bounds array<int>")
     )
-    pieces = chunks.groupBy("row").applyInPandas(joined, "row long, doc_id long, k int, text string").repartition("row", "k").mapInArrow(part, "row long, k int, " + ENCODED)
-    glued = (
-        pieces.groupBy("row")
-        .agg(F.first("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("k", "ids", "decoded"))).alias("p"))
-        .select("doc_id", "n_tokens", _glue("ids"), _glue("decoded"))
-    )
-    return short.unionByName(digests(glued, vocabulary) if digest else glued)
+    pieces = chunks.groupBy("row").applyInPandas(joined, "row long, doc_id long, k int, text string").repartition("row", "k").mapInArrow(part, "row long, doc_id long, k int, ids binary")
+    glued = pieces.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("p")).select("doc_id", _glue("ids"))
+    return short.unionByName(digests(glued, vocabulary) if digest else decoded(glued, vocabulary))
 
 
 def _glue(name: str):
@@ -152,13 +156,21 @@ def _glue(name: str):
     return F.unhex(F.array_join(F.transform(F.col(f"p.{name}"), F.hex), "")).alias(name)
 
 
-def digests(encoded: DataFrame, vocabulary: str) -> DataFrame:
-    """``doc_id``, ``n_tokens`` and SHA-256 of the comma-joined decimal ids and of the decoded bytes."""
-
+def _of_ids(encoded: DataFrame, vocabulary: str, rows: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
         for block in blocks(batches, "ids", BLOCK):
             raw, at = text_bytes(column(block, "ids"))
-            yield _digest_rows(column(block, "doc_id"), own, np.frombuffer(raw, "<u4").astype(np.int32), at // 4)
+            yield rows(column(block, "doc_id"), own, np.frombuffer(raw, "<u4").astype(np.int32), at // 4)
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, schema)
+
+
+def digests(encoded: DataFrame, vocabulary: str) -> DataFrame:
+    """``doc_id``, ``n_tokens`` and SHA-256 of the comma-joined decimal ids and of the decoded bytes."""
+    return _of_ids(encoded, vocabulary, _digest_rows, DIGESTS)
+
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, DIGESTS)
+def decoded(encoded: DataFrame, vocabulary: str) -> DataFrame:
+    """``doc_id``, ``n_tokens``, ``ids`` and the bytes that the ids stand for."""
+    return _of_ids(encoded, vocabulary, _rows, ENCODED)
