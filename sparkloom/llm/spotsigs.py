@@ -9,7 +9,9 @@ non-ASCII bytes, compared in lower case.
 Defined results: a text with words but no signature takes, in place of them, the
 pairs of neighbouring words (or its only word). A text without words, or null,
 has the empty fingerprint; two empty ones are alike (1.0), an empty and another
-one are not (0.0).
+one are not (0.0). A text of more than a window of characters is read in windows
+that end between words; what a chain still lacks is carried on, so its
+fingerprint is that of the whole text.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks, column, partitions, stored, text_bytes
 from .minhash import BITS, bitmaps, open_pairs, rarest
-from .words import U, distinct_each, mix, words
+from .words import WINDOW, U, distinct_each, mix, windows, words
 
 #: Common words of English, German, French and Spanish (fixed values).
 ANCHORS = (
@@ -44,11 +46,8 @@ def _anchor_hashes() -> np.ndarray:
     return np.unique(words(data, np.array([0, len(data)]), breaks=BREAKS)[0])
 
 
-def signatures(data: np.ndarray, offsets: np.ndarray, chain: int = CHAIN) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct 32-bit signatures of texts laid end to end, and their offsets."""
-    hashes, _, at = words(data, offsets, breaks=BREAKS)
-    text_of = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    is_anchor = np.isin(hashes, _anchor_hashes())
+def _chains(hashes: np.ndarray, is_anchor: np.ndarray, text_of: np.ndarray, chain: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values and texts of all anchors that ``chain`` content words of the same text follow."""
     content = np.flatnonzero(~is_anchor)
     anchors = np.flatnonzero(is_anchor)
     follow = np.searchsorted(content, anchors)[:, None] + np.arange(chain)
@@ -59,20 +58,74 @@ def signatures(data: np.ndarray, offsets: np.ndarray, chain: int = CHAIN) -> tup
     value = hashes[anchors]
     for k in range(chain):
         value = mix(value * U(0xD6E8FEB86659FD93) + hashes[follow[:, k]])
-    owner = text_of[anchors]
+    return value, text_of[anchors]
+
+
+def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(first * U(0x9FB21C651E98DF25) + second)
+
+
+def signatures(data: np.ndarray, offsets: np.ndarray, chain: int = CHAIN) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 32-bit signatures of texts laid end to end, and their offsets."""
+    hashes, _, at = words(data, offsets, breaks=BREAKS)
+    text_of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    value, owner = _chains(hashes, np.isin(hashes, _anchor_hashes()), text_of, chain)
     bare = np.flatnonzero((np.bincount(owner, minlength=len(at) - 1) == 0) & (np.diff(at) > 0))
     if len(bare):
         counts = np.diff(at)[bare]
         first = np.concatenate([np.arange(a, b) for a, b in zip(at[bare], at[bare] + np.maximum(counts - 1, 1))])
         padded = np.append(hashes, U(0))
         second = np.where(np.append(text_of, -1)[first + 1] == text_of[first], padded[first + 1], U(0))
-        value = np.append(value, mix(hashes[first] * U(0x9FB21C651E98DF25) + second))
+        value = np.append(value, _pair(hashes[first], second))
         owner = np.append(owner, text_of[first])
         order = np.argsort(owner, kind="stable")
         value, owner = value[order], owner[order]
     return distinct_each(value >> U(32), np.searchsorted(owner, np.arange(len(at))))
 
 
+def _open(run: np.ndarray, is_anchor: np.ndarray, chain: int) -> np.ndarray:
+    """The words that anchors still short of a chain need: those anchors, once for each place among the content words after them, and these."""
+    content = np.flatnonzero(~is_anchor)
+    start = content[-chain] + 1 if len(content) >= chain else 0
+    tail, parts, a = run[start:], [], 0
+    for c in [*np.flatnonzero(~is_anchor[start:]).tolist(), len(tail)]:
+        parts += [np.unique(tail[a:c]), tail[c : c + 1]]
+        a = c + 1
+    return np.concatenate(parts)
+
+
+def long_signatures(data: np.ndarray, chain: int = CHAIN, most: int = WINDOW) -> np.ndarray:
+    """``signatures`` of one text, ``most`` bytes at a time."""
+    known = _anchor_hashes()
+    none = np.zeros(0, U)
+    found, fresh, carry, last, number = none, [], none, none, 0
+    pairs = none  # of neighbouring words, while there is no signature
+    for a, b in windows(data, BREAKS, most):
+        own, _, _ = words(data[a:b], np.array([0, b - a]), breaks=BREAKS)
+        run = np.append(carry, own)
+        is_anchor = np.isin(run, known)
+        value, _ = _chains(run, is_anchor, np.zeros(len(run), int), chain)
+        fresh.append(np.unique(value >> U(32)))
+        if sum(map(len, fresh)) > max(len(found), most):
+            found, fresh = np.unique(np.concatenate([found, *fresh])), []
+        carry = _open(run, is_anchor, chain)
+        if not len(found) and not any(map(len, fresh)):
+            line = np.append(last, own)
+            pairs = np.union1d(pairs, _pair(line[:-1], line[1:]) >> U(32))
+        number, last = number + len(own), own[-1:] if len(own) else last
+    found = np.unique(np.concatenate([found, *fresh]))
+    if len(found) or not number:
+        return found
+    return pairs if number > 1 else _pair(last, U(0)) >> U(32)
+
+
+def sets_of(texts: list[str], chain: int = CHAIN, most: int = WINDOW) -> list[np.ndarray]:
+    """The signatures of each text; a text of more than ``most`` characters is read in windows."""
+    short = [t if len(t) <= most else "" for t in texts]
+    values, at = signatures(*text_bytes(pa.array(short, pa.large_string())), chain)
+    return [values[a:b] if len(t) <= most else long_signatures(np.frombuffer(t.encode(), np.uint8), chain, most) for t, a, b in zip(texts, at[:-1], at[1:])]
+
+
 def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     """Jaccard similarity of two sorted sets; 0.0 without a comparison where their sizes rule ``least`` out."""
     small, large = sorted((len(a), len(b)))
@@ -93,7 +146,12 @@ def fingerprints(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
-            values, at = signatures(*text_bytes(column(block, "text")), chain)
+            data, offsets = text_bytes(column(block, "text"))
+            if block.num_rows == 1 and len(data) > WINDOW:
+                values = long_signatures(data, chain)
+                at = np.array([0, len(values)])
+            else:
+                values, at = signatures(data, offsets, chain)
             prints = [_hex(values[a:b]) for a, b in zip(at[:-1], at[1:])]
             bits = pa.FixedSizeListArray.from_arrays(pa.array(bitmaps(values, at).ravel()), BITS // 64).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([column(block, "doc_id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.astype(np.int64))), bits, pa.array(prints, pa.string())], ["doc_id", "signatures", "bits", "fingerprint"])
@@ -162,8 +220,7 @@ def against_edited(docs: DataFrame, *, chain: int = CHAIN) -> DataFrame:
     def compared(keys: list, texts: list[str], nexts: list[str]) -> pa.RecordBatch:
         edited = [t[: len(t) - len(t) // 3] + x[: len(t) // 3] for t, x in zip(texts, nexts)]
         m = len(texts)
-        values, at = signatures(*text_bytes(pa.array([*texts, nexts[-1], *edited], pa.large_string())), chain)
-        sets = [values[a:b] for a, b in zip(at[:-1], at[1:])]
+        sets = sets_of([*texts, nexts[-1], *edited], chain)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(keys, pa.int64()),

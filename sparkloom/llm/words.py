@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -58,6 +59,22 @@ def run_hashes(data: np.ndarray, length: int, values: np.ndarray = _VALUE) -> np
     return out
 
 
+def windows(data: np.ndarray, breaks: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of stretches of at least ``most`` bytes (the last may be shorter) that end between words."""
+    a = 0
+    while a < len(data):
+        b = a + most
+        while b < len(data):
+            rest = breaks[data[b : b + most]]
+            if rest.any():
+                b += int(rest.argmax())
+                break
+            b += most
+        b = min(b, len(data))
+        yield a, b
+        a = b
+
+
 def _word_hashes(data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Hash of each word; windows end between words, and a word longer than one is hashed by its parts."""
     out = np.empty(len(begin), np.uint64)
