@@ -15,6 +15,9 @@ Defined results: a null or empty text is one empty line and gets the score of
 that. A doc_id that is null is never learnt from. Repeated labels of a doc_id
 count as one by majority (ties: good); labels without quality are ignored. With
 no usable labels, or labels of one kind only, every score is 0.5. An empty table gives no rows.
+A text of more than a window of bytes is described in windows that end between
+words (a line may go on over many), and its lines are weighed some thousands at a
+time: what is held grows with its lines and with the distinct words of a line.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, column, text_bytes
-from .words import words
+from .words import _BREAK, WINDOW, windows, words
 
 #: Bounds of the sample that the field is fitted on.
 SAMPLE, SAMPLE_LINES = 3_000, 80
@@ -99,16 +102,76 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     own[:, k + 6] = size == 0
     own[:, k + 7] = np.minimum(count, 40) / 40
     own[:, k + 8] = np.log1p(number[text]) / 8
-    neighbours = np.zeros((len(begin), 2 * N_OWN + 2), np.float32)
     has_before, has_after = np.ones(len(begin), bool), np.ones(len(begin), bool)
     has_before[at[:-1]] = False
     has_after[at[1:] - 1] = False
+    return _with_neighbours(own, has_before, has_after), at, size
+
+
+def _with_neighbours(own: np.ndarray, has_before: np.ndarray, has_after: np.ndarray) -> np.ndarray:
+    neighbours = np.zeros((len(own), 2 * N_OWN + 2), np.float32)
     neighbours[1:, :N_OWN] = own[:-1]
     neighbours[:-1, N_OWN : 2 * N_OWN] = own[1:]
     neighbours[~has_before, :N_OWN] = 0
     neighbours[~has_after, N_OWN : 2 * N_OWN] = 0
     neighbours[:, -2], neighbours[:, -1] = ~has_before, ~has_after
-    return np.hstack([own, neighbours, np.ones((len(begin), 1), np.float32)]), at, size
+    return np.hstack([own, neighbours, np.ones((len(own), 1), np.float32)])
+
+
+def long_lines(data: np.ndarray, most: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """The own features and the lengths of all lines of one text, ``most`` bytes at a time."""
+    begin = np.concatenate([[0], *(np.flatnonzero(data[a : a + most] == 10) + a + 1 for a in range(0, len(data), most))]).astype(np.int64)
+    end = np.append(begin[1:], len(data))
+    size = end - begin
+    n, k = len(begin), len(_CLASSES)
+    kinds = np.zeros((n, k), np.int64)
+    count, same, common, distinct = (np.zeros(n, np.int64) for _ in range(4))
+    line_hash = np.zeros(n, np.uint64)
+    some = np.frombuffer(FREQUENT.encode(), np.uint8)
+    frequent = words(some, np.array([0, len(some)]))[0]
+    last, last_line, seen = np.uint64(0), -1, np.zeros(0, np.uint64)  # the word before, its line, the line's distinct words so far
+    for a, b in windows(data, _BREAK, most):
+        lines = slice(int(np.searchsorted(begin, a, "right")) - 1, int(np.searchsorted(begin, b - 1, "right")))
+        lo = lines.start
+        for c in range(k):
+            sums = np.append(0, np.cumsum(_TABLE[data[a:b], c], dtype=np.int64))
+            kinds[lines, c] += sums[np.clip(end[lines] - a, 0, b - a)] - sums[np.clip(begin[lines] - a, 0, b - a)]
+        hashes, start, _ = words(data[a:b], np.array([0, b - a]), lower=False)
+        if not len(hashes):
+            continue
+        lowered, _, _ = words(data[a:b], np.array([0, b - a]))
+        in_line = np.searchsorted(begin, start + a, "right") - 1
+        tally = lambda mask: np.bincount(in_line[mask] - lo, minlength=lines.stop - lo)
+        place = np.arange(len(hashes)) - np.searchsorted(in_line, in_line) + count[in_line] + 1
+        np.add.at(line_hash, in_line, hashes * place.astype(np.uint64))
+        count[lines] += tally(slice(None))
+        same[lines] += tally((hashes == np.append(last, hashes[:-1])) & (in_line == np.append(last_line, in_line[:-1])))
+        common[lines] += tally(np.isin(lowered, frequent))
+        order = np.lexsort((hashes, in_line))
+        h, line = hashes[order], in_line[order]
+        new = np.append(True, (h[1:] != h[:-1]) | (line[1:] != line[:-1]))
+        h, line = h[new], line[new]
+        distinct[lines] += np.bincount(line - lo, minlength=lines.stop - lo)
+        if line[0] == last_line:
+            seen = np.union1d(seen, h[line == last_line])
+            distinct[last_line] = len(seen)
+        if line[-1] != last_line:
+            seen = h[line == line[-1]]
+        last, last_line = hashes[-1], int(in_line[-1])
+    own = np.zeros((n, N_OWN), np.float32)
+    words_of = np.maximum(count, 1)
+    own[:, :k] = kinds / np.maximum(size, 1)[:, None]
+    own[:, k] = np.log1p(size) / 8
+    own[:, k + 1] = np.minimum(size / words_of / 10, 3)
+    own[:, k + 2] = same / words_of
+    own[:, k + 3] = common / words_of
+    order = np.argsort(line_hash, kind="stable")
+    own[order[1:], k + 4] = (line_hash[order][1:] == line_hash[order][:-1]) & (size[order[1:]] > 8)
+    own[:, k + 5] = distinct / words_of
+    own[:, k + 6] = size == 0
+    own[:, k + 7] = np.minimum(count, 40) / 40
+    own[:, k + 8] = np.log1p(n) / 8
+    return own, size
 
 
 @dataclass
@@ -122,14 +185,34 @@ class Field:
 
     def quality(self, features: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Log odds of the documents' mean marginals, weighted by line length."""
-        good, _, _ = self.marginals(features, at)
+        return self.odds(features @ self.weights, at, size)
+
+    def odds(self, score: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The same from the lines' scores."""
+        good, _, _ = self.chain(score, at)
         weight = np.append(0, np.cumsum(size + 1.0))
         total = np.append(0, np.cumsum(good * (size + 1.0)))
         mean = np.clip((total[at[1:]] - total[at[:-1]]) / (weight[at[1:]] - weight[at[:-1]]), 1e-9, 1 - 1e-9)
         return np.log(mean / (1 - mean))
 
     def scores(self, features: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.quality(features, at, size) + self.shift, -700, 700)))
+        return self.curve(self.quality(features, at, size))
+
+    def curve(self, quality: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * quality + self.shift, -700, 700)))
+
+    def long_score(self, data: np.ndarray, most: int = WINDOW, lines: int = 4_096) -> np.ndarray:
+        """The score of one text, ``most`` bytes and ``lines`` lines at a time."""
+        own, size = long_lines(data, most)
+        n = len(own)
+        score = np.empty(n)
+        for a in range(0, n, lines):
+            first, stop = max(a - 1, 0), min(a + lines + 1, n)
+            at = np.arange(first, stop)
+            features = _with_neighbours(own[first:stop], at > 0, at < n - 1)
+            score[a : a + lines] = features[a - first : a - first + lines] @ self.weights
+        del own
+        return self.curve(self.odds(score, np.array([0, n]), size))
 
     def calibrate(self, quality: np.ndarray, labels: np.ndarray, penalty: float = 1e-3, rounds: int = 50) -> None:
         """Fit the curve's slope and shift by Newton's method with an L2 penalty on the slope."""
@@ -147,7 +230,11 @@ class Field:
 
     def marginals(self, features: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """P(good) of every line, summed P(label, next label), and the summed log partition."""
-        score = np.clip(features @ self.weights, -30, 30).astype(np.float64)
+        return self.chain(features @ self.weights, at)
+
+    def chain(self, score: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """The same from the lines' scores."""
+        score = np.clip(score, -30, 30).astype(np.float64)
         number = np.diff(at)
         order = np.argsort(-number, kind="stable")
         start, number = at[:-1][order], number[order]
@@ -252,7 +339,13 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, *, s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
-            features, at, size = line_features(*text_bytes(column(block, "text")))
+            data, offsets = text_bytes(column(block, "text"))
+            if block.num_rows == 1 and len(data) > WINDOW:
+                own, size = long_lines(data)
+                at = np.array([0, len(own)])
+                features = _with_neighbours(own, np.arange(at[1]) > 0, np.arange(at[1]) < at[1] - 1)
+            else:
+                features, at, size = line_features(data, offsets)
             rows = [features[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
             sizes = [size[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([column(block, "doc_id"), column(block, "quality"), pa.array(rows, pa.binary()), pa.array(sizes, pa.binary())], ["doc_id", "quality", "features", "sizes"])
@@ -279,7 +372,9 @@ def scores(docs: DataFrame, field: Field | None) -> DataFrame:
             if field is None:
                 score = np.full(block.num_rows, 0.5)
             else:
-                score = field.scores(*line_features(*text_bytes(column(block, "text"))))
+                data, offsets = text_bytes(column(block, "text"))
+                long = block.num_rows == 1 and len(data) > WINDOW
+                score = field.long_score(data) if long else field.scores(*line_features(data, offsets))
             yield pa.RecordBatch.from_arrays([*block.columns, pa.array(np.clip(score, 0, 1))], [*names, "score"])
 
     if "score" in names:
