@@ -33,6 +33,15 @@ def kept(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def dealt(rows: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` in as many partitions as the session shuffles into, by ``columns`` or else evenly.
+
+    For few bytes that make much work (a file for each row, many rows from each): by their size
+    Spark would put them into a few tasks.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a URI (or local path), and the path in it; usable in tasks."""
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
