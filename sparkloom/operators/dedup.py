@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.operators.sampling import draw
-from sparkloom.sources.shared import kept
+from sparkloom.sources.shared import dealt, kept
 
 
 def _place(order: str) -> Column:
@@ -57,13 +57,8 @@ def numbered(rows: DataFrame, order: str, name: str, cells: int = 64) -> DataFra
     Rows are cut into ``cells`` ranges at quantiles and ranked within each; what
     lies before a range is a sum over that many counts.
     """
-    cuts = sorted(set(rows.approxQuantile(order, [k / cells for k in range(1, cells)], 0.25 / cells)))
-    cell = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
-    dealt = rows.withColumn("_c", cell)
-    counts = dealt.groupBy("_c").agg(F.count("*").alias("_m"))
-    before = counts.select("_c", (F.sum("_m").over(Window.orderBy("_c")) - F.col("_m")).alias("_before"))  # one row a cell
-    ranked = dealt.withColumn("_r", F.row_number().over(Window.partitionBy("_c").orderBy(order)))
-    return ranked.join(F.broadcast(before), "_c").withColumn(name, F.col("_before") + F.col("_r")).drop("_c", "_before", "_r")
+    there = placed(rows, [within, order] if within else [order], name, within, cells)
+    return there.withColumn(name, F.col(name) + 1)
 
 
 def unique_ids(rows: DataFrame, identifier: str, order: str, start: int = 1000) -> DataFrame:
@@ -88,9 +83,14 @@ def answer_needs(rows: DataFrame, key: str, is_yes: Column, *, target: float = 0
     return counts.withColumn("need", F.greatest(need, F.lit(0)).cast("long")).withColumn("wanted", F.when(ratio > target + tolerance, "no").when(ratio < target - tolerance, "yes"))
 
 
-def top_up(needs: DataFrame, pool: DataFrame, key: str, is_yes: str, identifier: str, seed: str, cap: int = 600) -> DataFrame:
-    """Rows of the pool, drawn for each key that needs rows (at most ``cap``) of the other answer."""
-    fit = pool.join(needs.filter("need > 0").select(key, "need", "wanted"), key).filter(F.when(F.col(is_yes), "yes").otherwise("no") == F.col("wanted"))
+def top_up(needs: DataFrame, pool: DataFrame, key: str, is_yes: str, identifier: str, seed: str, cap: int = 600, few_keys: bool = False) -> DataFrame:
+    """Rows of the pool, drawn for each key that needs rows (at most ``cap``) of the other answer.
+
+    ``few_keys``: keys are a fixed vocabulary, so the needs go to every task and the pool,
+    whose size Spark can't tell behind an explode, to none.
+    """
+    wanting = needs.filter("need > 0").select(key, "need", "wanted")
+    fit = pool.join(F.broadcast(wanting) if few_keys else wanting, key).filter(F.when(F.col(is_yes), "yes").otherwise("no") == F.col("wanted"))
     w = Window.partitionBy(key).orderBy(draw(F.col(identifier), seed), identifier)
     ranked = fit.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= cap)  # a literal bound limits each task's groups
     return ranked.filter(F.col("_r") <= F.col("need")).drop("_r", "need", "wanted")
@@ -123,7 +123,7 @@ def cap_dominant(rows: DataFrame, group: str, answer: str, order: str, identifie
 def presence_pool(segments: DataFrame, key: str, targets: dict[str, Column]) -> DataFrame:
     """Every segment once for every key, with ``present``: the pool from which balances are topped up. The keys are a fixed vocabulary."""
     each = [F.struct(F.lit(k).alias(key), F.coalesce(c, F.lit(False)).alias("present")) for k, c in targets.items()]
-    return segments.withColumn("_k", F.explode(F.array(*each))).select(*segments.columns, "_k.*")
+    return dealt(segments).withColumn("_k", F.explode(F.array(*each))).select(*segments.columns, "_k.*")
 
 
 def answer_stats(rows: DataFrame, key: str, is_yes: Column) -> DataFrame:

@@ -95,7 +95,7 @@ def balance_all_keys(spark, sf_dir):
     made = presence_answers(spark, sf_dir)
     needs = D.answer_needs(made, "tool", F.col("yes"))
     pool = D.presence_pool(segments(spark, sf_dir), "tool", J.presence_targets(F.col("tools"), F.col("commercial_tools")))
-    return D.top_up(needs, pool, "tool", "present", "p_partkey", "b").select("p_partkey", "tool", "present")
+    return D.top_up(needs, pool, "tool", "present", "p_partkey", "b", few_keys=True).select("p_partkey", "tool", "present")
 
 
 @query(f"WITH {_ASKED} SELECT tool, CAST(count(*) FILTER (yes) AS BIGINT) AS yes, CAST(count(*) FILTER (NOT yes) AS BIGINT) AS no, CAST(count(*) AS BIGINT) AS total, round(count(*) FILTER (yes) / count(*), 6) AS share, CAST(row_number() OVER (ORDER BY count(*) DESC, tool) AS INTEGER) AS place FROM a GROUP BY tool")

@@ -92,7 +92,7 @@ def balanced_presence(made: DataFrame, pool: DataFrame, config: Questions) -> Da
     asked = made.filter("tool IS NOT NULL").withColumn("_yes", F.get("answers", F.lit(0)) == "Yes")
     needs = D.answer_needs(asked, "tool", F.col("_yes"), target=config.target, tolerance=config.tolerance, cap=config.cap)
     fit = D.presence_pool(pool, "tool", presence_targets(F.col("tools"), F.col("commercial_tools")))
-    drawn = D.top_up(needs, fit, "tool", "present", "key", config.seed, config.cap)
+    drawn = D.top_up(needs, fit, "tool", "present", "key", config.seed, config.cap, few_keys=True)
     each = F.concat_ws("|", F.lit("balance"), "key", "tool")
     qa = T.tool_presence(F.col("tools"), F.col("commercial_tools"), F.col("tool"), each)
     named = F.concat_ws("_", "key", F.lit("tp_bal"), (100 + F.pmod(F.xxhash64(each), F.lit(900))).cast("string"))
