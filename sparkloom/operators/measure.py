@@ -6,15 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sparkloom.functions.arrays import bleu4, let
 from sparkloom.functions.text import forceps_named, normalize, polarity
 
 
-def frame_stats(pixels: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Mean, population deviation, 99th percentile, maximum and share above 3."""
+def frame_stats(pixels: DataFrame, keys: list[str], value: str, order: str | None = None) -> DataFrame:
+    """Mean, population deviation, 99th percentile, maximum and share above 3.
+
+    With ``order`` (never null, different within a key) the mean's sum is taken in that
+    order, so its last digit, which a threshold may hang on, doesn't change with the partitions.
+    """
     x = F.col(value)
-    return pixels.groupBy(*keys).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.percentile(x, 0.99).alias("p99"), F.max(x).alias("max"), F.avg((x > 3).cast("double")).alias("nonzero"))
+    mean = F.avg(x)
+    if order is not None:
+        before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)  # a running sum: no rows are gathered
+        pixels = pixels.withColumn("_sum", F.sum(x).over(before))
+        mean = F.try_divide(F.max_by("_sum", order), F.count(x))
+    return pixels.groupBy(*keys).agg(mean.alias("mean"), F.stddev_pop(x).alias("std"), F.percentile(x, 0.99).alias("p99"), F.max(x).alias("max"), F.avg((x > 3).cast("double")).alias("nonzero"))
 
 
 def darkness(frames: Column) -> dict[str, Column]:
