@@ -7,18 +7,24 @@ counts as there are ranges, and no task sorts everything.
 
 from __future__ import annotations
 
-from itertools import pairwise
+from collections.abc import Iterator
+from itertools import groupby, pairwise
 
+import pyarrow as pa
+from pyarrow import parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from sparkloom.functions import arrays as A
 from sparkloom.operators.sampling import draw, weighted_choice
-from sparkloom.sources.shared import scratch
+from sparkloom.sources.frames import read_files, write_once
+from sparkloom.sources.shared import dealt, opened, scratch
 
 
-def placed(rows: DataFrame, order: list[str], name: str = "place", within: str | None = None) -> DataFrame:
+def placed(rows: DataFrame, order: list[str], name: str = "place", within: str | None = None, ranges: int | None = None) -> DataFrame:
     """Rows with their gapless place from 0 in ``order``, or, with ``within`` (first of the order), in each of its values.
 
     The sorted ranges are written once, since a range's rows must be those that were
@@ -28,7 +34,7 @@ def placed(rows: DataFrame, order: list[str], name: str = "place", within: str |
         raise ValueError("the order begins with the column that places are counted within")
     spark = rows.sparkSession
     group = [within] if within else []
-    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_i", F.monotonically_increasing_id())
+    sorted_ = rows.repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order).withColumn("_i", F.monotonically_increasing_id())
     path = scratch(spark, "placed")
     sorted_.write.parquet(path)
     kept = spark.read.schema(sorted_.schema).parquet(path)
@@ -60,13 +66,63 @@ def epoch_answer(answers: Column, key: Column, epoch: Column, weight: float = 0.
 
 
 def write_shards(rows: DataFrame, path: str) -> DataFrame:
-    """Rows of ``in_epochs`` as one Parquet file for each shard, in order; returns the manifest ``epoch, shard, n``.
+    """Rows of ``in_epochs`` as one Parquet file for each shard, in order; returns the manifest ``epoch, shard, n`` of what tasks wrote.
 
-    A shard has a bounded number of rows, so a task writes whole shards.
+    A shard has a bounded number of rows, so a task writes whole shards, each moved to
+    its final name once it is whole: the driver neither moves nor lists files.
     """
-    rows.repartition("epoch", "shard").sortWithinPartitions("epoch", "shard", "row").write.partitionBy("epoch", "shard").parquet(path)
-    written = rows.sparkSession.read.parquet(path)
-    return written.groupBy(F.col("epoch").cast("long").alias("epoch"), F.col("shard").cast("long").alias("shard")).agg(F.count("*").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = opened(path)
+        for (epoch, shard), own in groupby(_pieces(batches), lambda p: p[0]):
+            table = pa.Table.from_batches([b for _, b in own]).drop_columns(["epoch", "shard"])
+            data = pa.BufferOutputStream()
+            pq.write_table(table, data)
+            folder, name = f"{base}/{_shard_file(epoch, shard)}".rsplit("/", 1)
+            files.create_dir(folder, recursive=True)
+            write_once(files, f"{folder}/{name}", data.getvalue())
+            yield pa.RecordBatch.from_pydict({"epoch": [epoch], "shard": [shard], "n": [table.num_rows]})
+
+    spark = rows.sparkSession
+    report, schema = scratch(spark, "manifest"), "epoch bigint, shard bigint, n bigint"
+    sorted_ = dealt(rows.withColumns({c: F.col(c).cast("long") for c in ("epoch", "shard")}), "epoch", "shard").sortWithinPartitions("epoch", "shard", "row")
+    sorted_.mapInArrow(run, schema).write.parquet(report)
+    return spark.read.schema(schema).parquet(report)
+
+
+def _shard_file(epoch: int, shard: int) -> str:
+    return f"epoch={epoch}/shard={shard}/part-0.parquet"
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], pa.RecordBatch]]:
+    """Sorted batches cut where the shard changes."""
+    for batch in batches:
+        keys = list(zip(batch.column("epoch").to_pylist(), batch.column("shard").to_pylist()))
+        start = 0
+        for key, same in groupby(keys):
+            n = sum(1 for _ in same)
+            yield key, batch.slice(start, n)
+            start += n
+
+
+def read_shards(manifest: DataFrame, path: str, schema: str, epoch: int = 0, shard: int = 0, row: int = 0) -> DataFrame:
+    """Rows (``schema``) of the manifest's shards from a position on, with ``epoch``, ``shard`` and ``n``. Tasks open the files by name; earlier ones are not opened."""
+    columns = StructType.fromDDL(schema)
+    wanted = to_arrow_schema(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for held in batch.to_pylist():
+                table = pq.read_table(pa.BufferReader(held["content"]), columns=wanted.names).cast(wanted)
+                for c in ("epoch", "shard", "n"):
+                    table = table.append_column(c, pa.array([held[c]] * table.num_rows, pa.int64()))
+                yield from table.combine_chunks().to_batches()
+
+    ahead = manifest.filter((F.col("epoch") > epoch) | ((F.col("epoch") == epoch) & (F.col("shard") >= shard)))
+    name = F.concat(F.lit("epoch="), "epoch", F.lit("/shard="), "shard", F.lit("/part-0.parquet"))
+    found = read_files(ahead.select("epoch", "shard", "n", name.alias("path")), path, "path")
+    out = StructType([*columns.fields, *StructType.fromDDL("epoch bigint, shard bigint, n bigint").fields])
+    return resumed(found.mapInArrow(run, out), epoch, shard, row)
 
 
 def resumed(path_rows: DataFrame, epoch: int, shard: int, row: int) -> DataFrame:
