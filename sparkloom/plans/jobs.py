@@ -185,12 +185,16 @@ def training_batches(rows: DataFrame, tokens: Callable[[Column], Column], prompt
     are the texts before and with the answer. Columns: ``epoch, batch, slot, width, id,
     sample_weight, ids, labels, attention_mask``.
     """
-    every = rows.withColumn("epoch", F.explode(F.array(*(F.lit(e).cast("long") for e in range(config.epochs)))))
+    stored = kept(rows.withColumn("_row", F.monotonically_increasing_id()), "examples")  # written, as ids may repeat and row numbers must hold
+    every = stored.withColumn("epoch", F.explode(F.array(*(F.lit(e).cast("long") for e in range(config.epochs)))))
     chosen = every.withColumn("answer", E.epoch_answer(F.col("answers"), F.col("id"), F.col("epoch")))
-    encoded = chosen.select("epoch", "id", "sample_weight", tokens(prompt(F.col("question"))).alias("_p"), tokens(whole(F.col("question"), F.col("answer"))).alias("ids"))
-    labelled = encoded.withColumns({"labels": A.supervised_labels(F.col("_p"), F.col("ids"), config.most), "_n": F.size("ids"), "_key": F.concat_ws("|", F.col("epoch").cast("string"), F.col("id").cast("string"))}).drop("_p")
-    batches = E.length_batches(labelled, "_n", "_key", config.size, config.most, config.spread, config.seed, group="epoch")
-    return E.collated(E.shuffled_batches(batches, "epoch", config.seed), "ids", "labels", config.pad).drop("_n", "_key")
+    long = chosen.select("epoch", "_row", "answer", F.size(tokens(whole(F.col("question"), F.col("answer")))).alias("_n"), F.concat_ws("|", F.col("epoch").cast("string"), F.col("id").cast("string")).alias("_key"))
+    # lengths alone are sorted and dealt; texts meet their places in one join
+    batches = E.length_batches(kept(long, "lengths"), "_n", "_key", config.size, config.most, config.spread, config.seed, group="epoch")
+    met = E.shuffled_batches(batches, "epoch", config.seed).join(stored.select("_row", "id", "question", "sample_weight"), "_row")
+    encoded = met.select("epoch", "id", "sample_weight", tokens(prompt(F.col("question"))).alias("_p"), tokens(whole(F.col("question"), F.col("answer"))).alias("ids"), "batch", "slot", "width")
+    labelled = encoded.withColumn("labels", A.supervised_labels(F.col("_p"), F.col("ids"), config.most))
+    return E.collated(labelled.select("epoch", "id", "sample_weight", "ids", "labels", "batch", "slot", "width"), "ids", "labels", config.pad)
 
 
 def diagnostic(rows: DataFrame, case: Column) -> DataFrame:
