@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.operators.epochs import placed
 from sparkloom.operators.sampling import draw
 from sparkloom.sources.shared import dealt, kept
 
@@ -51,11 +52,11 @@ def dedup_or_fail(rows: DataFrame, keys: list[Column | str], order: str, signatu
     return first.filter(ok).select("_r.*").select(*rows.columns)
 
 
-def numbered(rows: DataFrame, order: str, name: str, cells: int = 64) -> DataFrame:
-    """Rows with a gapless number from 1 in the order of the numeric column ``order``, whose values should differ.
+def numbered(rows: DataFrame, order: str, name: str, cells: int | None = None, within: str | None = None) -> DataFrame:
+    """Rows with a gapless number from 1 in the order of the column ``order``, whose values should differ; with ``within`` in each of its values.
 
-    Rows are cut into ``cells`` ranges at quantiles and ranked within each; what
-    lies before a range is a sum over that many counts.
+    Rows are sorted in ranges (``cells`` of them, or as many as the session shuffles
+    into) and written once; what lies before a range is a sum over that many counts.
     """
     there = placed(rows, [within, order] if within else [order], name, within, cells)
     return there.withColumn(name, F.col(name) + 1)

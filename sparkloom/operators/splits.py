@@ -50,10 +50,10 @@ def id_counts(rows: DataFrame, identifier: str) -> DataFrame:
 def concatenated(parts: list[DataFrame], place: str) -> DataFrame:
     """The parts one after the other: ``place`` (from 1 in each part) goes on from the end of the part before."""
     out, before = None, 0
-    for part in parts:
+    for k, part in enumerate(parts):
         moved = part.withColumn(place, F.col(place) + before)
         out = moved if out is None else out.unionByName(moved)
-        before += part.count()
+        before += part.count() if k + 1 < len(parts) else 0
     return out
 
 

@@ -57,10 +57,11 @@ SELECT CAST(place AS BIGINT) AS place, n.id AS expected, w.id AS found FROM n JO
 def ordered_concat(spark, sf_dir):
     """Splits one after the other against a table in which some rows have moved."""
     r = split_rows(spark, sf_dir)
-    parts = [D.numbered(r.filter(F.col("split") == s), "o_orderkey", "place") for s in P.CASES]
+    there = D.numbered(r.select("split", "id", "o_orderkey"), "o_orderkey", "place", within="split")
+    parts = [there.filter(F.col("split") == s) for s in P.CASES]
     moved = F.when(F.col("kind") == "2-HIGH", F.col("o_orderkey") + 40).otherwise(F.col("o_orderkey"))
-    late = r.withColumn("_k", moved * 4_000_000_000 + F.col("o_orderkey"))
-    whole = P.concatenated([D.numbered(late.filter(F.col("split") == s), "_k", "place") for s in P.CASES], "place")
+    late = D.numbered(r.select("split", "id", (moved * 4_000_000_000 + F.col("o_orderkey")).alias("_k")), "_k", "place", within="split")
+    whole = P.concatenated([late.filter(F.col("split") == s) for s in P.CASES], "place")
     return P.misplaced(P.concatenated(parts, "place"), whole, "place", "id")
 
 
