@@ -86,14 +86,19 @@ def violations(rows: DataFrame, rules: dict[str, Column], stops: tuple[str, ...]
     return judged.withColumn("rule", F.explode("_broken")).drop("_broken")
 
 
-def answer_rules(order: str = "ord") -> dict[str, Column]:
-    """Rules on one question/answer row joined with its segment (``tools``, ``commercial_tools``, ``found``)."""
-    answers = F.transform("answers", normalize)
-    question = normalize(F.col("question"))
+def normalized(rows: DataFrame) -> DataFrame:
+    """Rows with ``_answers`` and ``_question`` in normal form, which most of ``answer_rules`` read."""
+    return rows.withColumns({"_answers": F.transform("answers", normalize), "_question": normalize(F.col("question"))})
+
+
+def answer_rules(order: str = "ord", ready: bool = False) -> dict[str, Column]:
+    """Rules on one question/answer row joined with its segment (``tools``, ``commercial_tools``, ``found``); ``ready``: the rows are ``normalized``, so texts are brought into normal form once."""
+    answers = F.col("_answers") if ready else F.transform("answers", normalize)
+    question = F.col("_question") if ready else normalize(F.col("question"))
     text = F.concat_ws(" ", "question", F.array_join("answers", " "))
     kind = F.col("question_type")
     key = Window.partitionBy(*KEY, question).orderBy(order)
-    signature = F.array_sort(answers)
+    signature = F.sort_array(answers)  # in any one order
     truth = (
         F.when(F.col("tool") == "forceps", F.arrays_overlap("tools", F.array(*map(F.lit, V.FORCEPS))))
         .when(F.col("tool").isin(*(v for vs in V.VARIANTS.values() for v in vs)), F.array_contains("commercial_tools", F.col("tool")))

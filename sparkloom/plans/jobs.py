@@ -244,8 +244,8 @@ def validated(rows: DataFrame, whole: DataFrame, segments: DataFrame) -> tuple[D
     """
     case = X.case_number(F.col("id"), F.col("video"))
     met = P.with_segment(rows, segments, ["tools", "commercial_tools"], "row_no")
-    rules = {"case_range": P.outside_cases(F.col("split"), case)} | C.answer_rules("place")
-    broken = C.violations(met, rules, C.STOPS).select("rule", F.concat_ws(" ", "split", "id").alias("detail"))
+    rules = {"case_range": P.outside_cases(F.col("split"), case)} | C.answer_rules("place", ready=True)
+    broken = C.violations(C.normalized(met), rules, C.STOPS).select("rule", F.concat_ws(" ", "split", "id").alias("detail"))
     shared = P.shared_ids(rows, "split", "id").select(F.lit("shared_ids").alias("rule"), F.concat_ws(" ", "left", "right", F.col("ids").cast("string")).alias("detail"))
     parts = [rows.filter(F.col("split") == s) for s in P.CASES]
     moved = P.misplaced(P.concatenated(parts, "place"), whole, "place", "id").select(F.lit("not_concatenated").alias("rule"), F.concat_ws(" ", F.col("place").cast("string"), "expected", "found").alias("detail"))
