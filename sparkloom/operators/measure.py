@@ -12,14 +12,26 @@ from sparkloom.functions.arrays import bleu4, let
 from sparkloom.functions.text import forceps_named, normalize, polarity
 
 
-def frame_stats(pixels: DataFrame, keys: list[str], value: str, order: str | None = None) -> DataFrame:
+#: Values are cut into multiples of this and a remainder for an exact sum.
+GRAIN = 2.0**-20
+
+
+def exact_mean(x: Column) -> Column:
+    """The mean by the exact sum, whatever the order of rows: multiples of ``GRAIN`` add without error while their sums stay below 2 ** 33, and the remainders are too small to err in the result."""
+    whole = F.rint(x / GRAIN) * GRAIN
+    rest = F.when(F.abs(x) < 2.0**32, x - whole).when(x.isNotNull(), 0.0)  # larger values have none
+    return F.try_divide(F.sum(F.when(F.abs(x) < 2.0**32, whole).otherwise(x)) + F.sum(rest), F.count(x))
+
+
+def frame_stats(pixels: DataFrame, keys: list[str], value: str, order: str | None = None, exact: bool = False) -> DataFrame:
     """Mean, population deviation, 99th percentile, maximum and share above 3.
 
-    With ``order`` (never null, different within a key) the mean's sum is taken in that
-    order, so its last digit, which a threshold may hang on, doesn't change with the partitions.
+    A threshold may hang on the mean's last digit, which changes with the order of the sum.
+    With ``exact`` it is that of the exact sum; with ``order`` (never null, different within
+    a key) the sum is taken in that order.
     """
     x = F.col(value)
-    mean = F.avg(x)
+    mean = exact_mean(x.cast("double")) if exact else F.avg(x)
     if order is not None:
         before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)  # a running sum: no rows are gathered
         pixels = pixels.withColumn("_sum", F.sum(x).over(before))
@@ -28,14 +40,16 @@ def frame_stats(pixels: DataFrame, keys: list[str], value: str, order: str | Non
 
 
 def darkness(frames: Column) -> dict[str, Column]:
-    """Counts and flags over an array of frame statistics."""
+    """Counts and flags over an array of frame statistics. A frame without values counts for nothing; the flags are null without any other."""
     tests = {
         "exact_black": lambda f: f["max"] <= 1,
         "near_black": lambda f: (f["mean"] <= 3) & (f["p99"] <= 10),
         "severely_dark": lambda f: (f["mean"] <= 8) & (f["p99"] <= 25),
     }
     counts = {f"n_{n}": F.size(F.filter(frames, t)) for n, t in tests.items()}
-    return counts | {f"all_{n}": F.forall(frames, t) for n, t in tests.items()} | {f"any_{n}": F.exists(frames, t) for n, t in tests.items()}
+    told = {n: F.filter(F.transform(frames, t), lambda b: b.isNotNull()) for n, t in tests.items()}
+    some = lambda b, f: F.when(F.size(b) > 0, f(b, lambda x: x))
+    return counts | {f"all_{n}": some(b, F.forall) for n, b in told.items()} | {f"any_{n}": some(b, F.exists) for n, b in told.items()}
 
 
 def flag_summary(rows: DataFrame, flags: list[str], weight: str, case: str) -> DataFrame:

@@ -496,7 +496,7 @@ def frame_stats(spark, sf_dir):
 @query("""WITH s AS (SELECT user_id, event_type, avg(value) AS mean, quantile_cont(value, 0.99) AS p99, max(value) AS mx FROM events GROUP BY ALL), f AS (SELECT *, mx <= 100 AS eb, mean <= 30 AND p99 <= 10000 AS nb FROM s)
 SELECT user_id, CAST(count(*) FILTER (nb) AS INTEGER) AS n_low, bool_and(nb) AS all_low, bool_or(nb) AS any_low, CAST(count(*) FILTER (eb) AS INTEGER) AS n_small FROM (SELECT user_id, mean / 10 <= 3 AND p99 / 1000 <= 10 AS nb, mx / 100 <= 1 AS eb FROM s) GROUP BY user_id""")
 def darkness_flags(spark, sf_dir):
-    s = M.frame_stats(read(spark, sf_dir, "events"), ["user_id", "event_type"], "value", order="event_id")
+    s = M.frame_stats(read(spark, sf_dir, "events"), ["user_id", "event_type"], "value", exact=True)
     frames = s.groupBy("user_id").agg(F.collect_list(F.struct((F.col("mean") / 10).alias("mean"), (F.col("p99") / 1000).alias("p99"), (F.col("max") / 100).alias("max"))).alias("frames"))  # one frame a type
     flags = M.darkness(F.col("frames"))
     return frames.select("user_id", flags["n_near_black"].alias("n_low"), flags["all_near_black"].alias("all_low"), flags["any_near_black"].alias("any_low"), flags["n_exact_black"].alias("n_small"))
