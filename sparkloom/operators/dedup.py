@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -75,28 +76,48 @@ def unique_ids(rows: DataFrame, identifier: str, order: str, start: int = 1000)
     return marked.filter("NOT _dup").select(*rows.columns).unionByName(fresh.select(*rows.columns))
 
 
-def answer_needs(rows: DataFrame, key: str, is_yes: Column, *, target: float = 0.5, tolerance: float = 0.1, cap: int = 600) -> DataFrame:
-    """For each key: counts of yes and no, and how many rows of which answer would bring it to the target."""
+def answer_needs(rows: DataFrame, key: str, is_yes: Column, *, target: float = 0.5, tolerance: float = 0.1, cap: int | None = 600) -> DataFrame:
+    """For each key: counts of yes and no, and how many rows (at most ``cap``, if there is one) of which answer would bring it to the target."""
     counts = rows.groupBy(key).agg(F.count_if(is_yes).alias("yes"), F.count_if(~is_yes).alias("no"))
     total, ratio = F.col("yes") + F.col("no"), F.col("yes") / (F.col("yes") + F.col("no"))
-    missing = lambda side, share: F.least(F.floor(F.col(side) / share) - total, F.lit(cap))
+    whole = lambda side, share: F.floor(F.col(side) / share) - total
+    missing = whole if cap is None else lambda side, share: F.least(whole(side, share), F.lit(cap))
     need = F.when(ratio > target + tolerance, missing("yes", target)).when(ratio < target - tolerance, missing("no", 1 - target)).otherwise(0)
     return counts.withColumn("need", F.greatest(need, F.lit(0)).cast("long")).withColumn("wanted", F.when(ratio > target + tolerance, "no").when(ratio < target - tolerance, "yes"))
 
 
-def top_up(needs: DataFrame, pool: DataFrame, key: str, is_yes: str, identifier: str, seed: str, cap: int = 600, few_keys: bool = False) -> DataFrame:
-    """Rows of the pool, drawn for each key that needs rows (at most ``cap``) of the other answer.
+def top_up(needs: DataFrame, pool: DataFrame, key: str, is_yes: str, identifier: str, seed: str, cap: int | None = 600, few_keys: bool = False) -> DataFrame:
+    """Rows of the pool, drawn for each key that needs rows (at most ``cap``, if there is one) of the other answer.
 
     ``few_keys``: keys are a fixed vocabulary, so the needs go to every task and the pool,
-    whose size Spark can't tell behind an explode, to none.
+    whose size Spark can't tell behind an explode, to none. Without a cap the rows of smallest
+    draws are found by counts of their first digits, and no key's rows are sorted whole.
     """
     wanting = needs.filter("need > 0").select(key, "need", "wanted")
-    fit = pool.join(F.broadcast(wanting) if few_keys else wanting, key).filter(F.when(F.col(is_yes), "yes").otherwise("no") == F.col("wanted"))
+    sent = F.broadcast if few_keys else lambda rows: rows
+    fit = pool.join(sent(wanting), key).filter(F.when(F.col(is_yes), "yes").otherwise("no") == F.col("wanted"))
+    if cap is None:
+        return _smallest(fit, key, identifier, seed, sent).select(*pool.columns)
     w = Window.partitionBy(key).orderBy(draw(F.col(identifier), seed), identifier)
     ranked = fit.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= cap)  # a literal bound limits each task's groups
     return ranked.filter(F.col("_r") <= F.col("need")).drop("_r", "need", "wanted")
 
 
+def _smallest(rows: DataFrame, key: str, identifier: str, seed: str, sent: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """For each key its ``need`` rows of smallest draws (null identifiers last); all, if it has no more. Only the stretch of draws with the last one is ranked."""
+    drawn = rows.withColumn("_d", draw(F.col(identifier), seed)).withColumn("_s", F.coalesce(F.conv(F.substring("_d", 1, 4), 16, 10).cast("int"), F.lit(1 << 16)))
+    cells = drawn.groupBy(key, "need", "_s").agg(F.count("*").alias("_m"))  # at most 65,537 a key
+    until = cells.withColumn("_until", F.sum("_m").over(Window.partitionBy(key).orderBy("_s")))
+    met = until.filter((F.col("_until") - F.col("_m") < F.col("need")) & (F.col("need") <= F.col("_until")))
+    last = kept(met.select(key, F.col("_s").alias("_last"), (F.col("need") - F.col("_until") + F.col("_m")).alias("_left")), "last")
+    dealt_ = drawn.join(sent(last), key, "left")
+    sure = dealt_.filter(F.col("_last").isNull() | (F.col("_s") < F.col("_last")))
+    edge = dealt_.filter(F.col("_s") == F.col("_last"))
+    w = Window.partitionBy(key).orderBy(F.asc_nulls_last("_d"), F.asc_nulls_last(identifier))
+    edge = edge.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= F.col("_left"))
+    return sure.select(*rows.columns).unionByName(edge.select(*rows.columns))
+
+
 def cap_dominant(rows: DataFrame, group: str, answer: str, order: str, identifier: str, most: float, seed: str) -> DataFrame:
     """Drops rows of a group's most frequent answer (ties: the one seen first) so that its share is at most ``most``; without other answers all go.
 

@@ -89,15 +89,15 @@ def presence_answers(spark, sf_dir):
 
 
 @query(f"""WITH {_ASKED}, {_POOL}, c AS (SELECT tool, count(*) FILTER (yes) AS y, count(*) FILTER (NOT yes) AS n FROM a GROUP BY tool),
-need AS (SELECT tool, CASE WHEN y / (y + n) > 0.6 THEN least(floor(y / 0.5) - (y + n), 600) WHEN y / (y + n) < 0.4 THEN least(floor(n / 0.5) - (y + n), 600) ELSE 0 END AS need, y / (y + n) < 0.4 AS wanted FROM c),
+need AS (SELECT tool, CASE WHEN y / (y + n) > 0.6 THEN floor(y / 0.5) - (y + n) WHEN y / (y + n) < 0.4 THEN floor(n / 0.5) - (y + n) ELSE 0 END AS need, y / (y + n) < 0.4 AS wanted FROM c),
 r AS (SELECT p.*, need, row_number() OVER (PARTITION BY tool ORDER BY sha256('b|' || p_partkey), p_partkey) AS r FROM p JOIN need USING (tool) WHERE need > 0 AND present = wanted)
 SELECT p_partkey, tool, present FROM r WHERE r <= need""")
 def balance_all_keys(spark, sf_dir):
-    """The presence balance over all generic and variant keys, topped up from the whole pool of segments."""
+    """The presence balance over all generic and variant keys, topped up from the whole pool of segments by all that each key needs."""
     made = presence_answers(spark, sf_dir)
-    needs = D.answer_needs(made, "tool", F.col("yes"))
+    needs = D.answer_needs(made, "tool", F.col("yes"), cap=None)
     pool = D.presence_pool(segments(spark, sf_dir), "tool", J.presence_targets(F.col("tools"), F.col("commercial_tools")))
-    return D.top_up(needs, pool, "tool", "present", "p_partkey", "b", few_keys=True).select("p_partkey", "tool", "present")
+    return D.top_up(needs, pool, "tool", "present", "p_partkey", "b", cap=None, few_keys=True).select("p_partkey", "tool", "present")
 
 
 @query(f"WITH {_ASKED} SELECT tool, CAST(count(*) FILTER (yes) AS BIGINT) AS yes, CAST(count(*) FILTER (NOT yes) AS BIGINT) AS no, CAST(count(*) AS BIGINT) AS total, round(count(*) FILTER (yes) / count(*), 6) AS share, CAST(row_number() OVER (ORDER BY count(*) DESC, tool) AS INTEGER) AS place FROM a GROUP BY tool")
